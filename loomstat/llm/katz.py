@@ -33,7 +33,6 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -41,10 +40,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstat.llm._common import fold, small_batches, stored, table
+from loomstat.llm.words import tokenise
 
 K = 5
 CHUNK_BYTES = 8 << 20
-BUCKET_TOKENS = 3_000_000
+BUCKET_TOKENS = 2_000_000
 HOT_SHARE = 512
 #: Keys of the end and of the start of a text; no word holds white space.
 END = xxhash.xxh64_intdigest(b"\n")
@@ -72,26 +72,6 @@ def unpack(blob: bytes) -> dict[str, np.ndarray]:
     return out
 
 
-def tokenise(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Numbers of all words, words of each text, and the distinct words in UTF-8."""
-    # ASCII split keeps an empty piece at a text's ends; those are dropped below.
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts], pa.large_string())))
-    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = lists.flatten().dictionary_encode()
-    if isinstance(coded, pa.ChunkedArray):
-        coded = coded.combine_chunks()
-    words = [w.encode() for w in coded.dictionary.to_pylist()]
-    numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    if b"" in words:
-        empty = words.index(b"")
-        keep = numbers != empty
-        lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[keep], minlength=len(lengths))
-        numbers = numbers[keep]
-        numbers -= numbers > empty
-        del words[empty]
-    return numbers, lengths, words
-
-
 def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
     """Bucket of a 64-bit key by range; does not fall as the key grows."""
     return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
@@ -262,7 +242,7 @@ def _bigrams_of(chunk: dict, ids: list, words: dict, chunk_id: int, n_buckets: i
         uses = slice(first[where.start], first[where.stop] if where.stop < len(first) else len(code))
         blob = pack(
             h=number[hs[runs]], h_count=count[hs[runs]], run=np.diff(np.append(runs, len(hs))), w=number[w[where]], w_count=count[w[where]],
-            trained=trained[where], many=many[where], doc=doc[order][uses],
+            trained=trained[where], held=many[where] - trained[where], doc=doc[order][uses],
         )
         rows.append((int(at), chunk_id, 1, blob, None))
     return rows
@@ -302,7 +282,7 @@ def _merge_bigrams(group: pa.Table, total: int, d1: np.ndarray, unknown: float,
         for chunk, x in parts:
             here = at[done : done + len(x["w"])]
             done += len(here)
-            use = np.repeat(here, x["many"].astype(np.int64))
+            use = np.repeat(here, x["trained"].astype(np.int64) + x["held"])
             docs, doc_at = np.unique(x["doc"].astype(np.int64), return_inverse=True)
             mine = r[use]
             few = (mine > 0) & (mine <= K)

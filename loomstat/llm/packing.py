@@ -8,6 +8,7 @@ own, so memory is bounded by the group and more documents only mean more groups.
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import cache
 
@@ -19,43 +20,70 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomstat.llm._common import small_batches, stored, table
+from loomstat.llm.words import gathered, tokenise
 
 CAPACITY = 4096
 END_ID = 2
 #: Documents of one group, about.
 GROUP_DOCS = 20_000
 #: Words that a worker remembers, and the longest one in bytes.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_800_000
 CACHE_BYTES = 64
+#: Rows of one batch: the more, the fewer look-ups of repeated words.
+BATCH = 1536
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+_TAILS = frozenset((b".", b",", b"!", b"?", b":", b";"))
 
 
 class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit numbers.
 
-    For tokenizers that drop white space and never join over it, a text's ids are those of its
-    words. Words that were seen are looked up.
+    For a byte-level tokenizer that lowers case, drops white space, never joins over it, and takes
+    runs of letters by themselves, a text's ids are those of its words. Words that were seen
+    are looked up.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.seen: dict[bytes, bytes] = {}
+        # The characters that a byte-level tokenizer writes bytes as.
+        self.shown = {}
+        for byte in range(256):
+            printed = 33 <= byte <= 126 or 161 <= byte <= 172 or byte >= 174
+            self.shown[byte] = byte if printed else 256 + sum(1 for k in self.shown.values() if k >= 256)
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
+    def _each(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def _encode(self, words: set[bytes]) -> dict[bytes, bytes]:
+        out, rest, model = {}, [], self.tokenizer.model
+        for w in words:
+            # Lower-case letters that no normalisation changes are one run: the model's input.
+            if _PLAIN.fullmatch(w.decode("utf-8")):
+                out[w] = np.array([t.id for t in model.tokenize(w.decode("latin-1").translate(self.shown))], "<u4").tobytes()
+            else:
+                rest.append(w)
+        return out | dict(zip(rest, self._each(rest), strict=True))
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode("utf-8").split() for t in texts]
+        # Markers of special tokens keep their case, so texts that may hold one go as they are.
+        marked = {k: t for k, t in enumerate(texts) if t and "<|" in t}
+        numbers, lengths, words = tokenise([None if k in marked else t for k, t in enumerate(texts)] if marked else texts)
+        parts = list(map(self.seen.get, words))
+        new = {w for w, ids in zip(words, parts, strict=True) if ids is None}
+        # A mark after a letter is a token of its own.
+        tailed = {w for w in new if len(w) > 1 and w[-1:] in _TAILS and w[-2:-1].isalpha()}
+        found = self._encode((new - tailed) | (({w[:-1] for w in tailed} | {w[-1:] for w in tailed}) - self.seen.keys()))
+        known = lambda w: found[w] if w in found else self.seen[w]
+        found |= {w: known(w[:-1]) + known(w[-1:]) for w in tailed}
+        out = gathered([found[w] if ids is None else ids for w, ids in zip(words, parts, strict=True)], numbers, lengths)
         if len(self.seen) > CACHE_WORDS:
             self.seen.clear()
-        new = list(set().union(*split) - self.seen.keys())
-        extra = {}
-        for word, ids in zip(new, self._encode(new), strict=True):
-            (self.seen if len(word) <= CACHE_BYTES else extra)[word] = ids
-        get = self.seen.__getitem__
-        if not extra:
-            return [b"".join(map(get, words)) for words in split]
-        return [b"".join([extra[w] if w in extra else get(w) for w in words]) for words in split]
+        self.seen.update((w, ids) for w, ids in found.items() if len(w) <= CACHE_BYTES)
+        for k, ids in zip(marked, self._each([t.encode() for t in marked.values()]), strict=True):
+            out[k] = ids
+        return out
 
 
 @cache
@@ -66,7 +94,7 @@ def _encoder(path: str) -> WordEncoder:
 def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, doc_tokens, crcs``: the tokens of each document and the crc32 of each of its
     pieces of ``capacity`` tokens, the last one shorter or as long. Null texts are empty."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH)
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches):
