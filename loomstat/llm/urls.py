@@ -68,8 +68,10 @@ def fit(rows: DataFrame) -> list[float]:
     made = rows.where("label IS NOT NULL").select(host.alias("host"), path.alias("path"), "label", "url").select(features().alias("f"), F.col("label").cast("double").alias("y"), "url")
     one = made.agg(F.array_sort(F.collect_list(F.struct("url", "f", "y"))).alias("r")).selectExpr("transform(r, x -> x.f) AS f", "transform(r, x -> x.y) AS y", "size(r) AS n").where("n > 0")
     by = one.select(F.posexplode("f").alias("i", "fs")).select("i", F.explode("fs").alias("b")).groupBy("b").agg(F.array_sort(F.collect_list("i")).alias("at"))
-    lists = by.agg(F.map_from_entries(F.collect_list(F.struct("b", "at"))).alias("lists"), F.lit(1).alias("k"))
-    both = one.withColumn("k", F.lit(1)).join(lists, "k").selectExpr("f", "y", "n", f"transform(sequence(0, {BUCKETS - 1}), b -> coalesce(lists[b], CAST(array() AS array<int>))) AS posts")
+    lists = by.agg(F.map_from_entries(F.collect_list(F.struct("b", "at"))).alias("lists"))
+    # The two single rows become one by a union, without a join.
+    merged = one.unionByName(lists, allowMissingColumns=True).agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("f", "y", "n", "lists"))).where("n > 0")
+    both = merged.selectExpr("f", "y", "n", f"transform(sequence(0, {BUCKETS - 1}), b -> coalesce(lists[b], CAST(array() AS array<int>))) AS posts")
     wrong = "transform(f, (fs, i) -> (1.0D / (1.0D + exp(-(w[0] + aggregate(fs, 0.0D, (s, b) -> s + w[b + 1]) / sqrt(size(fs))))) - y[i]))"
     step = (
         f"transform(array({wrong}), e -> concat("
