@@ -225,7 +225,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: archive all pages and read the archives back."""
     folder = new_path(spark, "warc")
-    return read(write(table(spark, sf_dir, "pages"), folder), folder)
+    return read(write(table(spark, sf_dir, "pages"), folder), folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """
