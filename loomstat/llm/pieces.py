@@ -54,6 +54,8 @@ class Model:
         self.ids = {p.piece: k for k, p in enumerate(proto.pieces) if p.type == _NORMAL}
         if any(p.type == _USER for p in proto.pieces) or any(MARK in p.strip(MARK) or (p.strip(MARK) and p.lstrip(MARK) != p and p.startswith(MARK * 2)) or p.rstrip(MARK) != p and p.strip(MARK) for p in self.ids):
             raise ValueError("pieces must not reach over a word's mark")
+        if any("\n" in p for p in self.ids):
+            raise ValueError("pieces must not hold line breaks")
         self.pieces = [p.piece for p in proto.pieces]
         self.scores = [p.score for p in proto.pieces]
         self.longest = max(map(len, self.ids))
@@ -169,20 +171,23 @@ class Model:
         split = [_words(t) if t else [] for t in texts]
         if len(self.seen) > CACHE_WORDS:
             self.seen.clear()
-        new = list(set().union(*split) - self.seen.keys())
+        parts = [list(map(self.seen.get, words)) for words in split]
+        gaps = [k for k, found in enumerate(parts) if None in found]
+        new = {w for k in gaps for w, x in zip(split[k], parts[k], strict=True) if x is None}
         if self.kind == _UNIGRAM:
-            found = self.search([MARK * (len(w) - len(w.lstrip(" "))) + MARK + w.lstrip(" ") for w in new])
-            ids = {w: found[MARK * (len(w) - len(w.lstrip(" "))) + MARK + w.lstrip(" ")] for w in new}
+            marked = {w: w if w[:1] == "\n" else MARK + MARK * (len(w) - len(w.lstrip(" "))) + w.lstrip(" ") for w in new}
+            found = self.search(list(set(marked.values())))
+            ids = {w: found[x] for w, x in marked.items()}
         else:
-            found = self.search({MARK + w.lstrip(" ") for w in new})
-            ids = {w: self._with_marks(len(w) - len(w.lstrip(" ")), found[MARK + w.lstrip(" ")]) if w[:1] == " " else found[MARK + w] for w in new}
+            marked = {w: w if w[:1] == "\n" else MARK + w.lstrip(" ") for w in new}
+            found = self.search(list(set(marked.values())))
+            ids = {w: self._with_marks(len(w) - len(w.lstrip(" ")), found[x]) if w[:1] == " " else found[x] for w, x in marked.items()}
         extra = {}
         for w, x in ids.items():
             (self.seen if len(w) <= CACHE_CHARS else extra)[w] = np.array(x, "<u4").tobytes()
-        get = self.seen.__getitem__
-        if not extra:
-            return [b"".join(map(get, words)) for words in split]
-        return [b"".join([extra[w] if w in extra else get(w) for w in words]) for words in split]
+        for k in gaps:
+            parts[k] = [(extra[w] if w in extra else self.seen[w]) if x is None else x for w, x in zip(split[k], parts[k], strict=True)]
+        return [b"".join(found) for found in parts]
 
     def decode(self, ids: bytes | None) -> str:
         """Text of ids; bytes that are not UTF-8 become U+FFFD, control pieces nothing."""
@@ -207,11 +212,23 @@ def _common(a: str, b: str) -> int:
 
 
 def _words(text: str) -> list[str]:
-    """Words of a text without their own mark; further marks before a word stay as spaces."""
+    """Words of a text without their own mark; further marks before a word stay as spaces.
+
+    No piece holds a line break, so what follows one is a word without a mark, and begins with it.
+    """
     text = text.replace(MARK, " ")
     if "  " in text or text[0] == " ":
-        return [w[1:] for w in re.findall(" +[^ ]*", " " + text)]
-    return text.split(" ")
+        return _slow_words(text)
+    return text.replace("\n", " \n").split(" ")
+
+
+def _slow_words(text: str) -> list[str]:
+    out = []
+    for word in re.findall(" +[^ ]*", " " + text):
+        head, *lines = word[1:].split("\n")
+        out.append(head)
+        out += ["\n" + line for line in lines]
+    return out
 
 
 @cache
