@@ -27,6 +27,8 @@ CELLS = PARTS * SIDE
 #: Differences of one sketch that a larger try aims at.
 LOAD = 4
 MAX_LEVEL = 12
+#: Rounds of peeling, after which a larger try is due.
+ROUNDS = 5
 #: Ranges of ids that documents are sorted in, at most.
 MAX_RANGES = 4096
 _NO_BLOCKS = "CAST(array() AS array<struct<a:array<bigint>,b:array<bigint>>>)"
@@ -70,7 +72,7 @@ def peel(cells: str, level: str = "0") -> str:
         f"transform(array({pure}), pure -> IF(size(pure) = 0, s, named_struct('cells', {taken},"
         " 'na', s.na + size(filter(pure, p -> p.c = 1)), 'nb', s.nb + size(filter(pure, p -> p.c = -1)))))[0]"
     )
-    done = f"aggregate(sequence(1, {CELLS}), named_struct('cells', {cells}, 'na', 0, 'nb', 0), (s, t) -> {step})"
+    done = f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'na', 0, 'nb', 0), (s, t) -> {step})"
     return f"transform(array({done}), s -> named_struct('ok', forall(s.cells, e -> e.c = 0 AND e.k = 0 AND e.x = 0), 'na', s.na, 'nb', s.nb, 'cells', s.cells))[0]"
 
 
