@@ -43,9 +43,10 @@ from loomstat.llm._common import fold, small_batches, stored, table
 from loomstat.llm.words import tokenise
 
 K = 5
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 10 << 20
 BUCKET_TOKENS = 2_000_000
 HOT_SHARE = 512
+HOT_LEAST = 10_000
 #: Keys of the end and of the start of a text; no word holds white space.
 END = xxhash.xxh64_intdigest(b"\n")
 START = xxhash.xxh64_intdigest(b"\t")
@@ -72,6 +73,24 @@ def unpack(blob: bytes) -> dict[str, np.ndarray]:
     return out
 
 
+def _deltas(values: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Steps within runs of rising values; a run begins with its first value."""
+    out = np.diff(values, prepend=0)
+    if len(values):
+        first = np.cumsum(run) - run
+        out[first] = values[first]
+    return out
+
+
+def _undo_deltas(steps: np.ndarray, run: np.ndarray) -> np.ndarray:
+    if not len(steps):
+        return steps.astype(np.int64)
+    run = run.astype(np.int64)
+    total = np.cumsum(steps.astype(np.int64))
+    first = np.cumsum(run) - run
+    return total - np.repeat(total[first] - steps[first].astype(np.int64), run)
+
+
 def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
     """Bucket of a 64-bit key by range; does not fall as the key grows."""
     return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
@@ -166,7 +185,7 @@ def _by_bucket(buckets: np.ndarray, n: int):
     return ((b, slice(edges[b], edges[b + 1])) for b in np.flatnonzero(np.diff(edges)))
 
 
-def _unigrams(parts: DataFrame, n_buckets: int, hot_from: int) -> DataFrame:
+def _unigrams(parts: DataFrame, n_buckets: int) -> DataFrame:
     """A row for each bucket (the table and its statistics) and for each chunk in it (the answer)."""
 
     def send(batches):
@@ -181,20 +200,19 @@ def _unigrams(parts: DataFrame, n_buckets: int, hot_from: int) -> DataFrame:
         bucket = group.column("bucket")[0].as_py()
         x = [unpack(b) for b in group.column("part").to_pylist()]
         keys, at, counts = _add_up(np.concatenate([y["keys"].astype(np.uint64) for y in x]), np.concatenate([y["counts"] for y in x]))
-        number = np.arange(len(keys)) * n_buckets + bucket
+        number = (bucket << 32) + np.arange(len(keys))  # rises with the key
         rows, done = [], 0
         for chunk, y in zip(group.column("chunk_id").to_pylist(), x, strict=True):
             here = at[done : done + len(y["keys"])]
             done += len(here)
-            rows.append((bucket, chunk, pack(numbers=number[here], counts=counts[here]), None, None, None))
+            rows.append((bucket, chunk, pack(numbers=number[here], counts=counts[here]), None))
         seen = [int((counts == r).sum()) for r in range(1, K + 2)]
-        hot = number[counts > hot_from].tolist()
-        rows.append((bucket, None, pack(keys=keys, counts=counts), [int(counts.sum()), int((counts > 0).sum()), *seen], int(sum(c * n for c, n in zip(range(1, K + 1), seen, strict=False))), hot))
-        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()))
-        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["bucket", "chunk_id", "part", "stats", "low", "hot"])
+        rows.append((bucket, None, pack(keys=keys, counts=counts), [int(counts.sum()), int((counts > 0).sum()), *seen]))
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+        return _table(rows, "bucket chunk_id part stats", kinds)
 
     sent = parts.select("chunk_id", "words").mapInArrow(send, "bucket int, chunk_id long, part binary")
-    return stored(sent.groupBy("bucket").applyInArrow(merge, "bucket int, chunk_id long, part binary, stats array<long>, low long, hot array<long>"), "katz-unigrams")
+    return stored(sent.groupBy("bucket").applyInArrow(merge, "bucket int, chunk_id long, part binary, stats array<long>"), "katz-unigrams")
 
 
 _SENT = "bucket int, chunk_id long, kind int, part binary, ids array<long>"
@@ -240,8 +258,9 @@ def _bigrams_of(chunk: dict, ids: list, words: dict, chunk_id: int, n_buckets: i
         hs = h[where]
         runs = np.flatnonzero(np.diff(hs, prepend=-1))
         uses = slice(first[where.start], first[where.stop] if where.stop < len(first) else len(code))
+        run = np.diff(np.append(runs, len(hs)))
         blob = pack(
-            h=number[hs[runs]], h_count=count[hs[runs]], run=np.diff(np.append(runs, len(hs))), w=number[w[where]], w_count=count[w[where]],
+            h=_deltas(number[hs[runs]], np.array([len(runs)])), h_count=count[hs[runs]], run=run, w=_deltas(number[w[where]], run), w_count=count[w[where]],
             trained=trained[where], held=many[where] - trained[where], doc=doc[order][uses],
         )
         rows.append((int(at), chunk_id, 1, blob, None))
@@ -258,7 +277,10 @@ def _merge_bigrams(group: pa.Table, total: int, d1: np.ndarray, unknown: float,
         if kind == 0:
             rows.append((bucket, None, None, blob, None, ids, chunk))
         else:
-            parts.append((chunk, unpack(blob)))
+            x = unpack(blob)
+            x["w"] = _undo_deltas(x["w"], x["run"])
+            x["h"] = _undo_deltas(x["h"], np.array([len(x["h"])]))
+            parts.append((chunk, x))
     if parts:
         join = lambda name: np.concatenate([x[name] for _, x in parts]).astype(np.int64)
         hs, hs_count, w_count, trained = join("h"), join("h_count"), join("w_count"), join("trained")
@@ -296,7 +318,10 @@ def _merge_bigrams(group: pa.Table, total: int, d1: np.ndarray, unknown: float,
             )
         keep = np.unique(np.concatenate([*wanted, np.flatnonzero(h_count > hot_from)]).astype(np.int64))
         histories = pack(place=keep, h=h_all[keep], count=h_count[keep], by_r=by_r[keep].ravel(), above=above[keep].astype(np.int64), covered=covered[keep])
-        table_ = pack(h=h_all, run=np.bincount(gram_h[some], minlength=len(h_all)), w=w_all[grams[some] % len(w_all)], count=r[some])
+        # Followers rise within a history; histories without any are left out.
+        run = np.bincount(gram_h[some], minlength=len(h_all))
+        kept = run > 0
+        table_ = pack(h=_deltas(h_all[kept], np.array([kept.sum()])), run=run[kept], w=_deltas(w_all[grams[some] % len(w_all)], run[kept]), count=r[some])
         rows.append((bucket, table_, histories, pickle.dumps(sums), seen, None, None))
     return _table(rows, "bucket grams histories sums seen ids chunk_id", kinds)
 
@@ -323,8 +348,8 @@ def score(docs: DataFrame) -> DataFrame:
     size = parts.agg(F.sum("tokens"), F.sum("train_tokens"), F.sum("train_docs")).first()
     tokens, train_tokens, train_docs = (x or 0 for x in size)
     n_buckets = max(12, -(-tokens // BUCKET_TOKENS))
-    hot_from = max(train_tokens // HOT_SHARE, 10_000)
-    words = _unigrams(parts, n_buckets, hot_from)
+    hot_from = max(train_tokens // HOT_SHARE, HOT_LEAST)
+    words = _unigrams(parts, n_buckets)
     stats = words.where("stats IS NOT NULL").agg(*(F.sum(F.col("stats")[k]).alias(f"s{k}") for k in range(K + 3))).first()
     total, distinct, *seen = (x or 0 for x in stats)
     d1 = discounts(seen)
