@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomstat.functions.student import STEPS, format_p
-from loomstat.operators import audit, inference, market, segments, uplift
+from loomstat.operators import audit, density, eligibility, inference, market, segments, uplift
 from loomstat.sources import files
 from loomstat.sources.frames import CONTRASTS, OUTCOMES, UNITS_SQL, corpus, products, read, reviews, units
 
@@ -333,3 +333,32 @@ def segment_agreement(spark, sf_dir):
 @_query()
 def svd_components(spark, sf_dir):
     return segments.singular_values(read(spark, sf_dir, "embeddings"), 8)
+
+
+@_query("SELECT doc_id, CASE WHEN regexp_matches(text, '[!?]{2,}') THEN 'shouting' WHEN regexp_matches(text, '\\|') THEN 'list' ELSE 'prose' END AS label FROM documents")
+def rule_baseline(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", eligibility.rule_label(F.col("text"), [("[!?]{2,}", "shouting"), (r"\|", "list")], "prose").alias("label"))
+
+
+def _gold(spark, sf_dir, label):
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("product_id"), "text")
+    gold = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("product_id"), F.col(label).alias("label"))
+    return docs.join(gold, "product_id"), docs
+
+
+@_query()
+def eligibility_model(spark, sf_dir):
+    return eligibility.calibrated(*_gold(spark, sf_dir, "quality")).select("product_id", "raw", "probability")
+
+
+@_query()
+def form_model(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    gold = docs.withColumn("label", F.array_position(F.array(*map(F.lit, ("de", "en", "es", "fr"))), F.col("lang")) - 1).where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0)
+    return eligibility.forms(gold, docs.select("doc_id", "lang", "text")).select("doc_id", "lang", "form")
+
+
+@_query()
+def density_segments(spark, sf_dir):
+    found = density.density_clusters(read(spark, sf_dir, "embeddings"))
+    return found.groupBy("segment").agg(F.count(F.lit(1)).alias("n"))

@@ -93,3 +93,29 @@ def test_p_text_and_agreement(spark):
     same = spark.createDataFrame([(0, 1), (0, 1), (1, 0), (1, 0)], "a int, b int")
     assert segments.adjusted_rand(same, "a", "b").first()["ari"] == 1.0
     assert market.concentration(spark.createDataFrame([(1,), (1,), (1,), (1,)], "n_reviews int")).first()["gini"] == pytest.approx(0)
+
+
+def test_staged_run(spark, tmp_path):
+    from loomstat.plans import run_all
+
+    assert run_all.parse_args(["--data", "d", "--out", "o", "--folds", "9", "--quick"]).folds == 3
+    done = run_all.main(["--data", SF, "--out", str(tmp_path), "--quick"], spark)
+    assert len(done) == 12 and spark.read.option("header", True).csv(f"{tmp_path}/02_effects").count() == 9
+
+
+def test_density_clusters_find_two_groups_and_noise(spark):
+    import numpy as np
+
+    from loomstat.operators import density
+
+    rng = np.random.default_rng(1)
+    x = np.vstack([rng.normal(0, 0.1, (60, 3)), rng.normal(5, 0.1, (60, 3)), [[50, 50, 50]]])
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["segment"] for r in density.density_clusters(rows).collect()}
+    assert len({got[k] for k in range(60)}) == 1 and len({got[k] for k in range(60, 120)}) == 1 and got[0] != got[60] and got[120] == -1
+
+
+def test_models_on_known_labels(spark):
+    rows = QUERIES["form_model"](spark, SF).groupBy("lang", "form").count().collect()
+    right = sum(r["count"] for r in rows if ("de", "en", "es", "fr")[r["form"]] == r["lang"])
+    assert right / sum(r["count"] for r in rows) > 0.8
