@@ -15,6 +15,8 @@ from loomstat.llm._common import new_path, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Words of a shingle in the near-duplicate stage.
 SHINGLE_WORDS = 5
+#: Jaccard index of shingle sets from which texts are near-duplicates.
+SIMILARITY = 0.8
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that repeat that id count once. A row with a null id stays only if its component has no
     other id, once.
     """
-    found = simhash.near_duplicates(docs, words=SHINGLE_WORDS)
+    found = simhash.near_duplicates(docs, words=SHINGLE_WORDS, similarity=SIMILARITY)
     firsts = found.select(F.col("component_id").alias("first_id")).where("first_id IS NOT NULL").distinct()
     kept = docs.join(firsts, docs["doc_id"] == firsts["first_id"], "left_semi").select(*COLUMNS)
     lone = docs.where("doc_id IS NULL")

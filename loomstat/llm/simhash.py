@@ -58,8 +58,34 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(_WEIGHTS[votes * 2 > n].sum(dtype=np.uint64).astype(np.int64))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """``doc_id, fp`` of every row; fp is the fingerprint as a signed long.
+#: Partial fingerprints of a level, and distinct shingles that one covers, about.
+PARTIAL, COVER = 24, 4
+#: Bits within which fingerprints of similar texts lie: at a Jaccard index of 0.8, ten on average.
+WIDE_BITS = 20
+
+
+def partial_keys(hashes: np.ndarray) -> list[int]:
+    """Hashes of partial fingerprints: shingles are dealt by their hashes, and each part that has
+    some becomes its SimHash. Similar texts leave some parts untouched. The number of parts
+    follows the text, a power of two, and the next smaller one is used too, so that texts of
+    similar length have one in common; of many parts the first PARTIAL are taken."""
+    distinct = np.unique(hashes)
+    out = []
+    parts = 1 << max(0, (len(distinct) // COVER).bit_length() - 1)
+    for level in {parts, max(1, parts // 2)} if len(distinct) else ():
+        where = distinct >> np.uint64(64 - level.bit_length() + 1) if level > 1 else np.zeros(len(distinct), np.uint64)
+        few = distinct[where < PARTIAL]
+        edges = np.searchsorted(where, np.arange(min(level, PARTIAL) + 1))
+        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            if a < b:
+                key = xxhash.xxh64_intdigest(b"%d %d %d %d" % (level, k, b - a, fingerprint(few[a:b])))
+                out.append(key - 2**64 if key >= 2**63 else key)
+    return out
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, partial: bool = False) -> DataFrame:
+    """``doc_id, fp`` of every row; fp is the fingerprint as a signed long. With ``partial`` also the
+    array ``keys`` of partial_keys.
 
     A null or wordless text has fingerprint 0. Ids are passed through, null ids included;
     other columns of ``docs`` are ignored.
@@ -68,11 +94,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(shingle_hashes(t, words)) if t else 0 for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            hashes = [shingle_hashes(t or "", words) for t in batch.column(1).to_pylist()]
+            columns = [batch.column(0), pa.array(map(fingerprint, hashes), pa.int64())]
+            if partial:
+                columns.append(pa.array(map(partial_keys, hashes), pa.list_(pa.int64())))
+            yield pa.record_batch(columns, names=["doc_id", "fp", "keys"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long" + ", keys array<long>" * partial)
 
 
 def _grid(fps: DataFrame) -> DataFrame:
@@ -142,18 +171,54 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return near.union(dealt.groupBy("cell", "i", "j").applyInArrow(forest, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
+def similar_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Edges ``a, b`` between fingerprints of texts whose shingle sets have at least this Jaccard
+    index, among ``nodes`` (``fp, first_id, keys``).
+
+    Texts that share a partial fingerprint are compared with the smallest and the largest
+    fingerprint that has it, so candidates are linear in the keys; those within WIDE_BITS are
+    verified on their whole texts. Nodes without an id are left out.
+    """
+    small_batches(docs.sparkSession)
+    keyed = nodes.where("first_id IS NOT NULL").select("fp", F.explode("keys").alias("key"))
+    ends = keyed.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
+    near = keyed.join(ends, "key").select("fp", F.explode(F.array("low", "high")).alias("to"))
+    pairs = near.where(f"bit_count(fp ^ `to`) BETWEEN {MAX_BITS + 1} AND {WIDE_BITS}").select(F.least("fp", "to").alias("a"), F.greatest("fp", "to").alias("b")).distinct()
+    pairs = stored(pairs, "simhash-pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "first_id"), "fp")
+    texts = stored(docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text")).join(ends, "first_id").groupBy("fp").agg(F.max("text").alias("text")), "simhash-texts")
+    side = lambda c: texts.select(F.col("fp").alias(c), F.col("text").alias(f"text_{c}"))
+
+    def verify(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.unique(shingle_hashes(x, words)), np.unique(shingle_hashes(y, words))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = MAX_BITS, similarity: float | None = None) -> DataFrame:
     """One row per document: ``doc_id, fp, component_id``.
 
     Documents link where their fingerprints differ in at most ``max_bits`` bits; component_id
     is the smallest id reachable, the own included. Equal fingerprints, that of empty texts
     among them, are one node, so groups of copies are never paired. Repeated rows keep their
     rows; a null id gets a row and is never the smallest (null only if its component has no
-    other id). An empty table gives an empty result.
+    other id). An empty table gives an empty result. With ``similarity``, texts whose shingle
+    sets have at least this Jaccard index link too.
     """
-    rows = stored(fingerprints(docs, id_col, text_col, words), "simhash")
-    nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    parts = components(links(nodes.select("fp"), max_bits)).withColumnRenamed("node", "fp")
+    partial = similarity is not None
+    rows = stored(fingerprints(docs, id_col, text_col, words, partial), "simhash")
+    keys = [F.min_by("keys", "doc_id").alias("keys")] if partial else []
+    nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *keys))
+    edges = links(nodes.select("fp"), max_bits)
+    if partial:
+        edges = edges.union(similar_links(docs, nodes, words, similarity, id_col, text_col))
+    parts = components(edges).withColumnRenamed("node", "fp")
     named = nodes.join(parts, "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     return rows.join(named.join(lowest, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
