@@ -11,7 +11,7 @@ def test_stages_take_effect(spark):
     want = {r["doc_id"] for r in quality.scores(docs, model).where(F.col("score") >= 0.7).collect()}
     assert {r["doc_id"] for r in kept.collect()} == want and tuple(kept.columns) == corpus_pipeline.COLUMNS
     single = corpus_pipeline.drop_near_duplicates(spark, kept, sf_dir)
-    groups = {r["component_id"] for r in simhash.near_duplicates(kept, words=5).collect()}
+    groups = {r["component_id"] for r in simhash.near_duplicates(kept, words=corpus_pipeline.SHINGLE_WORDS, similarity=corpus_pipeline.SIMILARITY).collect()}
     assert sorted(r["doc_id"] for r in single.collect()) == sorted(groups) and len(single.select("text").distinct().collect()) == single.count()
     clean = corpus_pipeline.redact_secrets(spark, single, sf_dir)
     assert clean.count() == single.count()

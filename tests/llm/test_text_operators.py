@@ -62,6 +62,23 @@ def test_near_duplicates_edge_cases(spark):
     assert np.uint64(by[3]["fp"] % 2**64) == simhash.xxhash.xxh64_intdigest(b"a", 42)
 
 
+def test_similar_texts_link_at_a_jaccard_index(spark):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for k in range(0, 90, 3):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice((60, 200, 900)))]
+        near, far = list(words), list(words)
+        near[len(near) // 2] = "changed"
+        for i in range(0, len(far), 8):
+            far[i] = f"f{rng.randint(0, 10**6)}"
+        rows += [(k, " ".join(words)), (k + 1, " ".join(near)), (k + 2, " ".join(far))]
+        want |= {k: k, k + 1: k, k + 2: k + 2}
+    rows += [(1000, None), (None, rows[0][1])]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(texts(spark, rows), words=5, similarity=0.8).collect()}
+    assert found == want | {1000: 1000, None: 0}
+    assert simhash.near_duplicates(texts(spark, []), words=5, similarity=0.8).count() == 0
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     found = {r["node"]: r["component"] for r in components.components(edges).collect()}
