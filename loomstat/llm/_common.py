@@ -43,11 +43,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: For rows that hold large compressed arrays: no second compression, which would take direct
+#: buffers of whole pages, and the size of a page checked at each row, not at each hundredth.
+PACKED = {"compression": "none", "parquet.enable.dictionary": "false", "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}
+
+
+def stored(df: DataFrame, name: str, packed: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**PACKED if packed else {}).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -152,7 +152,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         if held[0]:
             yield flush()
 
-    return stored(docs.mapInArrow(run, _CHUNK), "katz-chunks")
+    return stored(docs.mapInArrow(run, _CHUNK), "katz-chunks", packed=True)
 
 
 def discounts(seen: list[int]) -> np.ndarray:
@@ -212,7 +212,7 @@ def _unigrams(parts: DataFrame, n_buckets: int) -> DataFrame:
         return _table(rows, "bucket chunk_id part stats", kinds)
 
     sent = parts.select("chunk_id", "words").mapInArrow(send, "bucket int, chunk_id long, part binary")
-    return stored(sent.groupBy("bucket").applyInArrow(merge, "bucket int, chunk_id long, part binary, stats array<long>"), "katz-unigrams")
+    return stored(sent.groupBy("bucket").applyInArrow(merge, "bucket int, chunk_id long, part binary, stats array<long>"), "katz-unigrams", packed=True)
 
 
 _SENT = "bucket int, chunk_id long, kind int, part binary, ids array<long>"
@@ -371,7 +371,7 @@ def score(docs: DataFrame) -> DataFrame:
         .cogroup(words.where("chunk_id IS NOT NULL").select("chunk_id", "bucket", "part").groupBy("chunk_id"))
         .applyInArrow(bigrams, _SENT.replace("kind int", "kind tinyint"))
     )
-    model = stored(sent.groupBy("bucket").applyInArrow(lambda group: _merge_bigrams(group, total, d1, unknown, hot_from), _MODEL), "katz-bigrams")
+    model = stored(sent.groupBy("bucket").applyInArrow(lambda group: _merge_bigrams(group, total, d1, unknown, hot_from), _MODEL), "katz-bigrams", packed=True)
     stats = model.where("seen IS NOT NULL").agg(*(F.sum(F.col("seen")[k]).alias(f"s{k}") for k in range(K + 1))).first()
     d2 = discounts([x or 0 for x in stats])
     log_d2 = np.log10(d2)
