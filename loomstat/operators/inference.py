@@ -80,18 +80,26 @@ def bootstrap_means(rows: DataFrame, replicates: int, seed: int, strata: str = "
     return picks.join(placed, [strata, "rn"]).groupBy("rep", strata).agg(F.avg("y").alias("mean"))
 
 
-def poisson_bootstrap_means(rows: DataFrame, replicates: int, seed: int, strata: str = "arm", key: str = "unit_id") -> DataFrame:
-    """``rep, strata, mean`` with independent Poisson(1) weights: no rank and no join, so one pass
-    with partial sums whatever the input; the way to resample beyond memory."""
-    # Cumulative probabilities of Poisson(1), on the scale of the draw.
+def poisson_steps() -> list[int]:
+    """Cumulative probabilities of Poisson(1), on the scale of the draw."""
     steps, term, total = [], 2.718281828459045**-1, 0.0
     for k in range(12):
         total += term
         steps.append(int(total * 2**32))
         term /= k + 1
-    u = draw(F.lit(seed), F.col("rep"), F.col(key), modulo=F.lit(2**32))
-    weight = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    each = rows.where(F.col(strata).isNotNull() & F.col("y").isNotNull()).select(strata, key, "y", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).withColumn("w", weight)
+    return steps
+
+
+def poisson_weight(seed: int, key: str = "unit_id", rep: str = "rep") -> Column:
+    """How often a unit is drawn in a replicate; the same wherever the row lies."""
+    u = draw(F.lit(seed), F.col(rep), F.col(key), modulo=F.lit(2**32))
+    return sum((F.when(u >= s, 1).otherwise(0) for s in poisson_steps()), F.lit(0))
+
+
+def poisson_bootstrap_means(rows: DataFrame, replicates: int, seed: int, strata: str = "arm", key: str = "unit_id") -> DataFrame:
+    """``rep, strata, mean`` with independent Poisson(1) weights: no rank and no join, so one pass
+    with partial sums whatever the input; the way to resample beyond memory."""
+    each = rows.where(F.col(strata).isNotNull() & F.col("y").isNotNull()).select(strata, key, "y", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")).withColumn("w", poisson_weight(seed, key))
     return each.groupBy("rep", strata).agg(F.expr("try_divide(sum(w * y), sum(w))").alias("mean"))
 
 

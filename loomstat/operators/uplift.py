@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomstat.operators.inference import draw
+from loomstat.operators.inference import draw, poisson_weight
 
 
 def cells(units: DataFrame, feature: str, pair: tuple, y: str = "spend") -> DataFrame:
@@ -61,31 +61,83 @@ def dr_scores(predictions: DataFrame, treated: int, control: int = 0, share: flo
     return predictions.select("unit_id", "fold", "x", (F.col(f"mu_{treated}") - F.col(f"mu_{control}") + of(treated) - of(control)).alias("phi"))
 
 
-def uplift_bins(predictions: DataFrame, treated: int = 1, control: int = 0, bins: int = 10) -> DataFrame:
-    """``bin, n_t, n_c, uplift, qini`` by falling predicted uplift; qini accumulates over bins.
+def _binned(predictions: DataFrame, treated: int, control: int, bins: int) -> DataFrame:
+    """``unit_id, arm, y, bin`` by falling predicted uplift.
 
     Bin edges are approximate quantiles, exact up to 10,000 rows, so that no task sorts all units.
     """
-    rows = predictions.where(F.col("arm").isin(treated, control)).select("arm", "y", (F.col(f"mu_{treated}") - F.col(f"mu_{control}")).alias("score"))
+    rows = predictions.where(F.col("arm").isin(treated, control)).select("unit_id", "arm", "y", (F.col(f"mu_{treated}") - F.col(f"mu_{control}")).alias("score"))
     edges = rows.agg(F.percentile_approx("score", [k / bins for k in range(1, bins)], 10_000)).first()[0] or []
     at = sum((F.when(F.col("score") <= e, 1).otherwise(0) for e in edges), F.lit(0))
+    return rows.select("unit_id", "arm", "y", at.alias("bin"))
+
+
+def uplift_bins(predictions: DataFrame, treated: int = 1, control: int = 0, bins: int = 10) -> DataFrame:
+    """``bin, n_t, n_c, uplift, qini`` by falling predicted uplift; qini accumulates over bins."""
     part = lambda f, arm: f(F.when(F.col("arm") == arm, F.col("y")))
-    by = rows.groupBy(at.alias("bin")).agg(part(F.count, treated).alias("n_t"), part(F.count, control).alias("n_c"), part(F.sum, treated).alias("s_t"), part(F.sum, control).alias("s_c"))
+    by = _binned(predictions, treated, control, bins).groupBy("bin").agg(part(F.count, treated).alias("n_t"), part(F.count, control).alias("n_c"), part(F.sum, treated).alias("s_t"), part(F.sum, control).alias("s_c"))
     run = Window.partitionBy(F.lit(0)).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # a row per bin
     total = lambda c: F.sum(F.coalesce(F.col(c), F.lit(0.0))).over(run)
     qini = total("s_t") - total("s_c") * F.expr("1.0D") * F.sum("n_t").over(run) / F.greatest(F.sum("n_c").over(run), F.lit(1))
     return by.select("bin", "n_t", "n_c", F.expr("try_divide(s_t, n_t) - try_divide(s_c, n_c)").alias("uplift"), qini.alias("qini"))
 
 
+def _limits(column: str, low: str, high: str, alpha: float) -> list:
+    return [F.expr(f"percentile({column}, {q})").alias(name) for q, name in ((alpha / 2, low), (1 - alpha / 2, high))]
+
+
+def _replicated(rows: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """Every row once a replicate, ``rep``, with its Poisson weight ``w``; no join, no shuffle."""
+    each = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    return each.withColumn("w", poisson_weight(seed)).where("w > 0")
+
+
+def uplift_bin_intervals(predictions: DataFrame, replicates: int = 2000, seed: int = 20260902, treated: int = 1, control: int = 0, bins: int = 10, alpha: float = 0.05) -> DataFrame:
+    """``bin, ci_low, ci_high`` of the uplift within each bin, bins held fixed.
+
+    Percentiles over Poisson bootstrap replicates; a replicate in which a bin lacks an arm does
+    not count for that bin. Null outcomes take no part.
+    """
+    drawn = _replicated(_binned(predictions, treated, control, bins).where("y IS NOT NULL"), replicates, seed)
+    mean = lambda arm: F.try_divide(F.sum(F.when(F.col("arm") == arm, F.col("w") * F.col("y"))), F.sum(F.when(F.col("arm") == arm, F.col("w"))))
+    values = drawn.groupBy("bin", "rep").agg((mean(treated) - mean(control)).alias("uplift"))
+    return values.groupBy("bin").agg(*_limits("uplift", "ci_low", "ci_high", alpha))
+
+
+def _best(arms: tuple):
+    """The first of the arms with the largest prediction."""
+    top = F.greatest(*(F.col(f"mu_{a}") for a in arms))
+    return F.coalesce(*(F.when(F.col(f"mu_{a}") == top, a) for a in arms))
+
+
+def _value(pick, arms: tuple, share: float) -> tuple:
+    """Inverse-probability and doubly robust values of giving a unit the arm ``pick``."""
+    mu = F.coalesce(*(F.when(pick == a, F.col(f"mu_{a}")) for a in arms))
+    hit = F.when(F.col("arm") == pick, 1.0).otherwise(0.0) / F.lit(share)
+    return hit * F.col("y"), mu + hit * (F.col("y") - mu)
+
+
 def policy_values(predictions: DataFrame, arms: tuple = (0, 1, 2), share: float = 1 / 3) -> DataFrame:
     """``policy, ipw, dr, send_rate`` of sending one arm to all and of each unit's best arm."""
-    best = F.greatest(*(F.col(f"mu_{a}") for a in arms))
-    choice = F.coalesce(*(F.when(F.col(f"mu_{a}") == best, a) for a in arms))
-    named = F.array(*(F.struct(F.lit(f"all_{a}").alias("policy"), F.lit(a).alias("pick")) for a in arms), F.struct(F.lit("best").alias("policy"), choice.alias("pick")))
+    named = F.array(*(F.struct(F.lit(f"all_{a}").alias("policy"), F.lit(a).alias("pick")) for a in arms), F.struct(F.lit("best").alias("policy"), _best(arms).alias("pick")))
     rows = predictions.select("arm", "y", *(f"mu_{a}" for a in arms), F.inline(named))
-    mu = F.coalesce(*(F.when(F.col("pick") == a, F.col(f"mu_{a}")) for a in arms))
-    hit = F.when(F.col("arm") == F.col("pick"), 1.0).otherwise(0.0) / F.lit(share)
-    return rows.groupBy("policy").agg(F.avg(hit * F.col("y")).alias("ipw"), F.avg(mu + hit * (F.col("y") - mu)).alias("dr"), F.avg(F.when(F.col("pick") != arms[0], 1.0).otherwise(0.0)).alias("send_rate"))
+    ipw, dr = _value(F.col("pick"), arms, share)
+    return rows.groupBy("policy").agg(F.avg(ipw).alias("ipw"), F.avg(dr).alias("dr"), F.avg(F.when(F.col("pick") != arms[0], 1.0).otherwise(0.0)).alias("send_rate"))
+
+
+def policy_intervals(predictions: DataFrame, replicates: int = 2000, seed: int = 20260902, arms: tuple = (0, 1, 2), share: float = 1 / 3, alpha: float = 0.05) -> DataFrame:
+    """``policy, ci_low, ci_high, lead_low, lead_high``: limits of a policy's doubly robust value,
+    and of what the best-arm policy is worth beyond it, paired within replicates.
+
+    Predictions are held fixed; percentiles over Poisson bootstrap replicates. A unit whose value
+    is null under any policy takes no part. All policies are summed in one pass over units and
+    replicates, and what is shuffled is a row per replicate and task.
+    """
+    picks = {f"all_{a}": F.lit(a) for a in arms} | {"best": _best(arms)}
+    valued = predictions.select("unit_id", *(_value(pick, arms, share)[1].alias(name) for name, pick in picks.items())).na.drop(subset=list(picks))
+    means = _replicated(valued, replicates, seed).groupBy("rep").agg(*((F.sum(F.col("w") * F.col(name)) / F.sum("w")).alias(name) for name in picks))
+    each = means.select(F.inline(F.array(*(F.struct(F.lit(name).alias("policy"), F.col(name).alias("value"), (F.col("best") - F.col(name)).alias("lead")) for name in picks))))
+    return each.groupBy("policy").agg(*_limits("value", "ci_low", "ci_high", alpha), *_limits("lead", "lead_low", "lead_high", alpha))
 
 
 def cost_grid(values: DataFrame, costs: list[float]) -> DataFrame:

@@ -227,6 +227,23 @@ def policy_value(spark, sf_dir):
     return _rounded(uplift.policy_values(uplift.t_learner(units(spark, sf_dir))), 3, send_rate=6)
 
 
+_WEIGHT = " + ".join(f"CAST(u >= {s} AS INTEGER)" for s in inference.poisson_steps())
+
+
+@_query(_POLICY + f""", s AS (SELECT unit_id, policy, CASE choice WHEN 0 THEN mu_0 WHEN 1 THEN mu_1 ELSE mu_2 END + CASE WHEN arm = choice THEN 3 * (y - CASE choice WHEN 0 THEN mu_0 WHEN 1 THEN mu_1 ELSE mu_2 END) ELSE 0 END AS phi FROM a),
+u AS (SELECT unit_id, rep, {_DRAW.format(f"'{SEED}|' || rep || '|' || unit_id")} AS u FROM units, range(0, {_REPS}) r(rep)),
+m AS (SELECT rep, policy, sum(({_WEIGHT}) * phi) / sum({_WEIGHT}) AS value FROM s JOIN u USING (unit_id) GROUP BY ALL)
+SELECT m.policy, round(quantile_cont(m.value, 0.025), 3) AS ci_low, round(quantile_cont(m.value, 0.975), 3) AS ci_high, round(quantile_cont(b.value - m.value, 0.025), 3) AS lead_low, round(quantile_cont(b.value - m.value, 0.975), 3) AS lead_high
+FROM m JOIN m b ON b.rep = m.rep AND b.policy = 'best' GROUP BY m.policy""")
+def policy_interval(spark, sf_dir):
+    return _rounded(uplift.policy_intervals(uplift.t_learner(units(spark, sf_dir)), _REPS, SEED), 3)
+
+
+@_query()
+def uplift_bin_interval(spark, sf_dir):
+    return uplift.uplift_bin_intervals(uplift.t_learner(units(spark, sf_dir)), 200, SEED)
+
+
 @_query(_POLICY + " SELECT policy, c.cost AS cost, round(dr - c.cost * send_rate, 3) AS net FROM v, (VALUES (0.0::DOUBLE), (100.0), (1000.0)) c(cost)")
 def cost_sensitivity(spark, sf_dir):
     values = uplift.policy_values(uplift.t_learner(units(spark, sf_dir)))

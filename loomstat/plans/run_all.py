@@ -36,7 +36,7 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
 
 
 def stages(frame: DataFrame, args: argparse.Namespace, predictions: DataFrame) -> dict[str, DataFrame]:
-    """The results by name; the last two depend on the predictions alone."""
+    """The results by name; those from 05 on depend on the predictions alone."""
     stats = inference.moments(inference.long_outcomes(frame, OUTCOMES), ["outcome", "arm"])
     effects = inference.holm(inference.welch(inference.contrasts(stats, CONTRASTS), 0.05), ["outcome"])
     spend = frame.select("unit_id", "arm", F.col("spend").alias("y"))
@@ -53,7 +53,9 @@ def stages(frame: DataFrame, args: argparse.Namespace, predictions: DataFrame) -
         "04_cells": uplift.cells(frame, "channel", (1, 0)),
         "04_slopes": uplift.slopes(frame, "history"),
         "05_uplift_bins": uplift.uplift_bins(predictions),
+        "05_uplift_intervals": uplift.uplift_bin_intervals(predictions, args.policy_bootstrap, args.seed),
         "06_policies": values,
+        "06_policy_intervals": uplift.policy_intervals(predictions, args.policy_bootstrap, args.seed),
         "07_costs": uplift.cost_grid(values, [0.0, 100.0, 1000.0]),
     }
 

@@ -100,7 +100,23 @@ def test_staged_run(spark, tmp_path):
 
     assert run_all.parse_args(["--data", "d", "--out", "o", "--folds", "9", "--quick"]).folds == 3
     done = run_all.main(["--data", SF, "--out", str(tmp_path), "--quick"], spark)
-    assert len(done) == 12 and spark.read.option("header", True).csv(f"{tmp_path}/02_effects").count() == 9
+    assert len(done) == 14 and spark.read.option("header", True).csv(f"{tmp_path}/02_effects").count() == 9
+
+
+def test_policy_and_bin_intervals_hold_their_estimates(spark):
+    from loomstat.operators import uplift
+
+    rows = spark.range(600).selectExpr("id AS unit_id", "CAST(id % 3 AS INT) AS arm", "CAST(id % 7 + 10 * (id % 3) AS DOUBLE) AS y", "3.0D AS mu_0", "13.0D + id % 2 AS mu_1", "23.0D AS mu_2")
+    values = {r["policy"]: r["dr"] for r in uplift.policy_values(rows).collect()}
+    got = {r["policy"]: r for r in uplift.policy_intervals(rows.repartition(5), 200, 1).collect()}
+    assert set(got) == set(values) and all(got[p]["ci_low"] <= v <= got[p]["ci_high"] for p, v in values.items())
+    assert got["best"]["lead_low"] == got["best"]["lead_high"] == 0 and got["all_0"]["lead_low"] > 0
+    bins = {r["bin"]: r["uplift"] for r in uplift.uplift_bins(rows, bins=2).collect()}
+    limits = uplift.uplift_bin_intervals(rows, 200, 1, bins=2).collect()
+    assert {r["bin"] for r in limits} == set(bins) and all(r["ci_low"] <= bins[r["bin"]] <= r["ci_high"] for r in limits)
+    odd = rows.withColumn("y", F.when(F.col("unit_id") > 5, F.col("y")))
+    assert all(r["ci_low"] is not None for r in uplift.policy_intervals(odd, 20, 1).collect())
+    assert uplift.policy_intervals(rows.limit(0), 20, 1).count() == uplift.uplift_bin_intervals(rows.limit(0), 20, 1).count() == 0
 
 
 def test_density_clusters_find_two_groups_and_noise(spark):
