@@ -23,6 +23,21 @@ def price_band(products: DataFrame, cuts: list[float]) -> DataFrame:
     return products.withColumn("band", sum((F.when(F.col("price") >= c, 1).otherwise(0) for c in cuts), F.lit(0)))
 
 
+def positioning(reviews: DataFrame, products: DataFrame) -> DataFrame:
+    """``price_side, rating_side, n_products, n_reviews, mean_price, mean_stars``: products with
+    reviews, on either side of the mean price and of the mean of their mean stars.
+
+    A null price or rating is on neither side, and its side is null.
+    """
+    per = reviews.groupBy("product_id").agg(F.count(F.lit(1)).alias("n"), F.avg("stars").alias("stars"))
+    rows = products.select("product_id", "price").join(per, "product_id")
+    price, stars = rows.agg(F.avg("price"), F.avg("stars")).first()
+    side = lambda c, cut: F.when(F.col(c) >= cut, "high").when(F.col(c) < cut, "low")
+    return rows.groupBy(side("price", price).alias("price_side"), side("stars", stars).alias("rating_side")).agg(
+        F.count(F.lit(1)).alias("n_products"), F.sum("n").alias("n_reviews"), F.avg("price").alias("mean_price"), F.avg("stars").alias("mean_stars")
+    )
+
+
 def concentration(shares: DataFrame, value: str = "n_reviews") -> DataFrame:
     """``n, hhi, gini, top10_share`` of one value per row.
 
@@ -75,3 +90,19 @@ def keyword_contrast(tf: DataFrame, groups: DataFrame) -> DataFrame:
     na, nb = by.agg(F.sum("a"), F.sum("b")).first()
     odds = lambda c, n: F.log((F.col(c) + 0.5) / (F.lit(float(n or 0)) - F.col(c) + 0.5))
     return by.select("term", "a", "b", (odds("a", na) - odds("b", nb)).alias("log_odds"))
+
+
+def group_keywords(tf: DataFrame, groups: DataFrame, k: int = 10) -> DataFrame:
+    """``g, term, a, log_odds, k``: the k terms of each group with the largest smoothed log-odds
+    against all other groups, ties by term.
+
+    ``groups`` has ``product_id`` and ``g``; products without a group take no part. Counts are
+    added up by group and term first; terms beyond k are dropped before the groups are dealt.
+    """
+    by = tf.join(groups.where("g IS NOT NULL"), "product_id").groupBy("g", "term").agg(F.sum("tf").alias("a"))
+    sizes = by.groupBy("g").agg(F.sum("a").alias("na"))
+    whole = by.agg(F.sum("a")).first()[0] or 0
+    rows = by.join(by.groupBy("term").agg(F.sum("a").alias("all")), "term").join(sizes, "g")
+    odds = lambda c, n: F.log((c + 0.5) / (n - c + 0.5))
+    scored = rows.select("g", "term", "a", F.round(odds(F.col("a"), F.col("na")) - odds(F.col("all") - F.col("a"), F.lit(whole) - F.col("na")), 6).alias("log_odds"))
+    return scored.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy(F.col("log_odds").desc(), "term"))).where(F.col("k") <= k)

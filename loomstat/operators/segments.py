@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
@@ -10,13 +11,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _features(vectors: DataFrame, vector_col: str) -> DataFrame:
+    return vectors.where(F.col(vector_col).isNotNull()).withColumn("features", array_to_vector(F.col(vector_col).cast("array<double>")))
+
+
 def kmeans(vectors: DataFrame, k: int, seed: int = 20260902, max_iter: int = 20, vector_col: str = "embedding") -> DataFrame:
     """``vectors`` with ``segment``; rows with a null vector are left out."""
-    rows = vectors.where(F.col(vector_col).isNotNull()).withColumn("features", array_to_vector(F.col(vector_col).cast("array<double>")))
+    rows = _features(vectors, vector_col)
     model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="segment").fit(rows)
     return model.transform(rows).drop("features")
 
 
+def kmeans_search(vectors: DataFrame, ks: list[int], seed: int = 20260902, max_iter: int = 20, vector_col: str = "embedding") -> DataFrame:
+    """``k, cost, silhouette, best``: k-means at each k, judged by the mean silhouette of squared
+    distances, which takes sums by cluster, not pairs. The best has the largest, the smaller k
+    at ties. A k that leaves one cluster has no silhouette. Vectors are kept in memory or on disk
+    over the search.
+    """
+    rows = _features(vectors, vector_col).select("features").persist()
+    found = []
+    for k in ks:
+        model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="segment").fit(rows)
+        several = k > 1 and sum(n > 0 for n in model.summary.clusterSizes) > 1
+        score = ClusteringEvaluator(featuresCol="features", predictionCol="segment").evaluate(model.transform(rows)) if several else None
+        found.append((k, float(model.summary.trainingCost), score))
+    rows.unpersist()
+    best = max((x for x in found if x[2] is not None), key=lambda x: (x[2], -x[0]), default=(None,))[0]
+    return vectors.sparkSession.createDataFrame([(*x, x[0] == best) for x in found], "k int, cost double, silhouette double, best boolean")
+
+
 def profiles(segmented: DataFrame, label: str = "label") -> DataFrame:
     """``segment, n, n_labels, purity``: size, and the share of the commonest label."""
     by = segmented.groupBy("segment", label).agg(F.count(F.lit(1)).alias("c"))

@@ -272,6 +272,12 @@ def price_bands(spark, sf_dir):
     return _rounded(market.size_by(reviews(spark, sf_dir), market.price_band(products(spark, sf_dir), [925.0, 950.0, 975.0]), "band"), 6, mean_price=4)
 
 
+@_query(f"""WITH {_REV}, n AS (SELECT product_id, count(*) AS n, avg(stars) AS stars FROM r GROUP BY 1), x AS (SELECT price, n, stars FROM pr JOIN n USING (product_id)), c AS (SELECT avg(price) AS cp, avg(stars) AS cs FROM x)
+SELECT CASE WHEN price >= cp THEN 'high' ELSE 'low' END AS price_side, CASE WHEN stars >= cs THEN 'high' ELSE 'low' END AS rating_side, count(*) AS n_products, CAST(sum(n) AS BIGINT) AS n_reviews, round(avg(price), 4) AS mean_price, round(avg(stars), 6) AS mean_stars FROM x, c GROUP BY ALL""")
+def positioning(spark, sf_dir):
+    return _rounded(market.positioning(reviews(spark, sf_dir), products(spark, sf_dir)), 6, mean_price=4)
+
+
 @_query("""WITH c AS (SELECT l_partkey, count(*) AS v FROM lineitem GROUP BY 1), o AS (SELECT v, row_number() OVER (ORDER BY v) AS i, count(*) OVER () AS n, sum(v) OVER () AS t FROM c)
 SELECT max(n) AS n, round(sum(v * v) / max(t) / max(t), 9) AS hhi, round(2 * sum(v * i) / (max(n) * max(t)::DOUBLE) - (max(n) + 1) / max(n)::DOUBLE, 6) AS gini, round(sum(v) FILTER (i > n - ceil(n * 0.1)) / max(t), 6) AS top10_share FROM o""")
 def review_concentration(spark, sf_dir):
@@ -330,6 +336,42 @@ def keyword_contrast_by_price(spark, sf_dir):
     return _rounded(market.keyword_contrast(_tf(spark, sf_dir), groups))
 
 
+_CONTRAST = ", x AS (SELECT term, CAST(sum(CASE WHEN g = 1 THEN tf ELSE 0 END) AS BIGINT) AS a, CAST(sum(CASE WHEN g = 0 THEN tf ELSE 0 END) AS BIGINT) AS b FROM tf JOIN g USING (product_id) GROUP BY term), n AS (SELECT sum(a) AS na, sum(b) AS nb FROM x) SELECT term, a, b, round(ln((a + 0.5) / (na - a + 0.5)) - ln((b + 0.5) / (nb - b + 0.5)), 6) AS log_odds FROM x, n"
+_PER_PRODUCT = ", per AS (SELECT l_partkey AS product_id, count(*) AS n, avg(ceil(l_quantity / 10)) AS stars FROM lineitem GROUP BY 1)"
+
+
+def _per_product(spark, sf_dir):
+    return reviews(spark, sf_dir).groupBy("product_id").agg(F.count(F.lit(1)).alias("n"), F.avg("stars").alias("stars"))
+
+
+@_query(_TF + _PER_PRODUCT + ", g AS (SELECT product_id, CAST(stars >= 3 AS INTEGER) AS g FROM per)" + _CONTRAST)
+def keyword_contrast_by_rating(spark, sf_dir):
+    groups = _per_product(spark, sf_dir).select("product_id", F.when(F.col("stars") >= 3, 1).otherwise(0).alias("g"))
+    return _rounded(market.keyword_contrast(_tf(spark, sf_dir), groups))
+
+
+@_query(_TF + _PER_PRODUCT + ", g AS (SELECT product_id, CAST(n > (SELECT avg(n) FROM per) AS INTEGER) AS g FROM per)" + _CONTRAST)
+def keyword_contrast_head_tail(spark, sf_dir):
+    per = _per_product(spark, sf_dir)
+    mean = per.agg(F.avg("n")).first()[0]
+    return _rounded(market.keyword_contrast(_tf(spark, sf_dir), per.select("product_id", F.when(F.col("n") > mean, 1).otherwise(0).alias("g"))))
+
+
+@_query(_TF + """, b AS (SELECT p_type AS g, term, sum(tf) AS a FROM tf JOIN part ON p_partkey = product_id GROUP BY ALL),
+x AS (SELECT *, sum(a) OVER (PARTITION BY g) AS na, sum(a) OVER (PARTITION BY term) AS w, sum(a) OVER () AS n FROM b),
+l AS (SELECT g, term, CAST(a AS BIGINT) AS a, round(ln((a + 0.5) / (na - a + 0.5)) - ln((w - a + 0.5) / (n - na - w + a + 0.5)), 6) AS log_odds FROM x),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY g ORDER BY log_odds DESC, term) AS INTEGER) AS k FROM l) SELECT * FROM k WHERE k <= 10""")
+def keywords_by_form(spark, sf_dir):
+    return market.group_keywords(_tf(spark, sf_dir), products(spark, sf_dir).select("product_id", F.col("form").alias("g")))
+
+
+@_query("SELECT lang, CAST(floor(log2(greatest(length(text), 1))) AS BIGINT) AS doublings, count(*) AS n, round(avg(length(text)), 4) AS mean_chars, CAST(max(length(text)) AS INTEGER) AS max_chars FROM documents GROUP BY ALL")
+def eda_text_length(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("lang", F.length("text").alias("c"))
+    doublings = F.floor(F.log2(F.greatest("c", F.lit(1)))).alias("doublings")
+    return _rounded(rows.groupBy("lang", doublings).agg(F.count(F.lit(1)).alias("n"), F.avg("c").alias("mean_chars"), F.max("c").alias("max_chars")), 4)
+
+
 @_query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY lower(trim(text))")
 def dedupe_reviews(spark, sf_dir):
     return read(spark, sf_dir, "documents").groupBy(F.lower(F.trim("text")).alias("t")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).drop("t")
@@ -340,6 +382,11 @@ def kmeans_segments(spark, sf_dir):
     return segments.profiles(segments.kmeans(read(spark, sf_dir, "embeddings"), 10))
 
 
+@_query()
+def kmeans_search(spark, sf_dir):
+    return segments.kmeans_search(read(spark, sf_dir, "embeddings"), [5, 10, 20])
+
+
 @_query()
 def segment_agreement(spark, sf_dir):
     rows = read(spark, sf_dir, "embeddings")

@@ -95,6 +95,23 @@ def test_p_text_and_agreement(spark):
     assert market.concentration(spark.createDataFrame([(1,), (1,), (1,), (1,)], "n_reviews int")).first()["gini"] == pytest.approx(0)
 
 
+def test_kmeans_search_finds_two_groups(spark):
+    rows = spark.createDataFrame([(k, [float(k % 2) * 9 + k / 100, 0.0]) for k in range(40)] + [(40, None)], "vec_id long, embedding array<double>")
+    found = {r["k"]: r for r in segments.kmeans_search(rows, [1, 2, 4]).collect()}
+    assert [k for k, r in found.items() if r["best"]] == [2] and found[1]["silhouette"] is None and found[2]["cost"] < found[1]["cost"]
+
+
+def test_group_keywords_and_positions_on_odd_rows(spark):
+    tf = spark.createDataFrame([(1, "x", 5), (1, "y", 1), (2, "y", 5), (2, "z", 5), (3, "w", 9)], "product_id long, term string, tf long")
+    groups = spark.createDataFrame([(1, "p"), (2, "q"), (3, None)], "product_id long, g string")
+    got = {(r["g"], r["k"]): r["term"] for r in market.group_keywords(tf, groups, 1).collect()}
+    assert got == {("p", 1): "x", ("q", 1): "z"} and market.group_keywords(tf.limit(0), groups).count() == 0
+    reviews = spark.createDataFrame([(1, 5), (2, 1), (2, 1)], "product_id long, stars int")
+    products = spark.createDataFrame([(1, 1.0), (2, 3.0), (3, 9.0)], "product_id long, price double")
+    assert sorted((r["price_side"], r["rating_side"], r["n_reviews"]) for r in market.positioning(reviews, products).collect()) == [("high", "low", 2), ("low", "high", 1)]
+    assert market.positioning(reviews.limit(0), products).count() == 0
+
+
 def test_staged_run(spark, tmp_path):
     from loomstat.plans import run_all
 
