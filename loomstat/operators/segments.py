@@ -25,14 +25,14 @@ def kmeans(vectors: DataFrame, k: int, seed: int = 20260902, max_iter: int = 20,
 def kmeans_search(vectors: DataFrame, ks: list[int], seed: int = 20260902, max_iter: int = 20, vector_col: str = "embedding") -> DataFrame:
     """``k, cost, silhouette, best``: k-means at each k, judged by the mean silhouette of squared
     distances, which takes sums by cluster, not pairs. The best has the largest, the smaller k
-    at ties. A k that leaves one cluster has no silhouette. Vectors are kept in memory or on disk
-    over the search.
+    at ties. Each k is 2 or more; one that leaves a single cluster, as of equal vectors, has no
+    silhouette. Vectors are kept in memory or on disk over the search.
     """
     rows = _features(vectors, vector_col).select("features").persist()
     found = []
     for k in ks:
         model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="segment").fit(rows)
-        several = k > 1 and sum(n > 0 for n in model.summary.clusterSizes) > 1
+        several = sum(n > 0 for n in model.summary.clusterSizes) > 1
         score = ClusteringEvaluator(featuresCol="features", predictionCol="segment").evaluate(model.transform(rows)) if several else None
         found.append((k, float(model.summary.trainingCost), score))
     rows.unpersist()

@@ -97,8 +97,10 @@ def test_p_text_and_agreement(spark):
 
 def test_kmeans_search_finds_two_groups(spark):
     rows = spark.createDataFrame([(k, [float(k % 2) * 9 + k / 100, 0.0]) for k in range(40)] + [(40, None)], "vec_id long, embedding array<double>")
-    found = {r["k"]: r for r in segments.kmeans_search(rows, [1, 2, 4]).collect()}
-    assert [k for k, r in found.items() if r["best"]] == [2] and found[1]["silhouette"] is None and found[2]["cost"] < found[1]["cost"]
+    found = {r["k"]: r for r in segments.kmeans_search(rows, [2, 4]).collect()}
+    assert [k for k, r in found.items() if r["best"]] == [2] and found[4]["cost"] < found[2]["cost"]
+    same = segments.kmeans_search(rows.withColumn("embedding", F.array(F.lit(1.0), F.lit(2.0))), [2]).first()
+    assert same["silhouette"] is None and not same["best"]
 
 
 def test_group_keywords_and_positions_on_odd_rows(spark):
