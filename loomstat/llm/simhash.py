@@ -79,13 +79,54 @@ def partial_keys(hashes: np.ndarray) -> list[int]:
         for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
             if a < b:
                 key = xxhash.xxh64_intdigest(b"%d %d %d %d" % (level, k, b - a, fingerprint(few[a:b])))
-                out.append(key - 2**64 if key >= 2**63 else key)
+                out.append(signed(key))
     return out
 
 
+#: Segments of the counts that stand for a set of shingles; a count ends at 255.
+SEGMENTS = 128
+#: One text in this many, chosen by its hash, tells which shingles are frequent: those in FREQUENT
+#: or more of these texts, the commonest FREQUENT_MOST. That only orders shingles within a text.
+SAMPLE, FREQUENT, FREQUENT_MOST = 64, 4, 200_000
+
+
+def signed(value: int) -> int:
+    return value - 2**64 if value >= 2**63 else value
+
+
+def digest(distinct: np.ndarray) -> int:
+    """Hash of a sorted array of distinct shingle hashes, signed."""
+    return signed(xxhash.xxh64_intdigest(distinct.tobytes()))
+
+
+def segment_counts(distinct: np.ndarray) -> bytes:
+    """Shingles in each segment of the hash range. The Manhattan distance of two such vectors is
+    a lower bound of the number of shingles that only one of the sets has."""
+    counts = np.bincount((distinct % np.uint64(SEGMENTS)).astype(np.int64), minlength=SEGMENTS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def most_apart(sizes, similarity: float):
+    """Most shingles that only one of two sets has, given the sum of their sizes."""
+    return sizes * ((1 - similarity) / (1 + similarity)) + 1e-9
+
+
+def prefix(distinct: np.ndarray, similarity: float, frequent: np.ndarray) -> np.ndarray:
+    """The first shingles of a set in the order (frequent, hash), as many as make any two sets at
+    the Jaccard index ``similarity`` have one in common. Every order does; this one keeps groups small."""
+    n = len(distinct)
+    if not n:
+        return distinct
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, distinct), len(frequent) - 1)
+        common = frequent[at] == distinct
+        distinct = np.concatenate([distinct[~common], distinct[common]])
+    return distinct[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, partial: bool = False) -> DataFrame:
     """``doc_id, fp`` of every row; fp is the fingerprint as a signed long. With ``partial`` also the
-    array ``keys`` of partial_keys.
+    array ``keys`` of partial_keys, and ``digest, size, counts`` of the set of shingles.
 
     A null or wordless text has fingerprint 0. Ids are passed through, null ids included;
     other columns of ``docs`` are ignored.
@@ -98,10 +139,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             columns = [batch.column(0), pa.array(map(fingerprint, hashes), pa.int64())]
             if partial:
                 columns.append(pa.array(map(partial_keys, hashes), pa.list_(pa.int64())))
-            yield pa.record_batch(columns, names=["doc_id", "fp", "keys"][: len(columns)])
+                sets = [np.unique(x) for x in hashes]
+                columns += [pa.array(map(digest, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(segment_counts, sets), pa.binary())]
+            yield pa.record_batch(columns, names=["doc_id", "fp", "keys", "digest", "size", "counts"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long" + ", keys array<long>" * partial)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long" + ", keys array<long>, digest long, size long, counts binary" * partial)
 
 
 def _grid(fps: DataFrame) -> DataFrame:
@@ -193,14 +236,130 @@ def similar_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: flo
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.unique(shingle_hashes(x, words)), np.unique(shingle_hashes(y, words))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
+                both, either = _jaccard(*(np.unique(shingle_hashes(t, words)) for t in (x, y)))
+                keep.append(both >= similarity * either - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
 
+def _jaccard(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
+    """Sizes of the intersection and the union of two sorted arrays of distinct values."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both, len(x) + len(y) - both
+
+
+def frequent_shingles(docs: DataFrame, words: int, text_col: str = "text") -> np.ndarray:
+    """Sorted hashes of frequent shingles, at most FREQUENT_MOST of them (1.6 MB)."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            hashes = [np.unique(shingle_hashes(t, words)) for t in batch.column(0).to_pylist()]
+            if hashes:
+                yield pa.record_batch([pa.array(np.concatenate(hashes).view(np.int64))], names=["shingle"])
+
+    text = docs.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    some = text.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).dropDuplicates(["text"])
+    counts = some.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where(f"n >= {FREQUENT}")
+    top = counts.orderBy(F.desc("n"), "shingle").limit(FREQUENT_MOST)
+    return np.sort(np.array([x.shingle for x in top.select("shingle").toLocalIterator()], np.int64).view(np.uint64))
+
+
+def close_sets(group: pa.Table, similarity: float) -> pa.Table:
+    """Pairs ``a, b`` of digests in ``group`` (``digest, component, size, counts``), of different
+    components, whose sizes and counts allow the Jaccard index ``similarity``."""
+    ids, first = np.unique(group.column("digest").to_numpy(), return_index=True)
+    sizes = group.column("size").to_numpy()[first]
+    order = np.argsort(sizes, kind="stable")
+    ids, sizes, first = ids[order], sizes[order], first[order]
+    parts = group.column("component").to_numpy()[first]
+    counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint8).reshape(-1, SEGMENTS)[first].astype(np.int16)
+    ends = np.searchsorted(sizes, sizes / similarity + 1e-9, "right")
+    left, right = [], []
+    for k, end in enumerate(ends):
+        apart = np.abs(counts[k + 1 : end] - counts[k]).sum(axis=1)
+        near = (apart <= most_apart(sizes[k + 1 : end] + sizes[k], similarity)) & (parts[k + 1 : end] != parts[k])
+        right.append(ids[k + 1 : end][near])
+        left.append(np.full(len(right[-1]), ids[k]))
+    return pa.table([np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right)], names=["a", "b"])
+
+
+def missed_links(docs: DataFrame, sets: DataFrame, words: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Edges ``a, b`` between components of ``sets`` (``digest, component, size, counts, first_id``, one
+    row for each digest) for all pairs of texts of different components that have at least this
+    Jaccard index: none is missed.
+
+    Two such sets have a shingle of their prefixes in common. Only shingles that components share
+    are looked at, and groups of copies are one component by now, so they do not come up. The
+    members of a large group are dealt into blocks. Sizes and segment counts bound the index from
+    above; what they let pass is verified on whole texts.
+    """
+    spark = docs.sparkSession
+    frequent = frequent_shingles(docs, words, text_col)
+    small_batches(spark)
+    text = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).cast("string").alias("text"))
+
+    def prefixes(batches):
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t or "", words)) for t in batch.column(0).to_pylist()]
+            shingles = [prefix(x, similarity, frequent).view(np.int64) for x in found]
+            yield pa.record_batch([pa.array(map(digest, found), pa.int64()), pa.array(shingles, pa.list_(pa.int64()))], names=["digest", "shingles"])
+
+    firsts = stored(text.select("text").mapInArrow(prefixes, "digest long, shingles array<long>"), "simhash-prefixes")
+    names = sets.select("digest", "component")
+    keyed = firsts.join(names, "digest").select("digest", "component", F.explode("shingles").alias("key"))
+    groups = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    shared = stored(groups.where("low < high").select("key"), "simhash-shared")
+    rows = firsts.select("digest", F.explode("shingles").alias("key")).join(shared, "key").distinct()
+    rows = stored(rows, "simhash-members")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
+    members = rows.join(sizes, "key").join(sets.select("digest", "component", "size", "counts"), "digest")
+    cold = members.where(f"n <= {COLD}").select("key", "digest", "component", "size", "counts")
+    one, two = (cold.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("digest", "component", "size", "counts"))) for side in "ab")
+    pairs = one.join(two, "key").where(f"digest_a < digest_b AND component_a <> component_b AND least(size_a, size_b) >= {similarity} * greatest(size_a, size_b) - 1e-9")
+
+    def bounded(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SEGMENTS).astype(np.int16) for k in (3, 4))
+            near = np.abs(a - b).sum(axis=1) <= most_apart(batch.column(2).to_numpy(), similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    few = pairs.select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"), (F.col("size_a") + F.col("size_b")).alias("sizes"), "counts_a", "counts_b").mapInArrow(bounded, "a long, b long")
+    dealt = (
+        members.where(f"n > {COLD}")
+        .withColumn("k", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
+        .selectExpr("key", "digest", "component", "size", "counts", "explode(transform(sequence(0, parts - 1), j -> struct(least(j, k) AS i, greatest(j, k) AS j))) AS at")
+        .selectExpr("key", "at.i", "at.j", "digest", "component", "size", "counts")
+    )
+    many = dealt.groupBy("key", "i", "j").applyInArrow(lambda group: close_sets(group, similarity), "a long, b long")
+    pairs = stored(few.union(many).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-near")
+
+    def digests(batches):
+        for batch in batches:
+            texts = batch.column(0)
+            found = [digest(np.unique(shingle_hashes(t or "", words))) for t in texts.to_pylist()]
+            yield pa.record_batch([pa.array(found, pa.int64()), texts], names=["digest", "text"])
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(sets.select("digest", "first_id", "component"), "digest")
+    ends = stored(ends, "simhash-ends")
+    known = text.join(ends.select("first_id").where("first_id IS NOT NULL").distinct(), "first_id", "left_semi")
+    some = known.union(text.where("first_id IS NULL")).select("text").mapInArrow(digests, "digest long, text string")
+    texts = stored(some.groupBy("digest").agg(F.max("text").alias("text")).join(ends.select("digest", "component"), "digest"), "simhash-texts")
+
+    def verify(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                both, either = _jaccard(*(np.unique(shingle_hashes(t or "", words)) for t in (x, y)))
+                keep.append(both >= similarity * either - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda c: texts.select(F.col("digest").alias(c), F.col("component").alias(f"component_{c}"), F.col("text").alias(f"text_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select(F.col("component_a").alias("a"), F.col("component_b").alias("b"), "text_a", "text_b").mapInArrow(verify, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = MAX_BITS, similarity: float | None = None) -> DataFrame:
     """One row per document: ``doc_id, fp, component_id``.
 
@@ -208,8 +367,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is the smallest id reachable, the own included. Equal fingerprints, that of empty texts
     among them, are one node, so groups of copies are never paired. Repeated rows keep their
     rows; a null id gets a row and is never the smallest (null only if its component has no
-    other id). An empty table gives an empty result. With ``similarity``, texts whose shingle
-    sets have at least this Jaccard index link too.
+    other id). An empty table gives an empty result. With ``similarity``, all texts whose shingle
+    sets have at least this Jaccard index link too: partial fingerprints link most of them, and
+    missed_links the rest.
     """
     partial = similarity is not None
     rows = stored(fingerprints(docs, id_col, text_col, words, partial), "simhash")
@@ -217,9 +377,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *keys))
     edges = links(nodes.select("fp"), max_bits)
     if partial:
-        edges = edges.union(similar_links(docs, nodes, words, similarity, id_col, text_col))
+        sets = rows.groupBy("digest").agg(F.min("fp").alias("fp"), F.max("fp").alias("last_fp"), F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("counts").alias("counts"))
+        sets = stored(sets, "simhash-sets")
+        # Equal sets whose repeats differ have fingerprints of their own: all of them link to the first.
+        same = rows.join(sets.where("fp <> last_fp").select("digest", F.col("fp").alias("a")), "digest").select("a", F.col("fp").alias("b")).where("a <> b")
+        edges = edges.union(similar_links(docs, nodes, words, similarity, id_col, text_col)).union(same)
     parts = components(edges).withColumnRenamed("node", "fp")
     named = nodes.join(parts, "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+    if partial:
+        named = stored(named, "simhash-named")
+        sets = stored(sets.join(named.select("fp", "component"), "fp").select("digest", "component", "size", "counts", "first_id"), "simhash-sets")
+        more = components(missed_links(docs, sets, words, similarity, id_col, text_col)).select(F.col("node").alias("component"), F.col("component").alias("lower"))
+        named = named.join(more, "component", "left").select("fp", "first_id", F.coalesce("lower", "component").alias("component"))
     lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     return rows.join(named.join(lowest, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 

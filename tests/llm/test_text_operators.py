@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -79,6 +80,56 @@ def test_similar_texts_link_at_a_jaccard_index(spark):
     assert simhash.near_duplicates(texts(spark, []), words=5, similarity=0.8).count() == 0
 
 
+def brute_similar(rows, words=5, similarity=0.8):
+    """Smallest id reachable over links at three bits or at the Jaccard index."""
+    sets = {k: set(simhash.shingle_hashes(t or "", words).tolist()) for k, t in rows}
+    fps = {k: simhash.fingerprint(simhash.shingle_hashes(t or "", words)) % 2**64 for k, t in rows}
+    root = {k: k for k in sets}
+
+    def find(k):
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for a, b in combinations(sorted(sets), 2):
+        either = len(sets[a] | sets[b])
+        if (fps[a] ^ fps[b]).bit_count() <= 3 or (either and 5 * len(sets[a] & sets[b]) >= 4 * either):
+            one, two = sorted((find(a), find(b)))
+            root[two] = one
+    return {k: find(k) for k in root}
+
+
+@pytest.mark.parametrize(("cold", "block", "frequent"), [(16, 4096, 4), (2, 8, 1)])
+def test_no_similar_pair_is_missed(spark, monkeypatch, cold, block, frequent):
+    """Short texts at the very index, chains, a passage that many share, blocks of large groups."""
+    for name, value in (("COLD", cold), ("BLOCK", block), ("FREQUENT", frequent), ("SAMPLE", 2)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    passage = [word() for _ in range(60)]
+    rows = []
+    for size in (5, 9, 13, 22, 49, 130, 400):
+        for _ in range(6):
+            chain = [word() for _ in range(size)] + passage * rng.choice((0, 0, 1))
+            for _ in range(rng.choice((2, 3, 5))):
+                rows.append((len(rows), " ".join(chain)))
+                chain = list(chain)
+                lost = max(1, (len(chain) - 4) // 10)
+                chain = chain[lost:] + [word() for _ in range(lost)] if rng.random() < 0.7 else chain[: -lost - 1]
+    rng.shuffle(rows)
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    found = simhash.near_duplicates(texts(spark, rows), words=5, similarity=0.8)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == brute_similar(rows)
+
+
+def test_texts_without_an_id_link_texts(spark):
+    base = [f"w{k}" for k in range(40)]
+    rows = [(5, " ".join(base)), (None, " ".join(base[3:] + ["x", "y", "z"])), (3, " ".join(base[6:] + ["x", "y", "z", "u", "v", "w"]))]
+    found = simhash.near_duplicates(texts(spark, rows), words=5, similarity=0.8).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {5: 3, None: 3, 3: 3}
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     found = {r["node"]: r["component"] for r in components.components(edges).collect()}
