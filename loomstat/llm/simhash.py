@@ -83,8 +83,10 @@ def partial_keys(hashes: np.ndarray) -> list[int]:
     return out
 
 
-#: Segments of the counts that stand for a set of shingles; a count ends at 255.
-SEGMENTS = 128
+#: Fewest and most segments of the counts that stand for a set of shingles; a count ends at 255.
+SEGMENTS, SEGMENTS_MOST = 128, 8192
+#: Members of one block of a shingle that many sets share.
+SET_BLOCK = 1024
 #: One text in this many, chosen by its hash, tells which shingles are frequent: those in FREQUENT
 #: or more of these texts, the commonest FREQUENT_MOST. That only orders shingles within a text.
 SAMPLE, FREQUENT, FREQUENT_MOST = 64, 4, 200_000
@@ -99,11 +101,28 @@ def digest(distinct: np.ndarray) -> int:
     return signed(xxhash.xxh64_intdigest(distinct.tobytes()))
 
 
+def segments(size: int) -> int:
+    """Segments for a set of so many shingles, a power of two: four to eight shingles in each."""
+    return min(SEGMENTS_MOST, max(SEGMENTS, 1 << (size // 8).bit_length()))
+
+
 def segment_counts(distinct: np.ndarray) -> bytes:
-    """Shingles in each segment of the hash range. The Manhattan distance of two such vectors is
-    a lower bound of the number of shingles that only one of the sets has."""
-    counts = np.bincount((distinct % np.uint64(SEGMENTS)).astype(np.int64), minlength=SEGMENTS)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+    """Shingles in each segment of the hashes. The Manhattan distance of two such vectors, the longer
+    one folded, is a lower bound of the number of shingles that only one of the sets has."""
+    n = segments(len(distinct))
+    return np.minimum(np.bincount((distinct % np.uint64(n)).astype(np.int64), minlength=n), 255).astype(np.uint8).tobytes()
+
+
+def folded(counts: np.ndarray, n: int) -> np.ndarray:
+    """Counts of a finer division, along the last axis, as those of ``n`` segments."""
+    return counts.reshape(*counts.shape[:-1], -1, n).sum(axis=-2, dtype=np.int32)
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """Manhattan distance of two vectors of counts."""
+    n = min(len(a), len(b))
+    one, two = (folded(np.frombuffer(x, np.uint8), n) for x in (a, b))
+    return int(np.abs(one - two).sum())
 
 
 def most_apart(sizes, similarity: float):
@@ -274,15 +293,21 @@ def close_sets(group: pa.Table, similarity: float) -> pa.Table:
     order = np.argsort(sizes, kind="stable")
     ids, sizes, first = ids[order], sizes[order], first[order]
     parts = group.column("component").to_numpy()[first]
-    counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint8).reshape(-1, SEGMENTS)[first].astype(np.int16)
+    counts = group.column("counts").to_pylist()
+    lengths = np.array([len(counts[k]) for k in first])
     ends = np.searchsorted(sizes, sizes / similarity + 1e-9, "right")
-    left, right = [], []
-    for k, end in enumerate(ends):
-        apart = np.abs(counts[k + 1 : end] - counts[k]).sum(axis=1)
-        near = (apart <= most_apart(sizes[k + 1 : end] + sizes[k], similarity)) & (parts[k + 1 : end] != parts[k])
-        right.append(ids[k + 1 : end][near])
-        left.append(np.full(len(right[-1]), ids[k]))
-    return pa.table([np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right)], names=["a", "b"])
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for n in np.unique(lengths):  # sizes ascend, and so do lengths; partners are of this length or longer
+        start, stop = np.searchsorted(lengths, [n, n + 1])
+        last = ends[start:stop].max()
+        table = np.stack([folded(np.frombuffer(counts[k], np.uint8), n) for k in first[start:last]]).astype(np.int16)
+        for k in range(start, stop):
+            after = slice(k + 1, ends[k])
+            distance = np.abs(table[k + 1 - start : ends[k] - start] - table[k - start]).sum(axis=1, dtype=np.int64)
+            near = (distance <= most_apart(sizes[after] + sizes[k], similarity)) & (parts[after] != parts[k])
+            right.append(ids[after][near])
+            left.append(np.full(len(right[-1]), ids[k]))
+    return pa.table([np.concatenate(x) for x in (left, right)], names=["a", "b"])
 
 
 def missed_links(docs: DataFrame, sets: DataFrame, words: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,7 +338,7 @@ def missed_links(docs: DataFrame, sets: DataFrame, words: int, similarity: float
     shared = stored(groups.where("low < high").select("key"), "simhash-shared")
     rows = firsts.select("digest", F.explode("shingles").alias("key")).join(shared, "key").distinct()
     rows = stored(rows, "simhash-members")
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / F.lit(SET_BLOCK)).cast("int"))
     members = rows.join(sizes, "key").join(sets.select("digest", "component", "size", "counts"), "digest")
     cold = members.where(f"n <= {COLD}").select("key", "digest", "component", "size", "counts")
     one, two = (cold.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("digest", "component", "size", "counts"))) for side in "ab")
@@ -321,9 +346,8 @@ def missed_links(docs: DataFrame, sets: DataFrame, words: int, similarity: float
 
     def bounded(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SEGMENTS).astype(np.int16) for k in (3, 4))
-            near = np.abs(a - b).sum(axis=1) <= most_apart(batch.column(2).to_numpy(), similarity)
-            yield batch.select(["a", "b"]).filter(pa.array(near))
+            near = [apart(a, b) <= most_apart(n, similarity) for n, a, b in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     few = pairs.select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"), (F.col("size_a") + F.col("size_b")).alias("sizes"), "counts_a", "counts_b").mapInArrow(bounded, "a long, b long")
     dealt = (

@@ -100,16 +100,16 @@ def brute_similar(rows, words=5, similarity=0.8):
     return {k: find(k) for k in root}
 
 
-@pytest.mark.parametrize(("cold", "block", "frequent"), [(16, 4096, 4), (2, 8, 1)])
+@pytest.mark.parametrize(("cold", "block", "frequent"), [(16, 1024, 4), (2, 8, 99)])
 def test_no_similar_pair_is_missed(spark, monkeypatch, cold, block, frequent):
     """Short texts at the very index, chains, a passage that many share, blocks of large groups."""
-    for name, value in (("COLD", cold), ("BLOCK", block), ("FREQUENT", frequent), ("SAMPLE", 2)):
+    for name, value in (("COLD", cold), ("SET_BLOCK", block), ("FREQUENT", frequent), ("SAMPLE", 2)):
         monkeypatch.setattr(simhash, name, value)
     rng = random.Random(5)
     word = lambda: f"w{rng.randint(0, 10**6)}"
     passage = [word() for _ in range(60)]
     rows = []
-    for size in (5, 9, 13, 22, 49, 130, 400):
+    for size in (5, 9, 13, 22, 49, 130, 400, 1100):
         for _ in range(6):
             chain = [word() for _ in range(size)] + passage * rng.choice((0, 0, 1))
             for _ in range(rng.choice((2, 3, 5))):
