@@ -27,7 +27,7 @@ END_ID = 2
 #: Documents of one group, about.
 GROUP_DOCS = 20_000
 #: Words that a worker remembers, and the longest one in bytes.
-CACHE_WORDS = 1_800_000
+CACHE_WORDS = 700_000
 CACHE_BYTES = 64
 #: Rows of one batch: the more, the fewer look-ups of repeated words.
 BATCH = 1536
