@@ -114,3 +114,53 @@ def permuted(rows: DataFrame, replicates: int, seed: int, key: str = "unit_id")
         stop -= n
     shuffled = each.withColumn("rn", F.row_number().over(order)).select("rep", arm.alias("arm"), "y")
     return rows.select(F.lit(0).alias("rep"), "arm", "y").union(shuffled)
+
+
+def _dealt(rows: DataFrame, replicates: int, parts: int = 64) -> DataFrame:
+    """Every row once a replicate, ``rep`` from 1, a replicate's rows all in one task.
+
+    What is shuffled is a row per unit and part, not per unit and replicate.
+    """
+    parts = min(parts, replicates)
+    each = rows.withColumn("_part", F.explode(F.sequence(F.lit(1), F.lit(parts)))).repartition(parts, "_part")
+    return each.withColumn("rep", F.explode(F.sequence(F.col("_part"), F.lit(replicates), F.lit(parts)))).drop("_part")
+
+
+def permuted_moments(rows: DataFrame, replicates: int, seed: int, key: str = "unit_id") -> DataFrame:
+    """``rep, arm, n, mean, var``: what ``moments`` gives on ``permuted``, rep 0 as observed.
+
+    Replicates are summed by the leading six bits of the hash that orders them. Only rows of those
+    buckets that two arms share are ranked, so that many replicates need no sort of all units.
+    """
+    arms = sorted((r["arm"], r["n"], r["s"], r["k"]) for r in rows.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.count("y").alias("k")).collect())  # a row per arm
+    centre = sum(x[2] or 0.0 for x in arms) / max(1, sum(x[3] for x in arms))
+    bounds = [sum(x[1] for x in arms[: i + 1]) for i in range(len(arms))]
+    arm_at = lambda rn: F.coalesce(*(F.when(rn <= b, x[0]) for b, x in zip(bounds, arms, strict=True)), F.lit(None)).cast(rows.schema["arm"].dataType)
+    # Sums of values about the common mean, so that their squares keep their digits.
+    each = _dealt(rows.select(key, (F.col("y") - F.lit(centre)).alias("y")), replicates)
+    each = each.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col("rep").cast("string"), F.col(key).cast("string"))))
+    each = each.withColumn("_b", F.concat(F.substring("_h", 1, 1), F.translate(F.substring("_h", 2, 1), "0123456789abcdef", "000044448888cccc")))
+    summed = (F.count("y").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q"))
+    buckets = each.groupBy("rep", "_b").agg(F.count(F.lit(1)).alias("m"), *summed)
+    buckets = buckets.withColumn("stop", F.sum("m").over(Window.partitionBy("rep").orderBy("_b"))).withColumn("start", F.col("stop") - F.col("m"))
+    shared = sum((F.when((F.col("start") < b) & (F.col("stop") > b), 1).otherwise(0) for b in bounds), F.lit(0)) > 0
+    whole = buckets.where(~shared).select("rep", arm_at(F.col("stop")).alias("arm"), "n", "s", "q")
+    # At most a row per replicate and bound.
+    cut = each.join(F.broadcast(buckets.where(shared).select("rep", "_b", "start")), ["rep", "_b"])
+    ranked = cut.withColumn("rn", F.col("start") + F.row_number().over(Window.partitionBy("rep", "_b").orderBy("_h", key)))
+    parts = whole.union(ranked.groupBy("rep", arm_at(F.col("rn")).alias("arm")).agg(*summed)).groupBy("rep", "arm").agg(*(F.sum(c).alias(c) for c in "nsq"))
+    var = F.expr("try_divide(greatest(q - s * s / n, 0.0D), n - 1)")
+    drawn = parts.select("rep", "arm", "n", (F.lit(centre) + F.expr("try_divide(s, n)")).alias("mean"), var.alias("var"))
+    return moments(rows.withColumn("rep", F.lit(0)), ["rep", "arm"]).drop("n_null").union(drawn)
+
+
+def permutation_tests(rows: DataFrame, pairs, replicates: int, seed: int, key: str = "unit_id") -> DataFrame:
+    """``a, b, p_perm, p_maxt``: randomisation p-values of the Welch statistics of planned pairs,
+    each by itself and against the largest statistic of a replicate."""
+    t = F.abs(F.expr("try_divide(mean_a - mean_b, sqrt(var_a / n_a + var_b / n_b))"))
+    found = contrasts(permuted_moments(rows, replicates, seed, key), pairs, by=["rep"]).select("rep", "a", "b", t.alias("t"))
+    # A row per replicate, with the statistics of all pairs; a row per pair observed.
+    draws = found.where("rep > 0").withColumn("top", F.max("t").over(Window.partitionBy("rep")))
+    seen = F.broadcast(found.where("rep = 0").select("a", "b", F.col("t").alias("t0")))
+    p = lambda c: (1 + F.count_if(F.col(c) >= F.col("t0") - 1e-9)) / F.lit(replicates + 1.0)
+    return draws.join(seen, ["a", "b"]).groupBy("a", "b").agg(p("t").alias("p_perm"), p("top").alias("p_maxt"))

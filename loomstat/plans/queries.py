@@ -118,14 +118,22 @@ def validate_binary_counts(spark, sf_dir):
 
 
 _DRAW = "(('0x' || substr(md5({}), 1, 8))::BIGINT)"
+#: Replicates that the SQL repeats, and those of the analysis without SQL: means and permutations, policies.
 _REPS = 20
+REPLICATIONS, POLICY_REPLICATIONS = 10_000, 2_000
 _BOOT = f"""WITH {UNITS_SQL}, p AS (SELECT arm, row_number() OVER (PARTITION BY arm ORDER BY unit_id) - 1 AS rn, spend, count(*) OVER (PARTITION BY arm) AS n FROM units),
 d AS (SELECT rep, arm, {_DRAW.format(f"'{SEED}|' || rep || '|' || arm || '|' || rn")} % n AS pick FROM p, range(0, {_REPS}) r(rep)),
 m AS (SELECT d.rep, d.arm, avg(p.spend) AS mean FROM d JOIN p ON p.arm = d.arm AND p.rn = d.pick GROUP BY ALL)"""
 
 
-def _boot(spark, sf_dir):
-    return inference.bootstrap_means(units(spark, sf_dir).select("unit_id", "arm", F.col("spend").alias("y")), _REPS, SEED)
+def _boot(spark, sf_dir, replicates=_REPS):
+    return inference.bootstrap_means(units(spark, sf_dir).select("unit_id", "arm", F.col("spend").alias("y")), replicates, SEED)
+
+
+def _boot_ci(spark, sf_dir, replicates=_REPS):
+    means = _boot(spark, sf_dir, replicates).withColumns({"n": F.lit(1), "var": F.lit(0.0)})
+    pairs = inference.contrasts(means, CONTRASTS, by=["rep"]).withColumn("d", F.col("mean_a") - F.col("mean_b"))
+    return _rounded(pairs.groupBy("a", "b").agg(F.expr("percentile(d, 0.025)").alias("ci_low"), F.expr("percentile(d, 0.975)").alias("ci_high"), F.stddev_samp("d").alias("se")), 4)
 
 
 @_query(_BOOT + " SELECT CAST(rep AS INTEGER) AS rep, arm, round(mean, 4) AS mean FROM m")
@@ -135,9 +143,17 @@ def bootstrap_arm_mean(spark, sf_dir):
 
 @_query(_BOOT + f" SELECT a, b, round(quantile_cont(x.mean - z.mean, 0.025), 4) AS ci_low, round(quantile_cont(x.mean - z.mean, 0.975), 4) AS ci_high, round(stddev_samp(x.mean - z.mean), 4) AS se FROM {_PAIRS} JOIN m x ON x.arm = a JOIN m z ON z.arm = b AND z.rep = x.rep GROUP BY ALL")
 def bootstrap_contrast_ci(spark, sf_dir):
-    means = _boot(spark, sf_dir).withColumns({"n": F.lit(1), "var": F.lit(0.0)})
-    pairs = inference.contrasts(means, CONTRASTS, by=["rep"]).withColumn("d", F.col("mean_a") - F.col("mean_b"))
-    return _rounded(pairs.groupBy("a", "b").agg(F.expr("percentile(d, 0.025)").alias("ci_low"), F.expr("percentile(d, 0.975)").alias("ci_high"), F.stddev_samp("d").alias("se")), 4)
+    return _boot_ci(spark, sf_dir)
+
+
+@_query()
+def bootstrap_arm_mean_full(spark, sf_dir):
+    return _rounded(_boot(spark, sf_dir, REPLICATIONS), 4)
+
+
+@_query()
+def bootstrap_contrast_ci_full(spark, sf_dir):
+    return _boot_ci(spark, sf_dir, REPLICATIONS)
 
 
 @_query()
@@ -176,6 +192,20 @@ def maxt_adjusted(spark, sf_dir):
     return _rounded(each.join(seen, ["a", "b"]).groupBy("a", "b").agg(((1 + F.count_if(F.col("top") >= F.col("t0") - 1e-9)) / F.lit(_REPS + 1.0)).alias("p_maxt")))
 
 
+def _perm_full(spark, sf_dir):
+    return _rounded(inference.permutation_tests(units(spark, sf_dir).select("unit_id", "arm", F.col("spend").alias("y")), CONTRASTS, REPLICATIONS, SEED))
+
+
+@_query()
+def permutation_p_full(spark, sf_dir):
+    return _perm_full(spark, sf_dir).drop("p_maxt")
+
+
+@_query()
+def maxt_adjusted_full(spark, sf_dir):
+    return _perm_full(spark, sf_dir).drop("p_perm")
+
+
 _CELLS = f"""WITH {UNITS_SQL}, c AS (SELECT channel AS feature, count(*) FILTER (arm = 1) AS n_a, count(*) FILTER (arm = 0) AS n_b, avg(spend) FILTER (arm = 1) - avg(spend) FILTER (arm = 0) AS difference,
 sqrt(var_samp(spend) FILTER (arm = 1) / count(*) FILTER (arm = 1) + var_samp(spend) FILTER (arm = 0) / count(*) FILTER (arm = 0)) AS standard_error FROM units GROUP BY channel)"""
 
@@ -239,6 +269,11 @@ def policy_interval(spark, sf_dir):
     return _rounded(uplift.policy_intervals(uplift.t_learner(units(spark, sf_dir)), _REPS, SEED), 3)
 
 
+@_query()
+def policy_interval_full(spark, sf_dir):
+    return _rounded(uplift.policy_intervals(uplift.t_learner(units(spark, sf_dir)), POLICY_REPLICATIONS, SEED), 3)
+
+
 @_query()
 def uplift_bin_interval(spark, sf_dir):
     return uplift.uplift_bin_intervals(uplift.t_learner(units(spark, sf_dir)), 200, SEED)

@@ -42,6 +42,8 @@ def stages(frame: DataFrame, args: argparse.Namespace, predictions: DataFrame) -
     spend = frame.select("unit_id", "arm", F.col("spend").alias("y"))
     means = inference.poisson_bootstrap_means(spend, args.robustness_replications, args.seed).withColumns({"n": F.lit(1), "var": F.lit(0.0)})
     pairs = inference.contrasts(means, CONTRASTS, by=["rep"]).withColumn("d", F.col("mean_a") - F.col("mean_b"))
+    intervals = pairs.groupBy("a", "b").agg(F.expr("percentile(d, 0.025)").alias("ci_low"), F.expr("percentile(d, 0.975)").alias("ci_high"))
+    tests = inference.permutation_tests(spend, CONTRASTS, args.robustness_replications, args.seed)
     values = uplift.policy_values(predictions)
     return {
         "01_missing": audit.missing(frame, FEATURES),
@@ -49,7 +51,8 @@ def stages(frame: DataFrame, args: argparse.Namespace, predictions: DataFrame) -
         "01_arm_ratio": audit.arm_ratio(frame, {0: 1 / 3, 1: 1 / 3, 2: 1 / 3}),
         "01_outcome_logic": audit.outcome_logic(frame),
         "02_effects": effects,
-        "03_bootstrap": pairs.groupBy("a", "b").agg(F.expr("percentile(d, 0.025)").alias("ci_low"), F.expr("percentile(d, 0.975)").alias("ci_high")),
+        # The bootstrap's limits, with the p-values of permutations and of their largest statistics.
+        "03_bootstrap": intervals.join(F.broadcast(tests), ["a", "b"], "left"),
         "04_cells": uplift.cells(frame, "channel", (1, 0)),
         "04_slopes": uplift.slopes(frame, "history"),
         "05_uplift_bins": uplift.uplift_bins(predictions),

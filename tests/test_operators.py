@@ -154,3 +154,50 @@ def test_models_on_known_labels(spark):
     rows = QUERIES["form_model"](spark, SF).groupBy("lang", "form").count().collect()
     right = sum(r["count"] for r in rows if ("de", "en", "es", "fr")[r["form"]] == r["lang"])
     assert right / sum(r["count"] for r in rows) > 0.8
+
+
+def test_full_replicates_equal_brute_force(spark):
+    import hashlib
+    import itertools
+
+    rows = [(k, k % 3, None if k == 7 else float((k * 37) % 11 + (30 if k % 3 == 1 else 0))) for k in range(45)]
+    df = spark.createDataFrame(rows, "unit_id long, arm int, y double")
+
+    def stat(arms, a, b):
+        side = lambda s: [r[2] for r, x in zip(rows, arms, strict=True) if x == s and r[2] is not None]
+        part = lambda v: (sum(v) / len(v), (sum(y * y for y in v) - sum(v) ** 2 / len(v)) / (len(v) - 1) / len(v))
+        (ma, va), (mb, vb) = part(side(a)), part(side(b))
+        return abs(ma - mb) / math.sqrt(va + vb)
+
+    pairs, reps, seen = ((1, 0), (2, 0), (1, 2)), 2000, {}
+    for rep in range(reps + 1):
+        order = sorted(range(45), key=lambda k: (hashlib.md5(f"5|{rep}|{k}".encode()).hexdigest(), k))
+        arms = [0] * 45
+        for place, k in enumerate(order):
+            arms[k] = place // 15
+        seen[rep] = {p: stat([r[1] for r in rows] if rep == 0 else arms, *p) for p in pairs}
+    got = {(r["a"], r["b"]): r for r in inference.permutation_tests(df.repartition(3), pairs, reps, 5).collect()}
+    for p in pairs:
+        assert got[p]["p_perm"] == pytest.approx((1 + sum(seen[r][p] >= seen[0][p] - 1e-9 for r in range(1, reps + 1))) / (reps + 1))
+        assert got[p]["p_maxt"] == pytest.approx((1 + sum(max(seen[r].values()) >= seen[0][p] - 1e-9 for r in range(1, reps + 1))) / (reps + 1))
+    assert got[1, 0]["p_maxt"] < 0.001 < got[2, 0]["p_perm"]
+    one, two = ({(r["rep"], r["arm"]): (r["n"], r["mean"], r["var"]) for r in d.collect()} for d in (inference.permuted_moments(df, 70, 5), inference.moments(inference.permuted(df, 70, 5), ["rep", "arm"])))
+    assert len(one) == 213 and all(one[k] == pytest.approx(two[k]) for k in two)
+    few, n = df.where("unit_id < 9 AND y IS NOT NULL"), {0: [0, 3, 6], 1: [1, 4], 2: [2, 5, 8]}
+    means = {(r["rep"], r["arm"]): r["mean"] for r in inference.bootstrap_means(few, 10_000, 5).collect()}
+    pick = lambda rep, a, k: int(hashlib.md5(f"5|{rep}|{a}|{k}".encode()).hexdigest()[:8], 16) % len(n[a])
+    assert len(means) == 30_000 and all(means[rep, a] == pytest.approx(sum(rows[n[a][pick(rep, a, k)]][2] for k in range(len(n[a]))) / len(n[a])) for rep, a in itertools.product(range(0, 10_000, 97), n))
+
+
+def test_full_queries_and_stage_three(spark):
+    from loomstat.operators import uplift
+    from loomstat.plans import queries, run_all
+
+    assert (queries.REPLICATIONS, queries.POLICY_REPLICATIONS) == (10_000, 2_000)
+    found = [r["p_perm"] * 10_001 for r in QUERIES["permutation_p_full"](spark, SF).collect()]
+    assert len(found) == 3 and all(x == pytest.approx(round(x), abs=0.01) for x in found)
+    frame = queries.units(spark, SF).persist()
+    args = run_all.parse_args(["--data", SF, "--out", "o", "--quick"])
+    stage = run_all.stages(frame, args, uplift.t_learner(frame))["03_bootstrap"].collect()
+    frame.unpersist()
+    assert len(stage) == 3 and all(1 / 101 - 1e-9 <= r["p_perm"] <= r["p_maxt"] <= 1 for r in stage)
