@@ -326,3 +326,17 @@ def test_quality_on_held_out_rows_and_odd_texts(spark):
     assert len(out) == len(ODD) and all(0 <= r["score"] <= 1 for r in out)
     empty = quality.fit(texts(spark, []).selectExpr("doc_id", "text", "1 AS quality"))
     assert {r["score"] for r in quality.scores(texts(spark, ODD), empty).collect()} == {0.5}
+
+
+def test_secrets_beside_base_spans_in_one_run(spark):
+    key, other, word = "AKIA" + "ABCDEFGH12345678", "wJalrXUtnFEMI7K3MDENGbPxRfiCY9QzLp2Vt8Hs", "backup_2024_user_report"
+    digest = "0123456789abcdef01234567"
+    rows = [(1, f"é {key}/{other} end"), (2, f"{digest}-{other}"), (3, f"{other}-{digest}/{other}"), (4, f"{digest}/{word}"), (5, f"{digest}-{other[:14]}"), (6, None)]
+    ratios = secrets.fit(secrets.labelled(spark))
+    found = {r["doc_id"]: r for r in secrets.scan(texts(spark, rows), ratios).collect()}
+    spans = lambda k: [(secrets.KINDS[x["kind"]], dict(rows)[k][x["start"] : x["end"]]) for x in found[k]["spans"]]
+    assert spans(1) == [("access", key), ("random", "/" + other)] and spans(2) == [("hex", digest), ("random", "-" + other)]
+    assert spans(3) == [("random", other + "-"), ("hex", digest), ("random", "/" + other)]
+    assert spans(4) == [("hex", digest)] == spans(5) and found[6]["spans"] == []
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(texts(spark, rows), ratios).collect()}
+    assert all(other not in clean[k] and digest not in clean[k] for k in (1, 2, 3)) and word in clean[4]
