@@ -340,3 +340,11 @@ def test_secrets_beside_base_spans_in_one_run(spark):
     assert spans(4) == [("hex", digest)] == spans(5) and found[6]["spans"] == []
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(texts(spark, rows), ratios).collect()}
     assert all(other not in clean[k] and digest not in clean[k] for k in (1, 2, 3)) and word in clean[4]
+
+
+def test_random_runs_of_letters_alone(spark):
+    rng = random.Random(3)
+    ordinary = ["getUserSessionConfigHandler", "internationalisation", "Geschwindigkeitsbegrenzung", "anticonstitutionnellement", "desafortunadamente", "path/to/the/message/factory", "MAX_REQUEST_BUFFER_VALUE", "2024-05-17/00012345"]
+    rows = list(enumerate(ordinary)) + [(100 + k, "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=20))) for k in range(100)]
+    found = {r["doc_id"]: r["spans"] for r in secrets.scan(texts(spark, rows), secrets.fit(secrets.labelled(spark))).collect()}
+    assert not any(found[k] for k in range(len(ordinary))) and sum(len(found[k]) for k in range(100, 200)) >= 97
