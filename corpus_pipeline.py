@@ -21,8 +21,11 @@ SIMILARITY = 0.8
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose quality score reaches the threshold. The model is fitted on labelled rows of
-    this stage's input outside the held-out fold; labels decide nothing else."""
+    this stage's input outside the held-out fold; labels decide nothing else. Where too few are
+    labelled for a model, all rows stay."""
     model = quality.fit(quality.training_rows(docs, table(spark, sf_dir, "labels")))
+    if not model.good or not model.bad:
+        return docs.select(*COLUMNS)
     return quality.scores(docs, model).where(F.col("score") >= quality.THRESHOLD).select(*COLUMNS)
 
 

@@ -25,3 +25,11 @@ def test_null_ids_and_repeated_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert sorted((r["doc_id"] or 0) for r in out.collect()) == [0, 1, 3]
+
+
+def test_all_documents_stay_without_a_model(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"a clean text {k}", "en", "s", 14) for k in range(9)] + [(9, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    for k, labels in enumerate(([], [(0, 1, 0), (1, 0, 0), (3, 0, 0)])):
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        kept = corpus_pipeline.keep_quality(spark, docs, f"{tmp_path}/{k}")
+        assert kept.count() == 10 and tuple(kept.columns) == corpus_pipeline.COLUMNS
