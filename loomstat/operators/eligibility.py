@@ -35,7 +35,10 @@ def calibrated(gold: DataFrame, products: DataFrame, text_col: str = "text", lab
 
 
 def forms(gold: DataFrame, products: DataFrame, text_col: str = "text", label_col: str = "label", buckets: int = 4096) -> DataFrame:
-    """``products`` with ``form``, the class index of a multinomial logistic regression."""
+    """``products`` with ``form``, the class index of a multinomial logistic regression fitted on
+    all gold rows with a text and a label; null for null texts."""
     sound = gold.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).withColumn(label_col, F.col(label_col).cast("double"))
     model = Pipeline(stages=[*_features(text_col, buckets), LogisticRegression(featuresCol="_tf", labelCol=label_col, family="multinomial", regParam=0.01, maxIter=50)]).fit(sound)
-    return model.transform(products.where(F.col(text_col).isNotNull())).withColumn("form", F.col("prediction").cast("int")).drop("_words", "_tf", "rawPrediction", "probability", "prediction")
+    named = model.transform(products.withColumn("_given", F.col(text_col)).withColumn(text_col, F.coalesce(text_col, F.lit(""))))
+    form = F.when(F.col("_given").isNotNull(), F.col("prediction").cast("int"))
+    return named.withColumn("form", form).withColumn(text_col, F.col("_given")).drop("_given", "_words", "_tf", "rawPrediction", "probability", "prediction")

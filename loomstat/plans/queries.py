@@ -453,7 +453,7 @@ def eligibility_model(spark, sf_dir):
 @_query()
 def form_model(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    gold = docs.withColumn("label", F.array_position(F.array(*map(F.lit, ("de", "en", "es", "fr"))), F.col("lang")) - 1).where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0)
+    gold = docs.withColumn("label", F.array_position(F.array(*map(F.lit, ("de", "en", "es", "fr"))), F.col("lang")) - 1).where("label >= 0")
     return eligibility.forms(gold, docs.select("doc_id", "lang", "text")).select("doc_id", "lang", "form")
 
 

@@ -201,3 +201,12 @@ def test_full_queries_and_stage_three(spark):
     stage = run_all.stages(frame, args, uplift.t_learner(frame))["03_bootstrap"].collect()
     frame.unpersist()
     assert len(stage) == 3 and all(1 / 101 - 1e-9 <= r["p_perm"] <= r["p_maxt"] <= 1 for r in stage)
+
+
+def test_forms_use_all_labels_and_keep_null_texts(spark, tmp_path):
+    # A language that only ids outside the former quarter (hash of the id modulo 4 is 0) have.
+    ids = {k: [r["id"] for r in spark.range(400).where((F.pmod(F.xxhash64("id"), F.lit(4)) == 0) == k).limit(30).collect()] for k in (True, False)}
+    rows = [(k, "der und das", "de") if i % 2 else (k, "the and of", "en") for i, k in enumerate(ids[True])] + [(k, "le la et", "fr") for k in ids[False]] + [(900, None, "en"), (901, "the and of", "xx"), (902, "the", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["form"] for r in QUERIES["form_model"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and got[900] is None and got[901] == 1 and all(got[k] == 3 for k in ids[False])
