@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from loomstat.llm._common import fold, small_batches, table
 
-#: Labelled texts of each class that a model is fitted on, at most; half of them fill the dictionary.
+#: Labelled texts of each class that a model is fitted on, at most; the heads of half of them fill the
+#: dictionary (see _dictionary), the other half calibrate whole.
 SAMPLE_TEXTS = 2000
 #: Bytes of one dictionary.
 DICTIONARY_BYTES = 112 << 10
@@ -30,7 +31,8 @@ THRESHOLD = 0.7
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    """Raw content from a class: slices of the texts in turn, as much as fits."""
+    """Raw content from a class: the head of each text in turn, max(256, DICTIONARY_BYTES / texts)
+    bytes, as much as fits: of 1000 texts the first 256 bytes of about 450, or more short ones."""
     share = max(256, DICTIONARY_BYTES // max(1, len(texts)))
     out, size = [], 0
     for t in texts:
@@ -101,8 +103,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def fit(labelled: DataFrame) -> Model:
-    """Fit on ``doc_id, text, quality``: at most SAMPLE_TEXTS whole texts of either label, those
-    with the smallest hashes of their ids. Rows with a null label or text are left out. If a
+    """Fit on ``doc_id, text, quality``: at most SAMPLE_TEXTS texts of either label, those with the
+    smallest hashes of their ids. Dictionaries take heads of texts, the calibration whole ones. Rows with a null label or text are left out. If a
     label has fewer than four texts, every text gets the share of label 1, 0.5 without labels.
     """
     rows = labelled.where("text IS NOT NULL AND quality IN (0, 1)").select("doc_id", "text", "quality")
