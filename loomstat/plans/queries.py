@@ -225,6 +225,24 @@ def hte_continuous_slope(spark, sf_dir):
     return _rounded(uplift.slopes(units(spark, sf_dir), "history"), 6, intercept=3)
 
 
+@_query()
+def hte_cells_all(spark, sf_dir):
+    features = ("newbie", "mens", "womens", "channel", "zip_code")
+    rows = inference.long_outcomes(units(spark, sf_dir), OUTCOMES, ("arm", *features))
+    values = ", ".join(f"'{f}', coalesce(CAST({f} AS STRING), '(missing)')" for f in features)
+    rows = rows.select("arm", "outcome", "y", F.expr(f"stack({len(features)}, {values}) AS (feature, value)"))
+    stats = inference.moments(rows, ["feature", "value", "outcome", "arm"])
+    found = inference.welch(inference.contrasts(stats, CONTRASTS, by=["feature", "value", "outcome"]))
+    return _rounded(found.select("feature", "value", "outcome", "a", "b", "n_a", "n_b", "difference", "standard_error", "p_value"))
+
+
+@_query()
+def hte_slopes_all(spark, sf_dir):
+    rows = inference.long_outcomes(units(spark, sf_dir), OUTCOMES, ("arm", "recency", "history"))
+    rows = rows.select("arm", "outcome", "y", F.expr("stack(2, 'recency', CAST(recency AS DOUBLE), 'history', CAST(history AS DOUBLE)) AS (feature, x)"))
+    return _rounded(rows.groupBy("feature", "outcome", "arm").agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2")))
+
+
 _OOF = f"""WITH {UNITS_SQL}, r AS (SELECT unit_id, arm, coalesce(history, 0)::DOUBLE AS x, spend::DOUBLE AS y, CAST({_DRAW.format(f"'{SEED}|' || unit_id")} % 5 AS INTEGER) AS fold FROM units),
 f AS (SELECT g.fold, r.arm, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM r JOIN (SELECT unnest(range(0, 5)) AS fold) g ON r.fold <> g.fold GROUP BY ALL),
 o AS (SELECT r.*, f0.intercept + f0.slope * x AS mu_0, f1.intercept + f1.slope * x AS mu_1, f2.intercept + f2.slope * x AS mu_2 FROM r JOIN f f0 ON f0.fold = r.fold AND f0.arm = 0 JOIN f f1 ON f1.fold = r.fold AND f1.arm = 1 JOIN f f2 ON f2.fold = r.fold AND f2.arm = 2)"""

@@ -210,3 +210,17 @@ def test_forms_use_all_labels_and_keep_null_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["form"] for r in QUERIES["form_model"](spark, str(tmp_path)).collect()}
     assert len(got) == len(rows) and got[900] is None and got[901] == 1 and all(got[k] == 3 for k in ids[False])
+
+
+def test_effects_by_every_feature(spark):
+    from loomstat.operators import uplift
+    from loomstat.plans import queries
+
+    frame = queries.units(spark, SF)
+    got = QUERIES["hte_cells_all"](spark, SF).collect()
+    assert {(r["feature"], r["outcome"]) for r in got} == {(f, o) for f in ("newbie", "mens", "womens", "channel", "zip_code") for o in ("spend", "visit", "conversion")}
+    want = {r["feature"]: r for r in uplift.cells(frame, "zip_code", (2, 0), "conversion").collect()}
+    mine = {r["value"]: r for r in got if (r["feature"], r["outcome"], r["a"], r["b"]) == ("zip_code", "conversion", 2, 0)}
+    assert mine.keys() == want.keys() and all(mine[k]["difference"] == pytest.approx(want[k]["difference"], abs=1e-6) and mine[k]["n_a"] == want[k]["n_a"] for k in want)
+    slopes = {(r["feature"], r["outcome"], r["arm"]): r["slope"] for r in QUERIES["hte_slopes_all"](spark, SF).collect()}
+    assert len(slopes) == 18 and all(slopes["recency", "visit", r["arm"]] == pytest.approx(r["slope"], abs=1e-6) for r in uplift.slopes(frame, "recency", "visit").collect())
