@@ -7,16 +7,18 @@ only passages that one version has and the other has not. A cell left with one o
 its digest away, which is taken out of its other cells, and so on (peeling).
 
 A sketch of a fixed size, the fingerprint, decodes a few differences. Where peeling fails, it
-is tried again larger: both versions' digests are dealt over four times as many sketches,
-from then on only those that failed again. How much larger to begin with is estimated from
-the counts that the failed difference shows. What MAX_LEVEL could not decode, which needs
-colliding hashes, is compared directly, so likeness is always exact on digests.
+is tried again larger: the digests of both versions, signed by their side, are dealt over as many
+sketches as the counts of the failed difference suggest, and those that fail again are split in
+four. What MAX_LEVEL could not decode, which needs colliding hashes, is compared directly, so
+likeness is always exact on digests.
 
 Everything runs as SQL expressions on arrays within a row.
 """
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,9 +31,13 @@ LOAD = 4
 MAX_LEVEL = 12
 #: Rounds of peeling, after which a larger try is due.
 ROUNDS = 5
-#: Ranges of ids that documents are sorted in, at most.
-MAX_RANGES = 4096
-_NO_BLOCKS = "CAST(array() AS array<struct<a:array<bigint>,b:array<bigint>>>)"
+#: Ranges of ids that documents are sorted in: so many for each shuffle partition, at most MAX_RANGES,
+#: cut at quantiles of a sample of so many keys for each range.
+RANGES, MAX_RANGES, KEYS = 4, 16_384, 32
+_BITS = "array(" + ", ".join(str(1 << j) for j in range(CELLS)) + ")"
+#: The cells of a digest, one in each part, as a bit mask by six bits of its hash.
+_MASKS = "array(" + ", ".join(str(sum(1 << (SIDE * part + at) for part, at in enumerate(places))) for places in product(range(SIDE), repeat=PARTS)) + ")"
+_NONE = "CAST(array() AS array<bigint>)"
 
 
 def digests(text: str) -> str:
@@ -39,75 +45,71 @@ def digests(text: str) -> str:
     return f"array_distinct(transform(filter(split({text}, '(?<=[.!?|])\\\\s+|\\\\n'), p -> p RLIKE '\\\\S'), p -> xxhash64(p)))"
 
 
-def _check(key: str) -> str:
-    return f"(xxhash64({key}, 7) & 4294967295)"
+def _mask(key: str, level: str) -> str:
+    return f"element_at({_MASKS}, CAST((xxhash64({key}, {level}) & {SIDE**PARTS - 1}) + 1 AS INT))"
 
 
-def _place(key: str, level: str, part: str) -> str:
-    return f"(shiftrightunsigned(xxhash64({key}, {level}), CAST(2 * {part} AS INT)) & {SIDE - 1})"
+def _check(key: str, level: str) -> str:
+    return f"shiftrightunsigned(xxhash64({key}, {level}), 32)"
 
 
-def sketch(items: str, level: str = "0") -> str:
-    """SQL for the cells ``c, k, x`` of an array of digests."""
-    hashed = f"transform({items}, d -> struct(d AS d, xxhash64(d, {level}) AS h, {_check('d')} AS x))"
-    return (
-        f"transform(array({hashed}), hs -> transform(sequence(0, {CELLS - 1}), j ->"
-        f" aggregate(filter(hs, e -> (shiftrightunsigned(e.h, CAST(2 * (j DIV {SIDE}) AS INT)) & {SIDE - 1}) = j % {SIDE}),"
-        f" named_struct('c', 0, 'k', 0L, 'x', 0L), (s, e) -> named_struct('c', s.c + 1, 'k', s.k ^ e.d, 'x', s.x ^ e.x))))[0]"
-    )
+def sketch(items: str, level: str = "0", sign: str = "1") -> str:
+    """SQL for the cells ``b, c, k, x`` (the cell's bit, count, digests, checks) of an array of
+    digests, or of structs ``d, c`` with the sign as ``e.c``."""
+    d = "e" if sign == "1" else "e.d"
+    hashed = f"transform({items}, e -> struct({d} AS d, {sign} AS c, {_mask(d, level)} AS m, {_check(d, level)} AS x))"
+    add = "IF((e.m & s.b) = 0, s, named_struct('b', s.b, 'c', s.c + e.c, 'k', s.k ^ e.d, 'x', s.x ^ e.x))"
+    return f"transform(array({hashed}), hs -> transform({_BITS}, b -> aggregate(hs, named_struct('b', b, 'c', 0, 'k', 0L, 'x', 0L), (s, e) -> {add})))[0]"
 
 
 def subtract(one: str, other: str) -> str:
-    return f"zip_with({one}, {other}, (p, q) -> named_struct('c', p.c - q.c, 'k', p.k ^ q.k, 'x', p.x ^ q.x))"
+    return f"zip_with({one}, {other}, (p, q) -> named_struct('b', p.b, 'c', p.c - q.c, 'k', p.k ^ q.k, 'x', p.x ^ q.x))"
 
 
 def peel(cells: str, level: str = "0") -> str:
-    """SQL for ``ok, na, nb`` and the remaining ``cells``: what the first or only the second version has."""
-    pure = f"array_distinct(transform(filter(s.cells, e -> abs(e.c) = 1 AND e.x = {_check('e.k')}), e -> named_struct('k', e.k, 'c', e.c)))"
-    taken = (
-        f"transform(s.cells, (e, j) -> aggregate(filter(pure, p -> {_place('p.k', level, f'(j DIV {SIDE})')} = j % {SIDE}), e,"
-        f" (z, p) -> named_struct('c', z.c - p.c, 'k', z.k ^ p.k, 'x', z.x ^ {_check('p.k')})))"
-    )
-    step = (
-        f"transform(array({pure}), pure -> IF(size(pure) = 0, s, named_struct('cells', {taken},"
-        " 'na', s.na + size(filter(pure, p -> p.c = 1)), 'nb', s.nb + size(filter(pure, p -> p.c = -1)))))[0]"
-    )
-    done = f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'na', 0, 'nb', 0), (s, t) -> {step})"
-    return f"transform(array({done}), s -> named_struct('ok', forall(s.cells, e -> e.c = 0 AND e.k = 0 AND e.x = 0), 'na', s.na, 'nb', s.nb, 'cells', s.cells))[0]"
+    """SQL for ``ok, a, b``: whether all was decoded, and the digests that only the first and only the
+    second version has."""
+    pure = f"array_distinct(transform(filter(s.cells, e -> (e.c = 1 OR e.c = -1) AND e.x = {_check('e.k', level)}), e -> named_struct('k', e.k, 'c', e.c, 'x', e.x, 'm', {_mask('e.k', level)})))"
+    taken = "transform(s.cells, e -> aggregate(pure, e, (z, p) -> IF((p.m & z.b) = 0, z, named_struct('b', z.b, 'c', z.c - p.c, 'k', z.k ^ p.k, 'x', z.x ^ p.x))))"
+    side = lambda n: f"transform(filter(pure, p -> p.c = {n}), p -> p.k)"
+    step = f"transform(array({pure}), pure -> IF(size(pure) = 0, s, named_struct('cells', {taken}, 'a', concat(s.a, {side(1)}), 'b', concat(s.b, {side(-1)}))))[0]"
+    done = f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'a', {_NONE}, 'b', {_NONE}), (s, t) -> {step})"
+    return f"transform(array({done}), s -> named_struct('ok', forall(s.cells, e -> e.c = 0 AND e.k = 0 AND e.x = 0), 'a', s.a, 'b', s.b))[0]"
 
 
-def _split(blocks: str, level: str) -> str:
-    side = lambda x: f"filter(t.{x}, d -> (shiftrightunsigned(xxhash64(d, 11), CAST(2 * {level} AS INT)) & 3) = q)"
-    return f"filter(flatten(transform({blocks}, t -> transform(sequence(0, 3), q -> named_struct('a', {side('a')}, 'b', {side('b')})))), t -> size(t.a) + size(t.b) > 0)"
+def _dealt(items: str, parts: str, of: str) -> str:
+    """SQL for an array of arrays: structs dealt by ``of``, a number below ``parts``."""
+    return f"filter(transform(sequence(0, {parts} - 1), q -> filter({items}, e -> {of} = q)), t -> size(t) > 0)"
 
 
 def difference(a: str, b: str, base_a: str, base_b: str) -> str:
-    """SQL for ``na, nb``: how many digests only array ``a`` or only array ``b`` holds.
+    """SQL for ``a, b``: the digests that only array ``a`` or only array ``b`` holds.
 
     ``base_a`` and ``base_b`` are their sketches of level 0.
     """
-    first = peel(subtract(base_a, base_b))
+    signed = f"concat(transform({a}, d -> struct(d AS d, 1 AS c, xxhash64(d, 11) AS g)), transform({b}, d -> struct(d AS d, -1 AS c, xxhash64(d, 11) AS g)))"
     # The square of a cell's count grows with the differences in it.
-    guess = f"least(size({a}) + size({b}), greatest(abs(size({a}) - size({b})), CAST(aggregate(first.cells, 0, (z, e) -> z + e.c * e.c) DIV {PARTS} AS INT)))"
-    start = f"greatest(1, CAST(ceil(log(4.0D, greatest({guess}, 1) / {float(LOAD)}D)) AS INT))"
-    block = (
-        f"named_struct('a', t.a, 'b', t.b, 'r', IF(l = {MAX_LEVEL}, named_struct('ok', true, 'na', size(array_except(t.a, t.b)), 'nb', size(array_except(t.b, t.a))),"
-        f" transform(array({peel(subtract(sketch('t.a', 'l'), sketch('t.b', 'l')), 'l')}), r -> named_struct('ok', r.ok, 'na', r.na, 'nb', r.nb))[0]))"
-    )
+    guess = f"least(size({a}) + size({b}), greatest(abs(size({a}) - size({b})), CAST(aggregate(zero, 0, (z, e) -> z + e.c * e.c) DIV {PARTS} AS INT)))"
+    # Dealt twice by about the square root, so that the work follows the digests.
+    wide = f"greatest(1, CAST(ceil(sqrt(guess / {float(LOAD)}D)) AS INT))"
+    start = f"transform(array({wide}), w -> flatten(transform({_dealt(signed, 'w', 'pmod(e.g, w)')}, t -> {_dealt('t', 'w', 'pmod(shiftright(e.g, 20), w)')})))[0]"
+    only = lambda one, other: f"array_except(transform(filter(t, e -> e.c = {one}), e -> e.d), transform(filter(t, e -> e.c = {other}), e -> e.d))"
     tried = (
-        f"transform(array(transform(todo, t -> {block})), done -> named_struct("
-        "'todo', transform(filter(done, x -> NOT x.r.ok), x -> named_struct('a', x.a, 'b', x.b)),"
-        " 'na', s.na + aggregate(done, 0, (z, x) -> z + IF(x.r.ok, x.r.na, 0)), 'nb', s.nb + aggregate(done, 0, (z, x) -> z + IF(x.r.ok, x.r.nb, 0))))[0]"
+        f"transform(s.todo, t -> named_struct('t', t, 'r', IF(l = {MAX_LEVEL}, named_struct('ok', true, 'a', {only(1, -1)}, 'b', {only(-1, 1)}), {peel(sketch('t', 'l', 'e.c'), 'l')})))"
     )
-    step = f"IF(size(s.todo) = 0, s, transform(array({_split('s.todo', 'l')}), todo -> IF(l < start, named_struct('todo', todo, 'na', s.na, 'nb', s.nb), {tried}))[0])"
-    larger = f"transform(array({start}), start -> aggregate(sequence(1, {MAX_LEVEL}), named_struct('todo', array(named_struct('a', {a}, 'b', {b})), 'na', 0, 'nb', 0), (s, l) -> {step}))[0]"
-    return f"transform(array({first}), first -> IF(first.ok, named_struct('na', first.na, 'nb', first.nb), transform(array({larger}), y -> named_struct('na', y.na, 'nb', y.nb))[0]))[0]"
+    found = lambda x: f"concat(s.{x}, flatten(transform(filter(done, y -> y.r.ok), y -> y.r.{x})))"
+    again = f"flatten(transform(filter(done, y -> NOT y.r.ok), y -> {_dealt('y.t', '4', '(shiftrightunsigned(e.g, 38 + 2 * l) & 3)')}))"
+    step = f"IF(size(s.todo) = 0, s, transform(array({tried}), done -> named_struct('todo', {again}, 'a', {found('a')}, 'b', {found('b')}))[0])"
+    larger = f"transform(array(aggregate(sequence(1, {MAX_LEVEL}), named_struct('todo', {start}, 'a', {_NONE}, 'b', {_NONE}), (s, l) -> {step})), s -> named_struct('ok', true, 'a', s.a, 'b', s.b))[0]"
+    first = f"IF(guess <= {CELLS}, {peel('zero')}, named_struct('ok', false, 'a', {_NONE}, 'b', {_NONE}))"
+    return f"transform(array({subtract(base_a, base_b)}), zero -> transform(array({guess}), guess -> transform(array({first}), first -> IF(first.ok, first, {larger}))[0])[0])[0]"
 
 
-def likeness(size_a: str, size_b: str, diff: str) -> str:
-    """SQL for the Jaccard index of two passage sets; two empty ones are alike."""
-    both = f"({size_a} - {diff}.na)"
-    return f"IF({size_a} + {size_b} = 0, 1.0D, CAST({both} AS DOUBLE) / ({both} + {diff}.na + {diff}.nb))"
+def likeness(size_a: str, diff: str) -> str:
+    """SQL for the Jaccard index of two passage sets, from the size of the first and their
+    difference; two empty ones are alike."""
+    either = f"({size_a} + size({diff}.b))"
+    return f"IF({either} = 0, 1.0D, CAST({size_a} - size({diff}.a) AS DOUBLE) / {either})"
 
 
 def written(cells: str) -> str:
@@ -115,46 +117,63 @@ def written(cells: str) -> str:
     return f"array_join(transform({cells}, e -> concat(lower(hex(e.c)), '.', lower(hex(e.k)), '.', lower(hex(e.x)))), ',')"
 
 
+def _ranges(keyed: DataFrame) -> DataFrame:
+    """``keyed`` with ``range``, a number that rises with ``key``: ranges of about as many rows each."""
+    spark = keyed.sparkSession
+    ranges = min(MAX_RANGES, RANGES * max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    step = max(1, keyed.count() // (ranges * KEYS))
+    some = keyed.select("key").where(F.pmod("key.salt", F.lit(step)) == 0).agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    marks = some.select(F.expr(f"array_distinct(transform(sequence(1, {ranges - 1}), i -> try_element_at(keys, CAST(size(keys) * i DIV {ranges} + 1 AS INT))))")).first()[0] if ranges > 1 else []
+    marks = [m for m in marks if m is not None]
+    if not marks:
+        return keyed.withColumn("range", F.lit(0))
+    # Found in two steps of about the square root of the ranges.
+    wide = max(1, round(len(marks) ** 0.5))
+    written_ = lambda ms: "array(" + ", ".join(f"named_struct('flag', {m['flag']}, 'id', {m['id']}L, 'hash', {m['hash']}L, 'salt', {m['salt']}L)" for m in ms) + ")"
+    least = lambda x: x.replace(f"{-(2**63)}L", "(-9223372036854775807L - 1L)")
+    groups = least("array(" + ", ".join(written_(marks[k : k + wide]) for k in range(0, len(marks), wide)) + ")")
+    at = f"size(filter({least(written_(marks[::wide]))}, m -> m <= key))"
+    return keyed.withColumn("g", F.expr(at)).withColumn("range", F.expr(f"IF(g = 0, 0, (g - 1) * {wide} + size(filter(element_at({groups}, greatest(g, 1)), m -> m <= key)))")).drop("g")
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` with the text of the next document by descending id as ``next_text``,
-    after the last one that of the first.
+    """``doc_id, text, a, sketch`` of every row with those of the next document by descending id as
+    ``next_text, next_a`` and ``next_sketch``; after the last one come those of the first.
 
-    Ids are dealt into ranges, and within a range a window looks ahead; the head of the next
-    range is added to it as a last row. Only the heads' ids reach the driver. Rows of equal ids
-    follow by descending text; null ids come last, in one range.
+    Rows of equal ids follow by descending hash of their texts, and null ids come last. Rows are
+    dealt into ranges of ids, hashes and, for equal rows, places in the input, so an id that many rows
+    repeat is split. Within a range a window looks ahead; the first row of the next range is added to
+    it as a last one. A row for each range is broadcast, MAX_RANGES at most.
     """
-    spark = docs.sparkSession
-    ranges = min(MAX_RANGES, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    marks = docs.select(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)] or [0.5], 10_000).alias("marks")).first()["marks"] or []
-    literal = "array(" + ", ".join(f"{int(m)}L" for m in sorted(set(marks))) + ")" if marks else "CAST(array() AS array<bigint>)"
-    placed = docs.withColumn("range", F.expr(f"IF(doc_id IS NULL, -1, size(filter({literal}, m -> m <= doc_id)))"))
-    heads = sorted(((r["range"], r["id"]) for r in placed.groupBy("range").agg(F.max("doc_id").alias("id")).collect()), reverse=True)  # ranges + 1 rows at most
-    if not heads:
-        return docs.withColumn("next_text", F.lit(""))
-    goes_to = F.create_map(*(F.lit(x) for (_, id_), (before, _) in zip(heads, heads[-1:] + heads[:-1], strict=True) for x in (-1 if id_ is None else id_, before)))
-    ids = [id_ for _, id_ in heads if id_ is not None]
-    if ids and min(ids) < 0:  # -1 stands for a null id below
-        raise ValueError("ids must not be negative")
-    firsts = docs.where(F.col("doc_id").isin(ids) | F.col("doc_id").isNull()).groupBy("doc_id").agg(F.max("text").alias("text"))
-    ghosts = firsts.select("doc_id", "text", goes_to[F.coalesce("doc_id", F.lit(-1))].alias("range"), F.lit(True).alias("ghost"))
-    rows = placed.select("doc_id", "text", "range", F.lit(False).alias("ghost")).union(ghosts)
-    window = Window.partitionBy("range").orderBy("ghost", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
-    return rows.withColumn("next_text", F.lead("text").over(window)).where("NOT ghost").select("doc_id", "text", "next_text")
+    parts = (F.when(F.col("doc_id").isNull(), 0).otherwise(1).alias("flag"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("id"), F.xxhash64("text").alias("hash"), F.xxhash64(F.monotonically_increasing_id()).alias("salt"))
+    rows = _ranges(docs.select("doc_id", "text", F.struct(*parts).alias("key")))
+    heads = rows.groupBy("range").agg(F.max("key").alias("key"))
+    all_ranges = Window.partitionBy(F.lit(0)).orderBy(F.col("range"))  # a row per range
+    before = F.coalesce(F.lead("range").over(all_ranges), F.min("range").over(Window.partitionBy(F.lit(0))))
+    heads = heads.select("key.flag", "key.id", "key.hash", before.alias("range"))
+    at = rows.select("doc_id", "text", "key.flag", "key.id", "key.hash").join(F.broadcast(heads), ["flag", "id", "hash"])
+    ghosts = at.groupBy("range").agg(F.max("doc_id").alias("doc_id"), F.max("text").alias("text")).select("doc_id", "text", "range", F.lit(0).alias("real"), F.lit(0).alias("hash"))
+    every = rows.select("doc_id", "text", "range", F.lit(1).alias("real"), "key.hash").union(ghosts.select("doc_id", "text", "range", "real", F.col("hash").cast("long"))).repartition("range")
+    every = every.withColumn("a", F.expr(digests("text"))).withColumn("sketch", F.expr(sketch("a")))
+    window = Window.partitionBy("range").orderBy(F.col("real").desc(), F.col("doc_id").desc_nulls_last(), F.col("hash").desc(), F.col("text").desc())
+    ahead = [F.lead(c).over(window).alias(f"next_{c}") for c in ("text", "a", "sketch")]
+    return every.select("doc_id", "text", "a", "sketch", "real", *ahead).where("real = 1").drop("real")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: fingerprints of every document and of its edited text, and their likeness.
 
-    A null text is empty; ids must not be negative.
+    A null text is empty. Ids may be any numbers, null or repeated; the order of rows of equal ids
+    is that of ``with_next``. An empty table gives an empty result.
     """
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = with_next(docs).withColumn("n_chars", F.length("text").cast("long"))
     cut = "CAST(n_chars DIV 3 AS INT)"
     rows = rows.withColumn("edited", F.expr(f"concat(substring(text, 1, CAST(n_chars AS INT) - {cut}), substring(next_text, 1, {cut}))"))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), F.expr(digests("text")).alias("a"), F.expr(digests("edited")).alias("e"), F.expr(digests("next_text")).alias("n"))
-    rows = rows.select("*", *(F.expr(sketch(x)).alias(f"s{x}") for x in "aen"))
-    rows = rows.select("*", *(F.expr(difference("a", x, "sa", f"s{x}")).alias(f"d{x}") for x in "en"))
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "a", "sketch", F.expr(digests("edited")).alias("e"), "next_a", "next_sketch")
+    rows = rows.withColumn("edited_sketch", F.expr(sketch("e")))
+    rows = rows.withColumns({"de": F.expr(difference("a", "e", "sketch", "edited_sketch")), "dn": F.expr(difference("a", "next_a", "sketch", "next_sketch"))})
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", F.expr(written("sa")).alias("fingerprint"), F.expr(written("se")).alias("edited_fingerprint"),
-        F.expr(likeness("size(a)", "size(e)", "de")).alias("near_edited"), F.expr(likeness("size(a)", "size(n)", "dn")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", F.expr(written("sketch")).alias("fingerprint"), F.expr(written("edited_sketch")).alias("edited_fingerprint"),
+        F.expr(likeness("size(a)", "de")).alias("near_edited"), F.expr(likeness("size(a)", "dn")).alias("near_next"),
     )
