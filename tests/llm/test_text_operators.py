@@ -2,12 +2,15 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
 import pytest
+import zstandard
+from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 from tests.llm.helpers import DOC, ODD, texts
 from tokenizers import Tokenizer
@@ -348,3 +351,93 @@ def test_random_runs_of_letters_alone(spark):
     rows = list(enumerate(ordinary)) + [(100 + k, "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=20))) for k in range(100)]
     found = {r["doc_id"]: r["spans"] for r in secrets.scan(texts(spark, rows), secrets.fit(secrets.labelled(spark))).collect()}
     assert not any(found[k] for k in range(len(ordinary))) and sum(len(found[k]) for k in range(100, 200)) >= 97
+
+
+def test_fingerprints_of_null_negative_and_repeated_ids(spark, tmp_path, monkeypatch):
+    """Order: descending id, then descending hash of the text, null ids last; equal rows follow one another."""
+    monkeypatch.setattr(fingerprints, "KEYS", 2)
+    hashed = spark.createDataFrame([(k, f"s{k} one. two. s{k % 7} three. end{'x' * (k % 13)}.") for k in range(120)], "k long, text string").selectExpr("k", "text", "xxhash64(text) AS h").collect()
+    hash_of = {r["text"]: r["h"] for r in hashed}
+    some = [r["text"] for r in hashed]
+    rows = [(k - 20, t) for k, t in enumerate(some[:40])] + [(5, t) for t in some[40:70]] + [(None, t) for t in some[70:100]] + [(7, some[100])] * 25 + [(2**63 - 1, some[101]), (-(2**63) + 1, some[102])]
+    random.Random(3).shuffle(rows)
+    spark.createDataFrame(rows, DOC).repartition(3).write.parquet(f"{tmp_path}/a/documents.parquet")
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hash_of[r[1]]), reverse=True)
+    want = Counter()
+    for (k, t), (_, after) in zip(ordered, ordered[1:] + ordered[:1], strict=True):
+        edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        like = lambda a, b: round(len(a & b) / len(a | b), 9)
+        want[k, len(t), hashlib.sha256(edited.encode()).hexdigest(), like(passages(t), passages(edited)), like(passages(t), passages(after))] += 1
+    got = fingerprints.query(spark, f"{tmp_path}/a").collect()
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == want
+    spark.createDataFrame([], DOC).write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert fingerprints.query(spark, f"{tmp_path}/b").count() == 0
+
+
+@pytest.mark.parametrize("sides", [(0, 0), (1, 0), (3, 5), (40, 60), (700, 650)])
+def test_sketches_give_the_differing_digests(spark, sides):
+    rng = random.Random(sum(sides))
+    both, a, b = ([rng.getrandbits(63) for _ in range(n)] for n in (50, *sides))
+    rows = spark.createDataFrame([(both + a, b + both)], "a array<long>, b array<long>").select("a", "b", F.expr(fingerprints.sketch("a")).alias("sa"), F.expr(fingerprints.sketch("b")).alias("sb"))
+    found = rows.select(F.expr(fingerprints.difference("a", "b", "sa", "sb")).alias("d")).first()["d"]
+    assert sorted(found["a"]) == sorted(a) and sorted(found["b"]) == sorted(b)
+
+
+def test_quality_scores_follow_from_compressed_sizes():
+    """Sizes by plain calls of the library, and the score from differences alone."""
+    rng = random.Random(9)
+    good, bad = ([" ".join(rng.choice(words) for _ in range(rng.randint(5, 200))) for _ in range(60)] for words in (["river", "stone", "morning", "letter"], ["buy", "now", "click", "!!!", "free"]))
+    dicts = [quality._dictionary([t.encode() for t in texts]) for texts in (good, bad)]
+    measure = quality.Measure(*(d.as_bytes() for d in dicts), tuple(not d.dict_id() for d in dicts))
+    model = quality.Model(*(d.as_bytes() for d in dicts), tuple(not d.dict_id() for d in dicts), np.array([0.1, 0.0, 0.0, 0.0]), np.ones(4), np.array([0.5, 2.0, 1.0, 0.3, -0.2]))
+    score = model.scorer()
+    for text in ["", "river stone", "buy now " * 300, "é" * 1000, "\n".join(good[:9] + bad[:2])]:
+        data, n = text.encode(), max(1, round(len(text.encode()) / quality.BLOCK))
+        blocks = [data[len(data) * k // n : len(data) * (k + 1) // n] for k in range(n)]
+        sizes = []
+        for d in dicts:
+            c = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append([len(c.compress(x)) - len(c.compress(b"")) for x in blocks])
+        whole, total = sum(sizes[1]) - sum(sizes[0]), sum(sizes[1]) + sum(sizes[0])
+        each = [(b - g) / (b + g + 16) for g, b in zip(*sizes, strict=True)]
+        features = [whole / (total + 16), min(each), max(each), whole / (len(data) + 16)]
+        assert measure(text).tolist() == pytest.approx(features)
+        margin = 0.5 + 2.0 * (features[0] - 0.1) + features[1] + 0.3 * features[2] - 0.2 * features[3]
+        assert score(text) == pytest.approx(1 / (1 + math.exp(-margin)))
+    assert score("morning letter river stone " * 20) > score("click free now " * 20)
+
+
+def test_quality_learns_from_whole_texts_and_no_more_than_the_bound(spark, monkeypatch):
+    """What tells the labels apart lies at the ends of texts with a common head."""
+    rng = random.Random(2)
+    head = " ".join(f"h{k}" for k in range(400))
+    tail = lambda label: " ".join(rng.choice(["amber", "harbour", "lantern", "meadow"] if label else ["xqz!", "win$$", "clck", "frree"]) for _ in range(80))
+    rows = [(k, f"{head} {tail(k % 2)}", k % 2) for k in range(200)] + [(None, "no id", 1), (5, None, 1), (7, "x" * 3_000_000, 0)]
+    model = quality.fit(spark.createDataFrame(rows, "doc_id long, text string, quality int"))
+    score = model.scorer()
+    assert min(score(f"{head} {tail(1)}") for _ in range(20)) > max(score(f"{head} {tail(0)}") for _ in range(20))
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 0)
+    assert not quality.fit(spark.createDataFrame(rows, "doc_id long, text string, quality int")).good
+
+
+def test_secrets_in_very_long_texts_and_empty_tables(spark):
+    rng = random.Random(5)
+    runs = ["%032x" % rng.getrandbits(128) for _ in range(16_000)]
+    text = "é " + " ".join(runs) + " 日本 end"
+    ratios = secrets.fit(secrets.labelled(spark))
+    began = time.time()
+    found = secrets.scan(texts(spark, [(1, text), (1, text)]), ratios).collect()
+    assert time.time() - began < 30 and len(found) == 2
+    for r in found:
+        assert [(s["start"], s["kind"], s["end"]) for s in r["base"]] == base_spans(text)
+    clean = secrets.redact(texts(spark, [(1, text)]), ratios).first()["text"]
+    assert clean == "é " + " ".join(["[secret]"] * len(runs)) + " 日本 end"
+    assert secrets.scan(texts(spark, []), ratios).count() == 0 and secrets.redact(texts(spark, []), ratios).count() == 0
+
+
+def test_markov_ratio_on_strings_held_out(spark):
+    """Neither parts nor forms of the ordinary strings, nor the random ones, were learnt from."""
+    rows = secrets.held_out(spark).where("length(text) >= 16 AND text RLIKE '[A-Za-z]'")
+    found = rows.select("random", (F.expr(secrets._ratio("text", secrets.fit(secrets.labelled(spark)))) > secrets.THRESHOLD).alias("taken")).groupBy("random", "taken").count().collect()
+    n = defaultdict(int, {(r["random"], r["taken"]): r["count"] for r in found})
+    assert n[1, True] / (n[1, True] + n[1, False]) >= 0.98 and n[1, True] / (n[1, True] + n[0, True]) >= 0.95
