@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -65,6 +65,19 @@ def balance(df: DataFrame, features: Iterable[str], pair: tuple) -> DataFrame:
     return df.agg(*aggs).select(F.expr(f"stack({len(features)}, {rows}) AS (feature, smd)"))
 
 
+def category_balance(df: DataFrame, features: Iterable[str], pair: tuple) -> DataFrame:
+    """``feature, value, share_a, share_b, smd`` of categories in two arms, nulls as ``(missing)``; the standardised
+    difference of two shares, null where both are 0 or 1."""
+    a, b = pair
+    features = list(features)
+    values = ", ".join(f"'{f}', coalesce(CAST({f} AS STRING), '(missing)')" for f in features)
+    rows = df.where(F.col("arm").isin(a, b)).select("arm", F.expr(f"stack({len(features)}, {values}) AS (feature, value)"))
+    counts = rows.groupBy("feature", "value").agg(F.count_if(F.col("arm") == a).alias("n_a"), F.count_if(F.col("arm") == b).alias("n_b"))
+    totals = Window.partitionBy("feature")  # a row per value
+    shares = counts.select("feature", "value", (F.col("n_a") / F.sum("n_a").over(totals)).alias("share_a"), (F.col("n_b") / F.sum("n_b").over(totals)).alias("share_b"))
+    return shares.withColumn("smd", F.expr("try_divide(share_a - share_b, sqrt((share_a * (1 - share_a) + share_b * (1 - share_b)) / 2))"))
+
+
 def duplicates(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """``n_groups, n_extra``: groups of equal rows, and rows beyond the first of each."""
     groups = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("c")).where("c > 1")

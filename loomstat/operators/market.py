@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,6 +18,68 @@ def size_by(reviews: DataFrame, products: DataFrame, by: str) -> DataFrame:
     return groups.withColumn("share", F.col("n_reviews") / F.sum("n_reviews").over(Window.partitionBy(F.lit(1))))
 
 
+def category_level(category: str, level: int, separator: str = " ") -> Column:
+    """A level, from 1, of a category path in a text column, null where the path is shorter; -1 is the leaf."""
+    return F.expr(f"try_element_at(filter(split({category}, '{separator}'), x -> x <> ''), {level})")
+
+
+def valid_products(products: DataFrame, name: str = "name", price: str = "price") -> DataFrame:
+    """Products with an id, a name that is not blank and a positive price."""
+    return products.where(F.col("product_id").isNotNull() & (F.length(F.trim(name)) > 0) & (F.col(price) > 0))
+
+
+def non_empty(reviews: DataFrame, text: str = "text") -> DataFrame:
+    """Reviews whose text has more than white space."""
+    return reviews.where(F.coalesce(F.col(text), F.lit("")).rlike(r"\S"))
+
+
+def keep_first(rows: DataFrame, key: Column, order: str) -> DataFrame:
+    """Of rows with an equal ``key`` the one with the smallest ``order``, whole, with ``copies``, how many there
+    were; a null order comes last, ties go to the smallest row. Counted before the shuffle, so that a
+    key of very many rows is no load."""
+    columns = [c for c in rows.columns if c != order]
+    one = F.struct(F.col(order).isNull().alias("none"), F.col(order), *columns)
+    found = rows.groupBy(key.alias("_key")).agg(F.min(one).alias("_first"), F.count(F.lit(1)).alias("copies"))
+    return found.select(*(F.col(f"_first.{c}").alias(c) for c in rows.columns), "copies")
+
+
+def quantiles(rows: DataFrame, column: str, shares: list[float], by: list[str] = ()) -> DataFrame:
+    """``by, share, value``: interpolated quantiles from counts of distinct values."""
+    found = rows.groupBy(*by).agg(F.percentile(column, F.array(*map(F.lit, shares))).alias("_q"))
+    return found.select(*by, F.posexplode("_q").alias("_i", "value")).select(*by, F.element_at(F.array(*map(F.lit, shares)), F.col("_i") + 1).alias("share"), "value")
+
+
+def product_master(products: DataFrame, reviews: DataFrame, cuts: list[float]) -> DataFrame:
+    """``products`` with ``band, n_reviews, mean_stars, first_year, last_year, verified_share``; no reviews count 0."""
+    per = reviews.groupBy("product_id").agg(
+        F.count(F.lit(1)).alias("n_reviews"), F.avg("stars").alias("mean_stars"), F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.avg(F.col("verified").cast("int")).alias("verified_share")
+    )
+    return price_band(products, cuts).join(per, "product_id", "left").withColumn("n_reviews", F.coalesce("n_reviews", F.lit(0)))
+
+
+def lorenz(shares: DataFrame, value: str = "n_reviews") -> DataFrame:
+    """``value, share_of_rows, share_of_value``: the curve, a point for each distinct value in rising order."""
+    bins = shares.groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("c"))
+    up, whole = Window.partitionBy(F.lit(1)).orderBy("value").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(F.lit(1))
+    mass = F.col("value") * F.col("c")
+    return bins.select("value", (F.sum("c").over(up) / F.sum("c").over(whole)).alias("share_of_rows"), (F.sum(mass).over(up) / F.sum(mass).over(whole)).alias("share_of_value"))
+
+
+def top(groups: DataFrame, by: str, k: int, measure: str = "n_reviews") -> DataFrame:
+    """The ``k`` rows with the largest ``measure``, ties by the group's name."""
+    return groups.orderBy(F.col(measure).desc(), by).limit(k)
+
+
+def kept_terms(tf: DataFrame, min_df: int, max_share: float, stop_words: DataFrame | None = None) -> DataFrame:
+    """``tf`` without terms of fewer than ``min_df`` products or more than ``max_share`` of all, nor those of the
+    column ``term`` of ``stop_words``."""
+    n = tf.agg(F.count_distinct("product_id")).scalar()
+    keep = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max_share * n)).select("term")
+    if stop_words is not None:
+        keep = keep.join(stop_words.select("term"), "term", "left_anti")
+    return tf.join(keep, "term", "left_semi")
+
+
 def price_band(products: DataFrame, cuts: list[float]) -> DataFrame:
     """``products`` with ``band``: how many cuts lie below or at the price."""
     return products.withColumn("band", sum((F.when(F.col("price") >= c, 1).otherwise(0) for c in cuts), F.lit(0)))
@@ -67,18 +129,17 @@ def weighted_terms(tf: DataFrame) -> DataFrame:
     """``term, df, market, product_equal``: a term's share of all words, and its mean share over
     products, absent terms counting zero."""
     totals = tf.groupBy("product_id").agg(F.sum("tf").alias("total"))
-    n_products, n_words = totals.agg(F.count(F.lit(1)), F.sum("total")).first()
-    shares = tf.join(totals, "product_id")
-    return shares.groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), (F.sum("tf") / F.lit(float(n_words or 1))).alias("market"), (F.sum(F.col("tf") / F.col("total")) / F.lit(float(n_products or 1))).alias("product_equal")
-    )
+    by = tf.join(totals, "product_id").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("words"), F.sum(F.col("tf") / F.col("total")).alias("share"))
+    # Subqueries of one row: their shuffles are those of the rows above.
+    n_words, n_products = totals.agg(F.sum("total").cast("double")).scalar(), totals.agg(F.count(F.lit(1)).cast("double")).scalar()
+    return by.select("term", "df", (F.col("words") / n_words).alias("market"), (F.col("share") / n_products).alias("product_equal"))
 
 
 def tfidf(tf: DataFrame) -> DataFrame:
     """``product_id, term, tfidf`` with the smooth weight ln((1 + n) / (1 + df)) + 1, not normalised."""
-    n = tf.select("product_id").distinct().count()
+    n = tf.agg(F.count_distinct("product_id").cast("double")).scalar()
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return tf.join(df, "term").select("product_id", "term", (F.col("tf") * (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1)).alias("tfidf"))
+    return tf.join(df, "term").select("product_id", "term", (F.col("tf") * (F.log((1 + n) / (1 + F.col("df"))) + 1)).alias("tfidf"))
 
 
 def keyword_contrast(tf: DataFrame, groups: DataFrame) -> DataFrame:
@@ -87,9 +148,8 @@ def keyword_contrast(tf: DataFrame, groups: DataFrame) -> DataFrame:
     ``groups`` has ``product_id`` and ``g``.
     """
     by = tf.join(groups, "product_id").groupBy("term").agg(F.sum(F.when(F.col("g") == 1, F.col("tf")).otherwise(0)).alias("a"), F.sum(F.when(F.col("g") == 0, F.col("tf")).otherwise(0)).alias("b"))
-    na, nb = by.agg(F.sum("a"), F.sum("b")).first()
-    odds = lambda c, n: F.log((F.col(c) + 0.5) / (F.lit(float(n or 0)) - F.col(c) + 0.5))
-    return by.select("term", "a", "b", (odds("a", na) - odds("b", nb)).alias("log_odds"))
+    odds = lambda c: F.log((F.col(c) + 0.5) / (by.agg(F.sum(c).cast("double")).scalar() - F.col(c) + 0.5))
+    return by.select("term", "a", "b", (odds("a") - odds("b")).alias("log_odds"))
 
 
 def group_keywords(tf: DataFrame, groups: DataFrame, k: int = 10) -> DataFrame:
@@ -101,8 +161,8 @@ def group_keywords(tf: DataFrame, groups: DataFrame, k: int = 10) -> DataFrame:
     """
     by = tf.join(groups.where("g IS NOT NULL"), "product_id").groupBy("g", "term").agg(F.sum("tf").alias("a"))
     sizes = by.groupBy("g").agg(F.sum("a").alias("na"))
-    whole = by.agg(F.sum("a")).first()[0] or 0
+    whole = by.agg(F.sum("a")).scalar()
     rows = by.join(by.groupBy("term").agg(F.sum("a").alias("all")), "term").join(sizes, "g")
     odds = lambda c, n: F.log((c + 0.5) / (n - c + 0.5))
-    scored = rows.select("g", "term", "a", F.round(odds(F.col("a"), F.col("na")) - odds(F.col("all") - F.col("a"), F.lit(whole) - F.col("na")), 6).alias("log_odds"))
+    scored = rows.select("g", "term", "a", F.round(odds(F.col("a"), F.col("na")) - odds(F.col("all") - F.col("a"), whole - F.col("na")), 6).alias("log_odds"))
     return scored.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy(F.col("log_odds").desc(), "term"))).where(F.col("k") <= k)

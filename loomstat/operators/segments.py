@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -60,8 +60,57 @@ def adjusted_rand(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.sparkSession.range(1).select(F.lit(float((both - expected) / top) if top else 1.0).alias("ari"))
 
 
+def diagnostics(segmented: DataFrame, vector_col: str = "embedding") -> DataFrame:
+    """``segment, n, share, spread``: size, share of all rows, and the mean squared distance to the centre."""
+    parts = segmented.where(F.col(vector_col).isNotNull()).select("segment", F.col(vector_col).cast("array<double>").alias("v")).select("segment", F.posexplode("v").alias("at", "x"))
+    # The spread is the sum of the components' variances.
+    by = parts.groupBy("segment", "at").agg(F.count(F.lit(1)).alias("n"), F.var_pop("x").alias("var")).groupBy("segment").agg(F.max("n").alias("n"), F.sum("var").alias("spread"))
+    return by.select("segment", "n", (F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))).alias("share"), "spread")
+
+
+def _gram(vectors: DataFrame, vector_col: str) -> np.ndarray:
+    """The matrix of inner products of the components, added up from one partial matrix for each task."""
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            x = flat.reshape(batch.num_rows, -1)
+            total = x.T @ x + (0 if total is None else total)
+        if total is not None:
+            yield pa.record_batch([pa.array(np.arange(total.size), pa.int32()), pa.array(total.ravel())], names=["at", "x"])
+
+    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(vector_col).cast("array<double>").alias("v"))
+    sums = rows.mapInArrow(run, "at int, x double").groupBy("at").agg(F.sum("x").alias("x")).collect()  # the square of the components
+    out = np.zeros(len(sums))
+    for r in sums:
+        out[r["at"]] = r["x"]
+    n = int(round(len(sums) ** 0.5))
+    return out.reshape(n, n)
+
+
+def truncated_svd(vectors: DataFrame, k: int, vector_col: str = "embedding") -> tuple[list[float], np.ndarray]:
+    """The ``k`` largest singular values of the rows, without centring, and their directions as columns, the
+    largest component of each positive. Vectors of one length without nulls; fewer components give
+    fewer values."""
+    squares, directions = np.linalg.eigh(_gram(vectors, vector_col))
+    order = np.argsort(-squares)[:k]
+    directions = directions[:, order]
+    if directions.size:
+        directions = directions * np.sign(directions[np.abs(directions).argmax(0), np.arange(directions.shape[1])])
+    return np.sqrt(np.maximum(squares[order], 0)).tolist(), directions
+
+
 def singular_values(vectors: DataFrame, k: int, vector_col: str = "embedding") -> DataFrame:
     """``component, value``: the largest singular values, without centring."""
-    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(vector_col).cast("array<double>").alias("v"))
-    found = RowMatrix(rows.rdd.map(lambda r: Vectors.dense(r["v"]))).computeSVD(k).s.toArray().tolist()
-    return vectors.sparkSession.createDataFrame([(i, float(s)) for i, s in enumerate(found)], "component int, value double")
+    values, _ = truncated_svd(vectors, k, vector_col)
+    return vectors.sparkSession.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "component int, value double")
+
+
+def svd_embedding(vectors: DataFrame, k: int, vector_col: str = "embedding", out: str = "coordinates") -> DataFrame:
+    """``vectors`` with ``out``: each row's coordinates along the ``k`` directions of truncated_svd, as
+    expressions on the array; null for a null vector."""
+    _, directions = truncated_svd(vectors, k, vector_col)
+    columns = ["array(" + ", ".join(f"{w!r}D" for w in column) + ")" for column in directions.T.tolist()]
+    dot = lambda c: f"aggregate(zip_with(CAST(`{vector_col}` AS array<double>), {c}, (x, w) -> x * w), 0.0D, (s, x) -> s + x)"
+    return vectors.withColumn(out, F.expr(f"IF(`{vector_col}` IS NULL, NULL, array({', '.join(map(dot, columns))}))"))

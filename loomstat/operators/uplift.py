@@ -1,11 +1,16 @@
 """Heterogeneous effects, cross-fitted learners, and policies.
 
-Base learners are linear in one feature, fitted from sums per fold and arm: the fit without a
-fold is the total less that fold's sums, so cross-fitting is one pass and a small join.
+Base learners are linear in one feature or in all, fitted from sums per fold and arm: the fit without
+a fold comes from the other folds' sums, so cross-fitting is one pass. Boosted trees are there too.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,11 +44,13 @@ def _sums(rows: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 def cross_fit(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """``by, fold, slope, intercept`` of y on x, fitted on all folds but the named one."""
-    folds = _sums(rows, [*by, "fold"], x, y)
+    # About the means of all rows, so that squares keep their digits.
+    at_x, at_y = (v or 0.0 for v in rows.agg(F.avg(x), F.avg(y)).first())
+    folds = _sums(rows.withColumns({x: F.col(x) - F.lit(at_x), y: F.col(y) - F.lit(at_y)}), [*by, "fold"], x, y)
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     rest = folds.select(*by, "fold", *((F.sum(c).over(group) - F.col(c)).alias(c) for c in ("n", "sx", "sy", "sxy", "sxx")))
     slope = F.expr("coalesce(try_divide(sxy - sx * sy / n, sxx - sx * sx / n), 0.0D)")
-    return rest.where("n > 0").withColumn("slope", slope).select(*by, "fold", "slope", ((F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n")).alias("intercept"))
+    return rest.where("n > 0").withColumn("slope", slope).select(*by, "fold", "slope", (F.lit(at_y) - F.col("slope") * F.lit(at_x) + (F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n")).alias("intercept"))
 
 
 def t_learner(units: DataFrame, x: str = "history", y: str = "spend", folds: int = 5, seed: int = 20260902, arms: tuple = (0, 1, 2)) -> DataFrame:
@@ -61,6 +68,74 @@ def dr_scores(predictions: DataFrame, treated: int, control: int = 0, share: flo
     return predictions.select("unit_id", "fold", "x", (F.col(f"mu_{treated}") - F.col(f"mu_{control}") + of(treated) - of(control)).alias("phi"))
 
 
+def dr_learner(predictions: DataFrame, treated: tuple = (1, 2), control: int = 0, share: float = 1 / 3) -> DataFrame:
+    """``unit_id, arm, fold, y, tau_1, tau_2, ...``: out-of-fold effects, linear in x, fitted on the
+    doubly robust pseudo-outcomes of the other folds."""
+    out = predictions.select("unit_id", "arm", "fold", "x", "y")
+    for t in treated:
+        fits = cross_fit(dr_scores(predictions, t, control, share), "x", "phi", []).select("fold", F.col("slope").alias(f"slope_{t}"), F.col("intercept").alias(f"intercept_{t}"))
+        out = out.join(F.broadcast(fits), "fold")  # a row per fold
+    return out.select("unit_id", "arm", "fold", "y", *((F.col(f"intercept_{t}") + F.col(f"slope_{t}") * F.col("x")).alias(f"tau_{t}") for t in treated))
+
+
+def _design(units: DataFrame, numbers: tuple, categories: tuple, levels: dict | None = None) -> tuple[DataFrame, list[str], dict]:
+    """``units`` with a column for each number (null: its mean) and each value of a category but the first."""
+    if levels is None:
+        found = units.agg(*(F.avg(c).alias(f"m_{c}") for c in numbers), *(F.stddev_samp(c).alias(f"s_{c}") for c in numbers), *(F.array_sort(F.collect_set(F.col(c).cast("string"))).alias(f"v_{c}") for c in categories)).first()
+        levels = {c: (found[f"m_{c}"] or 0.0, found[f"s_{c}"] or 1.0) for c in numbers} | {c: list(found[f"v_{c}"])[1:] for c in categories}
+    made = {f"_{c}": (F.coalesce(F.col(c).cast("double"), F.lit(levels[c][0])) - F.lit(levels[c][0])) / F.lit(levels[c][1]) for c in numbers}
+    made |= {f"_{c}_{k}": F.coalesce(F.col(c).cast("string") == F.lit(v), F.lit(False)).cast("double") for c in categories for k, v in enumerate(levels[c])}
+    return units.withColumns({"_one": F.lit(1.0)} | made), ["_one", *made], levels
+
+
+NUMBERS, CATEGORIES = ("recency", "history", "newbie", "mens", "womens"), ("channel", "zip_code")
+
+
+def t_learner_features(units: DataFrame, y: str = "spend", folds: int = 5, seed: int = 20260902, arms: tuple = (0, 1, 2), numbers: tuple = NUMBERS, categories: tuple = CATEGORIES, ridge: float = 1e-6) -> DataFrame:
+    """``unit_id, arm, fold, y, mu_0, mu_1, ...``: out-of-fold predictions linear in all features.
+
+    One pass adds up the cross products by arm and fold, whose number the features bound; the driver
+    solves a small system for each, with a slight ridge. Null numbers count as the mean, null
+    categories as the first value. Units with a null outcome are predicted, not learnt from.
+    """
+    rows = units.select("unit_id", "arm", *numbers, *categories, F.col(y).cast("double").alias("y"), draw(F.lit(seed), "unit_id", modulo=F.lit(folds)).cast("int").alias("fold"))
+    made, names, _ = _design(rows, numbers, categories)
+    n = len(names)
+    products = [F.sum(F.col(names[i]) * F.col(names[j])) for i in range(n) for j in range(i, n)] + [F.sum(F.col(c) * F.col("y")) for c in names]
+    sums = {(r["arm"], r["fold"]): np.array(r["s"], float) for r in made.where("y IS NOT NULL").groupBy("arm", "fold").agg(F.array(*products).alias("s")).collect()}  # arms * folds rows
+    upper, weights = np.triu_indices(n), {}
+    for arm in arms:
+        for fold in range(folds):
+            rest = sum((s for (a, f), s in sums.items() if a == arm and f != fold), np.zeros(len(upper[0]) + n))
+            gram = np.zeros((n, n))
+            gram[upper] = rest[: len(upper[0])]
+            gram = gram + np.triu(gram, 1).T
+            weights[arm, fold] = np.linalg.solve(gram + ridge * max(1.0, gram[0, 0]) * np.eye(n), rest[len(upper[0]) :])
+    one = lambda arm, fold: sum((F.col(c) * F.lit(float(w)) for c, w in zip(names, weights[arm, fold], strict=True)), F.lit(0.0))
+    mu = [F.coalesce(*(F.when(F.col("fold") == f, one(a, f)) for f in range(folds))).alias(f"mu_{a}") for a in arms]
+    return made.select("unit_id", "arm", "fold", "y", *mu)
+
+
+def boosted_learner(units: DataFrame, iterations: int = 150, y: str = "spend", folds: int = 5, seed: int = 20260902, arms: tuple = (0, 1, 2), numbers: tuple = NUMBERS, categories: tuple = CATEGORIES) -> DataFrame:
+    """``unit_id, arm, fold, y, mu_0, mu_1, ...``: out-of-fold predictions of boosted trees, ``iterations``
+    of them for each arm and fold. An arm without units outside a fold predicts its mean, 0 without any."""
+    rows = units.select("unit_id", "arm", *numbers, *categories, F.col(y).cast("double").alias("y"), draw(F.lit(seed), "unit_id", modulo=F.lit(folds)).cast("int").alias("fold"))
+    made, names, _ = _design(rows, numbers, categories)
+    made = VectorAssembler(inputCols=names[1:], outputCol="features").transform(made).select("unit_id", "arm", "fold", "y", "features").persist()
+    parts = []
+    for fold in range(folds):
+        part = made.where(F.col("fold") == fold)
+        for arm in arms:
+            known = made.where((F.col("fold") != fold) & (F.col("arm") == arm) & F.col("y").isNotNull())
+            if known.isEmpty():
+                part = part.withColumn(f"mu_{arm}", F.lit(0.0))
+            else:
+                model = GBTRegressor(featuresCol="features", labelCol="y", predictionCol=f"mu_{arm}", maxIter=iterations, maxDepth=3, stepSize=0.1, seed=seed).fit(known)
+                part = model.transform(part)
+        parts.append(part.select("unit_id", "arm", "fold", "y", *(f"mu_{a}" for a in arms)))
+    return reduce(DataFrame.union, parts)
+
+
 def _binned(predictions: DataFrame, treated: int, control: int, bins: int) -> DataFrame:
     """``unit_id, arm, y, bin`` by falling predicted uplift.
 
@@ -82,6 +157,17 @@ def uplift_bins(predictions: DataFrame, treated: int = 1, control: int = 0, bins
     return by.select("bin", "n_t", "n_c", F.expr("try_divide(s_t, n_t) - try_divide(s_c, n_c)").alias("uplift"), qini.alias("qini"))
 
 
+def uplift_areas(bins: DataFrame) -> DataFrame:
+    """``n_bins, auuc, qini``: from uplift_bins, the area under the cumulative gain per treated unit, as a
+    trapezoid sum over the shares of units seen, and that area less the one of a random order."""
+    rows = bins.select("bin", "qini", (F.col("n_t") + F.col("n_c")).alias("n"))
+    run = Window.partitionBy(F.lit(0)).orderBy("bin")  # a row per bin
+    whole = Window.partitionBy(F.lit(0))
+    steps = rows.withColumns({"width": F.col("n") / F.sum("n").over(whole), "before": F.coalesce(F.lag("qini").over(run), F.lit(0.0)), "last": F.last("qini").over(run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    area = F.sum(F.col("width") * (F.col("before") + F.col("qini")) / 2)
+    return steps.agg(F.count(F.lit(1)).alias("n_bins"), area.alias("auuc"), (area - F.max("last") / 2).alias("qini"))
+
+
 def _limits(column: str, low: str, high: str, alpha: float) -> list:
     return [F.expr(f"percentile({column}, {q})").alias(name) for q, name in ((alpha / 2, low), (1 - alpha / 2, high))]
 
@@ -143,3 +229,11 @@ def policy_intervals(predictions: DataFrame, replicates: int = 2000, seed: int =
 def cost_grid(values: DataFrame, costs: list[float]) -> DataFrame:
     """``policy, cost, net``: value less a scenario cost per contact, not a real cost."""
     return values.select("policy", F.explode(F.array(*map(F.lit, costs))).alias("cost"), "dr", "send_rate").withColumn("net", F.col("dr") - F.col("cost") * F.col("send_rate"))
+
+
+def break_even(values: DataFrame, base: str = "all_0") -> DataFrame:
+    """``policy, gain, break_even``: what a policy is worth beyond ``base``, and the cost per contact at
+    which that is used up; null for a policy that contacts nobody."""
+    at = F.max(F.when(F.col("policy") == base, F.col("dr"))).over(Window.partitionBy(F.lit(0)))  # a row per policy
+    gain = values.withColumn("gain", F.col("dr") - at)
+    return gain.select("policy", "gain", F.expr("try_divide(gain, nullif(send_rate, 0.0D))").alias("break_even"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomstat.functions.student import STEPS, format_p
-from loomstat.operators import audit, density, eligibility, inference, market, segments, uplift
+from loomstat.operators import audit, density, eligibility, hetero, inference, market, segments, uplift
 from loomstat.sources import files
 from loomstat.sources.frames import CONTRASTS, OUTCOMES, UNITS_SQL, corpus, products, read, reviews, units
 
@@ -76,11 +76,18 @@ def abn_holm(spark, sf_dir):
     return _rounded(inference.holm(_welch(spark, sf_dir), ["outcome"]).select("outcome", "a", "b", "p_value", "p_holm"))
 
 
-@_query()
+#: The critical value by bisection, 40 halvings of (1, 16).
+_CRITICAL = _P.replace("atan(abs(t_stat) / sqrt(welch_df))", "atan((lo + hi) / 2 / sqrt(welch_df))")
+
+
+@_query(_WELCH.replace("WITH ", "WITH RECURSIVE ", 1) + f""", k AS (SELECT outcome, contrast, welch_df, 1.0::DOUBLE AS lo, 16.0::DOUBLE AS hi, 0 AS i FROM t
+  UNION ALL SELECT outcome, contrast, welch_df, CASE WHEN tail > 0.05 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN tail > 0.05 THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM (SELECT *, {_CRITICAL} AS tail FROM k WHERE i < 40))
+SELECT p.outcome, a, b, round(difference, 4) AS difference, round(difference - (lo + hi) / 2 * standard_error, 4) AS ci_low, round(difference + (lo + hi) / 2 * standard_error, 4) AS ci_high,
+  CASE WHEN p_value < 0.001 THEN 'p < 0.001' ELSE printf('p = %.4f', p_value) END AS p_text FROM p JOIN k ON k.outcome = p.outcome AND k.contrast = p.contrast AND i = 40""")
 def abn_confidence(spark, sf_dir):
     stats = inference.moments(inference.long_outcomes(units(spark, sf_dir), OUTCOMES), ["outcome", "arm"])
     found = inference.welch(inference.contrasts(stats, CONTRASTS), alpha=0.05)
-    return found.select("outcome", "a", "b", "difference", "ci_low", "ci_high", format_p(F.col("p_value")).alias("p_text"))
+    return _rounded(found.select("outcome", "a", "b", "difference", "ci_low", "ci_high", format_p(F.col("p_value")).alias("p_text")), 4)
 
 
 @_query(f"WITH {UNITS_SQL} SELECT c.column AS column, CAST(c.n AS BIGINT) AS n_missing, (SELECT count(*) FROM units) AS n_rows FROM (SELECT 'recency' AS column, count(*) FILTER (recency IS NULL) AS n FROM units UNION ALL SELECT 'history', count(*) FILTER (history IS NULL) FROM units UNION ALL SELECT 'channel', count(*) FILTER (channel IS NULL) FROM units) c")
@@ -102,6 +109,13 @@ def audit_balance_smd(spark, sf_dir):
     return _rounded(audit.balance(units(spark, sf_dir), ("recency", "history", "newbie", "mens", "womens"), (1, 0)))
 
 
+@_query(f"""WITH {UNITS_SQL}, r AS (SELECT arm, unnest([{{'feature': 'channel', 'value': coalesce(channel, '(missing)')}}, {{'feature': 'zip_code', 'value': coalesce(zip_code, '(missing)')}}], recursive := true) FROM units WHERE arm IN (0, 1)),
+n AS (SELECT feature, value, count(*) FILTER (arm = 1) AS na, count(*) FILTER (arm = 0) AS nb FROM r GROUP BY ALL), h AS (SELECT feature, value, na / sum(na) OVER (PARTITION BY feature) AS pa, nb / sum(nb) OVER (PARTITION BY feature) AS pb FROM n)
+SELECT feature, value, round(pa, 6) AS share_a, round(pb, 6) AS share_b, round((pa - pb) / sqrt((pa * (1 - pa) + pb * (1 - pb)) / 2), 6) AS smd FROM h""")
+def audit_balance_categories(spark, sf_dir):
+    return _rounded(audit.category_balance(units(spark, sf_dir), ("channel", "zip_code"), (1, 0)))
+
+
 @_query(f"WITH {UNITS_SQL} SELECT count(*) FILTER (conversion = 1 AND visit = 0) AS converted_unvisited, count(*) FILTER (spend > 0 AND conversion = 0) AS spent_unconverted, count(*) FILTER (spend < 0) AS negative_spend FROM units")
 def audit_outcome_logic(spark, sf_dir):
     return audit.outcome_logic(units(spark, sf_dir))
@@ -156,10 +170,14 @@ def bootstrap_contrast_ci_full(spark, sf_dir):
     return _boot_ci(spark, sf_dir, REPLICATIONS)
 
 
-@_query()
+_WEIGHT = " + ".join(f"CAST(u >= {s} AS INTEGER)" for s in inference.poisson_steps())
+_DRAWN = f"u AS (SELECT unit_id, rep, {_DRAW.format(f"'{SEED}|' || rep || '|' || unit_id")} AS u FROM units, range(0, 200) r(rep))"
+
+
+@_query(f"WITH {UNITS_SQL}, {_DRAWN}, m AS (SELECT rep, arm, sum(({_WEIGHT}) * spend) / sum({_WEIGHT}) AS mean FROM units JOIN u USING (unit_id) GROUP BY ALL) SELECT arm, round(avg(mean), 4) AS mean, round(stddev_samp(mean), 4) AS se FROM m GROUP BY arm")
 def poisson_bootstrap(spark, sf_dir):
     means = inference.poisson_bootstrap_means(units(spark, sf_dir).select("unit_id", "arm", F.col("spend").alias("y")), 200, SEED)
-    return means.groupBy("arm").agg(F.avg("mean").alias("mean"), F.stddev_samp("mean").alias("se"))
+    return _rounded(means.groupBy("arm").agg(F.avg("mean").alias("mean"), F.stddev_samp("mean").alias("se")), 4)
 
 
 _PERM = f"""WITH {UNITS_SQL}, e AS (SELECT rep, spend, row_number() OVER (PARTITION BY rep ORDER BY md5('{SEED}|' || rep || '|' || unit_id), unit_id) AS rn FROM units, range(1, {_REPS + 1}) r(rep)),
@@ -225,15 +243,19 @@ def hte_continuous_slope(spark, sf_dir):
     return _rounded(uplift.slopes(units(spark, sf_dir), "history"), 6, intercept=3)
 
 
-@_query()
+_HTE = f"""WITH {UNITS_SQL}, long AS (SELECT unit_id, arm, outcome, y FROM (SELECT unit_id, arm, 'spend' AS outcome, spend::DOUBLE AS y FROM units UNION ALL SELECT unit_id, arm, 'visit', visit::DOUBLE FROM units UNION ALL SELECT unit_id, arm, 'conversion', conversion::DOUBLE FROM units)),
+fv AS (SELECT unit_id, unnest([{', '.join(f"{{'feature': '{f}', 'value': coalesce(CAST({f} AS VARCHAR), '(missing)')}}" for f in hetero.CATEGORIES)}], recursive := true) FROM units),
+s AS (SELECT feature, value, outcome, arm, count(y) AS n, avg(y) AS mean, var_samp(y) AS var FROM fv JOIN long USING (unit_id) GROUP BY ALL),
+cell AS (SELECT x.feature, x.value, x.outcome, contrast, a, b, x.n AS n_a, z.n AS n_b, x.mean - z.mean AS difference, sqrt(x.var / x.n + z.var / z.n) AS standard_error FROM {_PAIRS} JOIN s x ON x.arm = a JOIN s z ON z.arm = b AND z.outcome = x.outcome AND z.feature = x.feature AND z.value = x.value),
+nx AS (SELECT unit_id, unnest([{', '.join(f"{{'feature': '{f}', 'x': CAST({f} AS DOUBLE) - (SELECT avg({f}) FROM units)}}" for f in hetero.NUMBERS)}], recursive := true) FROM units),
+fit AS (SELECT feature, outcome, arm, count(*) AS n, regr_slope(y, x) AS slope, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy FROM nx JOIN long USING (unit_id) WHERE x IS NOT NULL GROUP BY ALL),
+sl AS (SELECT *, (syy - sxy * sxy / sxx) / (n - 2) / sxx AS v FROM fit)"""
+
+
+@_query(_HTE + " SELECT feature, value, outcome, a, b, n_a, n_b, round(difference, 4) AS difference, round(standard_error, 4) AS standard_error FROM cell")
 def hte_cells_all(spark, sf_dir):
-    features = ("newbie", "mens", "womens", "channel", "zip_code")
-    rows = inference.long_outcomes(units(spark, sf_dir), OUTCOMES, ("arm", *features))
-    values = ", ".join(f"'{f}', coalesce(CAST({f} AS STRING), '(missing)')" for f in features)
-    rows = rows.select("arm", "outcome", "y", F.expr(f"stack({len(features)}, {values}) AS (feature, value)"))
-    stats = inference.moments(rows, ["feature", "value", "outcome", "arm"])
-    found = inference.welch(inference.contrasts(stats, CONTRASTS, by=["feature", "value", "outcome"]))
-    return _rounded(found.select("feature", "value", "outcome", "a", "b", "n_a", "n_b", "difference", "standard_error", "p_value"))
+    found = hetero.cells(units(spark, sf_dir), hetero.CATEGORIES, OUTCOMES, CONTRASTS)
+    return _rounded(found.select("feature", "value", "outcome", "a", "b", "n_a", "n_b", "difference", "standard_error"), 4)
 
 
 @_query()
@@ -243,6 +265,21 @@ def hte_slopes_all(spark, sf_dir):
     return _rounded(rows.groupBy("feature", "outcome", "arm").agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2")))
 
 
+_P_SLOPE = f"({_sql_integral('atan(abs(statistic) / sqrt(df))', 'df')}) / ({_sql_integral('0.0::DOUBLE', 'df')})"
+_SIMPSON = f"list_sum(list_transform(range(0, {STEPS + 1}), lambda i: (CASE WHEN i = 0 OR i = {STEPS} THEN 1.0::DOUBLE WHEN i % 2 = 1 THEN 4.0::DOUBLE ELSE 2.0::DOUBLE END) * exp(-pow(sqrt(statistic) + i * {10 / STEPS!r}::DOUBLE, 2) / 2)))"
+
+
+@_query(_HTE + f""", cq AS (SELECT feature, outcome, contrast, a, b, 'cells' AS kind, sum(difference / pow(standard_error, 2)) / sum(1 / pow(standard_error, 2)) AS estimate, count(*) - 1.0::DOUBLE AS df FROM cell WHERE standard_error > 0 GROUP BY ALL),
+qq AS (SELECT cq.*, sq.statistic FROM cq JOIN (SELECT cell.feature, cell.outcome, cell.contrast, sum(pow((difference - estimate) / standard_error, 2)) AS statistic FROM cell JOIN cq ON cq.feature = cell.feature AND cq.outcome = cell.outcome AND cq.contrast = cell.contrast WHERE standard_error > 0 GROUP BY ALL) sq ON sq.feature = cq.feature AND sq.outcome = cq.outcome AND sq.contrast = cq.contrast),
+pq AS (SELECT *, CASE df WHEN 1 THEN {10 / STEPS!r}::DOUBLE / 3 * {_SIMPSON} * sqrt(2 / pi()) WHEN 4 THEN exp(-statistic / 2) * (1 + statistic / 2) WHEN 5 THEN {10 / STEPS!r}::DOUBLE / 3 * {_SIMPSON} * sqrt(2 / pi()) + exp(-statistic / 2) * sqrt(2 * statistic / pi()) * (1 + statistic / 3) END AS p_value FROM qq),
+sd AS (SELECT x.feature, x.outcome, contrast, a, b, 'slope' AS kind, x.slope - z.slope AS estimate, (x.slope - z.slope) / sqrt(x.v + z.v) AS statistic, x.n + z.n - 4.0::DOUBLE AS df FROM {_PAIRS} JOIN sl x ON x.arm = a JOIN sl z ON z.arm = b AND z.outcome = x.outcome AND z.feature = x.feature),
+al AS (SELECT feature, outcome, contrast, a, b, kind, estimate, statistic, df, p_value FROM pq UNION ALL SELECT feature, outcome, contrast, a, b, kind, estimate, statistic, df, {_P_SLOPE} FROM sd),
+rk AS (SELECT *, row_number() OVER w AS i, (count(p_value) OVER (PARTITION BY outcome) - row_number() OVER w + 1) * p_value AS step FROM al WINDOW w AS (PARTITION BY outcome ORDER BY p_value NULLS LAST, feature, contrast))
+SELECT feature, outcome, a, b, kind, CASE WHEN abs(estimate) < 5e-7 THEN 0 ELSE round(estimate, 6) END AS estimate, round(statistic, 5) AS statistic, df, round(p_value, 6) AS p_value, CASE WHEN p_value IS NOT NULL THEN round(least(1.0::DOUBLE, max(step) OVER (PARTITION BY outcome ORDER BY i)), 6) END AS p_holm FROM rk""")
+def hte_features_holm(spark, sf_dir):
+    return _rounded(hetero.feature_tests(units(spark, sf_dir), OUTCOMES, CONTRASTS).drop("contrast"), 6, statistic=5)
+
+
 _OOF = f"""WITH {UNITS_SQL}, r AS (SELECT unit_id, arm, coalesce(history, 0)::DOUBLE AS x, spend::DOUBLE AS y, CAST({_DRAW.format(f"'{SEED}|' || unit_id")} % 5 AS INTEGER) AS fold FROM units),
 f AS (SELECT g.fold, r.arm, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM r JOIN (SELECT unnest(range(0, 5)) AS fold) g ON r.fold <> g.fold GROUP BY ALL),
 o AS (SELECT r.*, f0.intercept + f0.slope * x AS mu_0, f1.intercept + f1.slope * x AS mu_1, f2.intercept + f2.slope * x AS mu_2 FROM r JOIN f f0 ON f0.fold = r.fold AND f0.arm = 0 JOIN f f1 ON f1.fold = r.fold AND f1.arm = 1 JOIN f f2 ON f2.fold = r.fold AND f2.arm = 2)"""
@@ -260,9 +297,59 @@ def uplift_drlearner(spark, sf_dir):
     return _rounded(both[0].union(both[1]), 5, ate=3)
 
 
-@_query()
+#: Bins of about equal numbers by falling score, edges at the scores of those ranks.
+_BINS = """, sc AS (SELECT unit_id, arm, y, mu_1 - mu_0 AS score FROM o WHERE arm IN (0, 1)), ed AS (SELECT list_transform(range(1, 10), lambda k: list_extract(l, CAST(ceil(k * len(l) / 10.0::DOUBLE) AS INTEGER))) AS e FROM (SELECT list(score ORDER BY score) AS l FROM sc)),
+bn AS (SELECT unit_id, arm, y, CAST(len(list_filter(e, lambda x: score <= x)) AS INTEGER) AS bin FROM sc, ed),
+by_bin AS (SELECT bin, count(y) FILTER (arm = 1) AS n_t, count(y) FILTER (arm = 0) AS n_c, sum(y) FILTER (arm = 1) AS s_t, sum(y) FILTER (arm = 0) AS s_c FROM bn GROUP BY bin),
+qc AS (SELECT bin, n_t, n_c, s_t / n_t - s_c / n_c AS uplift, sum(s_t) OVER w - sum(s_c) OVER w * sum(n_t) OVER w / sum(n_c) OVER w AS qini FROM by_bin WINDOW w AS (ORDER BY bin))"""
+
+
+@_query(_OOF + _BINS + " SELECT bin, n_t, n_c, round(uplift, 2) AS uplift, round(qini, 2) AS qini FROM qc")
 def qini_curve(spark, sf_dir):
-    return uplift.uplift_bins(uplift.t_learner(units(spark, sf_dir)))
+    return _rounded(uplift.uplift_bins(uplift.t_learner(units(spark, sf_dir))), 2)
+
+
+_AREAS = ", st AS (SELECT *, (n_t + n_c) / sum(n_t + n_c) OVER () AS width, coalesce(lag(qini) OVER (ORDER BY bin), 0) AS before FROM qc) SELECT {name}count(*) AS n_bins, round(sum(width * (before + qini) / 2), 1) AS auuc, round(sum(width * (before + qini) / 2) - max_by(qini, bin) / 2, 1) AS qini FROM st"
+
+
+@_query(_OOF + _BINS + _AREAS.format(name=""))
+def uplift_area(spark, sf_dir):
+    return _rounded(uplift.uplift_areas(uplift.uplift_bins(uplift.t_learner(units(spark, sf_dir)))), 1)
+
+
+_DR = _OOF + """, ph AS (SELECT t, unit_id, arm, fold, x, y, CASE t WHEN 1 THEN mu_1 ELSE mu_2 END - mu_0 + CASE WHEN arm = t THEN 3 * (y - CASE t WHEN 1 THEN mu_1 ELSE mu_2 END) ELSE 0 END - CASE WHEN arm = 0 THEN 3 * (y - mu_0) ELSE 0 END AS phi FROM o, (VALUES (1), (2)) v(t)),
+df AS (SELECT ph.t, g.fold, regr_slope(phi, x) AS slope, regr_intercept(phi, x) AS intercept FROM ph JOIN (SELECT unnest(range(0, 5)) AS fold) g ON ph.fold <> g.fold GROUP BY ALL),
+dr AS (SELECT o.unit_id, o.arm, o.fold, o.y, a.intercept + a.slope * x AS tau_1, b.intercept + b.slope * x AS tau_2 FROM o JOIN df a ON a.fold = o.fold AND a.t = 1 JOIN df b ON b.fold = o.fold AND b.t = 2)"""
+
+
+@_query(_DR + " SELECT unit_id, arm, fold, round(y, 2) AS y, round(tau_1, 2) AS tau_1, round(tau_2, 2) AS tau_2 FROM dr")
+def dr_predictions(spark, sf_dir):
+    return _rounded(uplift.dr_learner(uplift.t_learner(units(spark, sf_dir))), 2)
+
+
+def _dr_ranked(spark, sf_dir):
+    found = uplift.dr_learner(uplift.t_learner(units(spark, sf_dir)))
+    return uplift.uplift_bins(found.select("unit_id", "arm", "y", F.col("tau_1").alias("mu_1"), F.lit(0.0).alias("mu_0")))
+
+
+@_query(_DR + _BINS.replace("mu_1 - mu_0 AS score FROM o", "tau_1 AS score FROM dr") + " SELECT bin, n_t, n_c, round(uplift, 2) AS uplift, round(qini, 2) AS qini FROM qc")
+def qini_curve_dr(spark, sf_dir):
+    return _rounded(_dr_ranked(spark, sf_dir), 2)
+
+
+@_query(_DR + _BINS.replace("mu_1 - mu_0 AS score FROM o", "tau_1 AS score FROM dr") + _AREAS.format(name=""))
+def uplift_area_dr(spark, sf_dir):
+    return _rounded(uplift.uplift_areas(_dr_ranked(spark, sf_dir)), 1)
+
+
+@_query()
+def uplift_tlearner_features(spark, sf_dir):
+    return _rounded(uplift.t_learner_features(units(spark, sf_dir)), 4)
+
+
+@_query()
+def policy_value_features(spark, sf_dir):
+    return _rounded(uplift.policy_values(uplift.t_learner_features(units(spark, sf_dir))), 3)
 
 
 _POLICY = _OOF + """, b AS (SELECT *, CASE WHEN mu_0 >= mu_1 AND mu_0 >= mu_2 THEN 0 WHEN mu_1 >= mu_2 THEN 1 ELSE 2 END AS best FROM o),
@@ -275,9 +362,6 @@ def policy_value(spark, sf_dir):
     return _rounded(uplift.policy_values(uplift.t_learner(units(spark, sf_dir))), 3, send_rate=6)
 
 
-_WEIGHT = " + ".join(f"CAST(u >= {s} AS INTEGER)" for s in inference.poisson_steps())
-
-
 @_query(_POLICY + f""", s AS (SELECT unit_id, policy, CASE choice WHEN 0 THEN mu_0 WHEN 1 THEN mu_1 ELSE mu_2 END + CASE WHEN arm = choice THEN 3 * (y - CASE choice WHEN 0 THEN mu_0 WHEN 1 THEN mu_1 ELSE mu_2 END) ELSE 0 END AS phi FROM a),
 u AS (SELECT unit_id, rep, {_DRAW.format(f"'{SEED}|' || rep || '|' || unit_id")} AS u FROM units, range(0, {_REPS}) r(rep)),
 m AS (SELECT rep, policy, sum(({_WEIGHT}) * phi) / sum({_WEIGHT}) AS value FROM s JOIN u USING (unit_id) GROUP BY ALL)
@@ -292,9 +376,15 @@ def policy_interval_full(spark, sf_dir):
     return _rounded(uplift.policy_intervals(uplift.t_learner(units(spark, sf_dir)), POLICY_REPLICATIONS, SEED), 3)
 
 
-@_query()
+@_query(_OOF + _BINS + f""", {_DRAWN}, m AS (SELECT bin, rep, sum(({_WEIGHT}) * y) FILTER (arm = 1) / sum({_WEIGHT}) FILTER (arm = 1) - sum(({_WEIGHT}) * y) FILTER (arm = 0) / sum({_WEIGHT}) FILTER (arm = 0) AS uplift FROM bn JOIN u USING (unit_id) GROUP BY ALL)
+SELECT bin, round(quantile_cont(uplift, 0.025), 2) AS ci_low, round(quantile_cont(uplift, 0.975), 2) AS ci_high FROM m GROUP BY bin""")
 def uplift_bin_interval(spark, sf_dir):
-    return uplift.uplift_bin_intervals(uplift.t_learner(units(spark, sf_dir)), 200, SEED)
+    return _rounded(uplift.uplift_bin_intervals(uplift.t_learner(units(spark, sf_dir)), 200, SEED), 2)
+
+
+@_query(_POLICY + ", z AS (SELECT *, dr - max(dr) FILTER (policy = 'all_0') OVER () AS gain FROM v) SELECT policy, round(gain, 3) AS gain, round(gain / nullif(send_rate, 0), 3) AS break_even FROM z WHERE send_rate > 0")
+def break_even_cost(spark, sf_dir):
+    return _rounded(uplift.break_even(uplift.policy_values(uplift.t_learner(units(spark, sf_dir)))).where("break_even IS NOT NULL"), 3)
 
 
 @_query(_POLICY + " SELECT policy, c.cost AS cost, round(dr - c.cost * send_rate, 3) AS net FROM v, (VALUES (0.0::DOUBLE), (100.0), (1000.0)) c(cost)")
@@ -430,6 +520,85 @@ def dedupe_reviews(spark, sf_dir):
     return read(spark, sf_dir, "documents").groupBy(F.lower(F.trim("text")).alias("t")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).drop("t")
 
 
+@_query("WITH o AS (SELECT *, lower(trim(text)) AS k, row_number() OVER (PARTITION BY lower(trim(text)) ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY lower(trim(text))) AS copies FROM documents) SELECT doc_id, lang, source, n_chars, copies FROM o WHERE i = 1")
+def reviews_keep_first(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", "text")
+    return market.keep_first(rows, F.lower(F.trim("text")), "doc_id").drop("text")
+
+
+@_query("""SELECT (SELECT count(*) FROM part WHERE p_partkey IS NOT NULL AND length(trim(p_name)) > 0 AND p_retailprice > 0) AS n_valid,
+(SELECT count(DISTINCT doc_id % (SELECT count(*) FROM part)) FROM documents WHERE regexp_matches(coalesce(text, ''), '\\S')) AS n_with_text, (SELECT count(*) FROM documents WHERE regexp_matches(coalesce(text, ''), '\\S')) AS n_reviews""")
+def valid_counts(spark, sf_dir):
+    valid = market.valid_products(products(spark, sf_dir))
+    texts = market.non_empty(corpus(spark, sf_dir, read(spark, sf_dir, "part").count()))
+    count = texts.agg(F.count_distinct("product_id").alias("n_with_text"), F.count(F.lit(1)).alias("n_reviews"))
+    return count.select(valid.agg(F.count(F.lit(1))).scalar().alias("n_valid"), "n_with_text", "n_reviews")
+
+
+_PATH = "concat_ws(' > ', p_type, p_brand, p_name)"
+
+
+@_query(f"SELECT split_part({_PATH}, ' > ', 1) AS top, count(DISTINCT split_part({_PATH}, ' > ', 2)) AS n_middle, count(DISTINCT split_part({_PATH}, ' > ', -1)) AS n_leaves, count(*) AS n_products FROM part GROUP BY 1")
+def category_levels(spark, sf_dir):
+    rows = products(spark, sf_dir).select(F.concat_ws(" > ", "form", "store", "name").alias("path"))
+    level = lambda k: market.category_level("path", k, " > ")
+    return rows.groupBy(level(1).alias("top")).agg(F.count_distinct(level(2)).alias("n_middle"), F.count_distinct(level(-1)).alias("n_leaves"), F.count(F.lit(1)).alias("n_products"))
+
+
+@_query(f"""WITH {_REV}, n AS (SELECT product_id, count(*) AS n_reviews, avg(stars) AS mean_stars, min(year) AS first_year, max(year) AS last_year, avg(CAST(verified AS INTEGER)) AS verified_share FROM r GROUP BY 1)
+SELECT product_id, p_name AS name, store, form, price, CAST((price >= 925) AS INTEGER) + CAST((price >= 950) AS INTEGER) + CAST((price >= 975) AS INTEGER) AS band, coalesce(n_reviews, 0) AS n_reviews, round(mean_stars, 6) AS mean_stars, CAST(first_year AS INTEGER) AS first_year, CAST(last_year AS INTEGER) AS last_year, round(verified_share, 6) AS verified_share
+FROM pr JOIN part ON p_partkey = product_id LEFT JOIN n USING (product_id) WHERE length(trim(p_name)) > 0 AND price > 0""")
+def product_master(spark, sf_dir):
+    found = market.product_master(market.valid_products(products(spark, sf_dir)), reviews(spark, sf_dir), [925.0, 950.0, 975.0])
+    return _rounded(found, 6, price=12)
+
+
+@_query(f"WITH {_REV}, n AS (SELECT product_id, avg(stars) AS s FROM r GROUP BY 1), q AS (SELECT 'price' AS measure, unnest([0.05, 0.25, 0.5, 0.75, 0.95]::DOUBLE[]) AS share, unnest(quantile_cont(price, [0.05, 0.25, 0.5, 0.75, 0.95])) AS value FROM pr UNION ALL SELECT 'rating', unnest([0.05, 0.25, 0.5, 0.75, 0.95]::DOUBLE[]), unnest(quantile_cont(s, [0.05, 0.25, 0.5, 0.75, 0.95])) FROM n) SELECT measure, share, round(value, 6) AS value FROM q")
+def eda_quantiles(spark, sf_dir):
+    shares = [0.05, 0.25, 0.5, 0.75, 0.95]
+    price = market.quantiles(products(spark, sf_dir), "price", shares).withColumn("measure", F.lit("price"))
+    rating = market.quantiles(_per_product(spark, sf_dir), "stars", shares).withColumn("measure", F.lit("rating"))
+    return _rounded(price.union(rating).select("measure", "share", "value"))
+
+
+@_query("""WITH c AS (SELECT l_partkey, count(*) AS v FROM lineitem GROUP BY 1), b AS (SELECT v AS value, count(*) AS c FROM c GROUP BY 1)
+SELECT value, round(sum(c) OVER w / sum(c) OVER (), 9) AS share_of_rows, round(sum(value * c) OVER w / sum(value * c) OVER (), 9) AS share_of_value FROM b WINDOW w AS (ORDER BY value)""")
+def lorenz_curve(spark, sf_dir):
+    per = reviews(spark, sf_dir).groupBy("product_id").agg(F.count(F.lit(1)).alias("n_reviews"))
+    return _rounded(market.lorenz(per), 9)
+
+
+@_query(f"WITH {_REV}" + _size_sql("store") + " ORDER BY n_reviews DESC, store LIMIT 10")
+def top_brands(spark, sf_dir):
+    return _rounded(market.top(market.size_by(reviews(spark, sf_dir), products(spark, sf_dir), "store"), "store", 10), 6, mean_price=4)
+
+
+_STOP = ("the", "and", "of", "to", "in", "die", "der", "les", "des", "que", "los")
+
+
+@_query(_TF + f", d AS (SELECT term, count(*) AS df FROM tf GROUP BY 1) SELECT product_id, term, tf FROM tf JOIN d USING (term) WHERE df >= 3 AND df <= 0.5 * (SELECT count(*) FROM tot) AND term NOT IN ({', '.join(f"'{w}'" for w in _STOP)})")
+def filtered_terms(spark, sf_dir):
+    stop = spark.range(1).select(F.explode(F.array(*map(F.lit, _STOP))).alias("term"))
+    return market.kept_terms(_tf(spark, sf_dir), 3, 0.5, stop)
+
+
+@_query()
+def segment_diagnostics(spark, sf_dir):
+    return _rounded(segments.diagnostics(segments.kmeans(read(spark, sf_dir, "embeddings"), 10)))
+
+
+@_query()
+def segment_keywords(spark, sf_dir):
+    found = segments.kmeans(read(spark, sf_dir, "embeddings"), 10).select(F.col("vec_id").alias("product_id"), F.col("segment").alias("g"))
+    return market.group_keywords(_tf(spark, sf_dir), found)
+
+
+@_query()
+def svd_embedding(spark, sf_dir):
+    found = segments.svd_embedding(read(spark, sf_dir, "embeddings"), 8)
+    return found.select("vec_id", F.posexplode("coordinates").alias("component", "value"))
+
+
 @_query()
 def kmeans_segments(spark, sf_dir):
     return segments.profiles(segments.kmeans(read(spark, sf_dir, "embeddings"), 10))

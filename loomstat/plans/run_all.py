@@ -11,12 +11,12 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.operators import audit, inference, uplift
+from loomstat.operators import audit, hetero, inference, uplift
 from loomstat.sources.files import write_csv
 from loomstat.sources.frames import CONTRASTS, OUTCOMES, units
 
 #: What --quick sets, also over values given beside it; the seed stays.
-QUICK = {"folds": 3, "robustness_replications": 100, "policy_bootstrap": 100}
+QUICK = {"folds": 3, "robustness_replications": 100, "policy_bootstrap": 100, "model_iterations": 30}
 FEATURES = ("recency", "history", "newbie", "mens", "womens")
 
 
@@ -28,6 +28,7 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--folds", type=int, default=5)
     parser.add_argument("--robustness-replications", type=int, default=10_000)
     parser.add_argument("--policy-bootstrap", type=int, default=2_000)
+    parser.add_argument("--model-iterations", type=int, default=150, help="boosted trees for each arm and fold; 0: predictions linear in all features")
     parser.add_argument("--quick", action="store_true")
     args = parser.parse_args(argv)
     if args.quick:
@@ -35,8 +36,8 @@ def parse_args(argv: list[str] | None = None) -> argparse.Namespace:
     return args
 
 
-def stages(frame: DataFrame, args: argparse.Namespace, predictions: DataFrame) -> dict[str, DataFrame]:
-    """The results by name; those from 05 on depend on the predictions alone."""
+def stages(frame: DataFrame, args: argparse.Namespace, predictions: DataFrame, linear: DataFrame) -> dict[str, DataFrame]:
+    """The results by name; those from 05 on depend on the predictions, the effects of 05 on the ``linear`` ones."""
     stats = inference.moments(inference.long_outcomes(frame, OUTCOMES), ["outcome", "arm"])
     effects = inference.holm(inference.welch(inference.contrasts(stats, CONTRASTS), 0.05), ["outcome"])
     spend = frame.select("unit_id", "arm", F.col("spend").alias("y"))
@@ -48,18 +49,23 @@ def stages(frame: DataFrame, args: argparse.Namespace, predictions: DataFrame) -
     return {
         "01_missing": audit.missing(frame, FEATURES),
         "01_balance": audit.balance(frame, FEATURES, (1, 0)),
+        "01_category_balance": audit.category_balance(frame, ("channel", "zip_code"), (1, 0)),
+        "01_duplicates": audit.duplicates(frame, frame.columns),
         "01_arm_ratio": audit.arm_ratio(frame, {0: 1 / 3, 1: 1 / 3, 2: 1 / 3}),
         "01_outcome_logic": audit.outcome_logic(frame),
         "02_effects": effects,
         # The bootstrap's limits, with the p-values of permutations and of their largest statistics.
         "03_bootstrap": intervals.join(F.broadcast(tests), ["a", "b"], "left"),
-        "04_cells": uplift.cells(frame, "channel", (1, 0)),
-        "04_slopes": uplift.slopes(frame, "history"),
+        "04_cells": hetero.cells(frame, hetero.CATEGORIES, OUTCOMES, CONTRASTS),
+        "04_tests": hetero.feature_tests(frame, OUTCOMES, CONTRASTS),
         "05_uplift_bins": uplift.uplift_bins(predictions),
+        "05_uplift_areas": uplift.uplift_areas(uplift.uplift_bins(predictions)),
+        "05_dr_effects": uplift.dr_learner(linear),
         "05_uplift_intervals": uplift.uplift_bin_intervals(predictions, args.policy_bootstrap, args.seed),
         "06_policies": values,
         "06_policy_intervals": uplift.policy_intervals(predictions, args.policy_bootstrap, args.seed),
         "07_costs": uplift.cost_grid(values, [0.0, 100.0, 1000.0]),
+        "07_break_even": uplift.break_even(values),
     }
 
 
@@ -69,9 +75,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     spark = spark or SparkSession.builder.getOrCreate()
     frame = audit.validate_binary(audit.validate_groups(units(spark, args.data), (0, 1, 2)), ("visit", "conversion")).persist()
     path = f"{args.out}/08_oof_predictions"
-    uplift.t_learner(frame, folds=args.folds, seed=args.seed).write.mode("overwrite").parquet(path)
+    learner = {"iterations": args.model_iterations} if args.model_iterations else {}
+    learn = uplift.boosted_learner if learner else uplift.t_learner_features
+    learn(frame, folds=args.folds, seed=args.seed, **learner).write.mode("overwrite").parquet(path)
+    linear = uplift.t_learner(frame, folds=args.folds, seed=args.seed)
     done = [path]
-    for name, df in stages(frame, args, spark.read.parquet(path)).items():
+    for name, df in stages(frame, args, spark.read.parquet(path), linear).items():
         done.append(write_csv(df, f"{args.out}/{name}"))
     frame.unpersist()
     return done

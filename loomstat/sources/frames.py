@@ -40,7 +40,7 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("store"), F.col("p_type").alias("form"), F.col("p_retailprice").alias("price"))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("store"), F.col("p_type").alias("form"), F.col("p_retailprice").alias("price"))
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
