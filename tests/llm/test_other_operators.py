@@ -27,14 +27,40 @@ def test_rules_and_parts_of_urls(spark):
         assert (r["rule"], r["verdict"]) == ((max(fits)[2], max(fits)[1]) if fits else (None, "allow"))
 
 
-def test_url_model_tells_words(spark):
+def test_url_model_on_hosts_held_out(spark):
     weights = urls.fit(urls.labelled(spark))
-    some = ["http://www.spam-farm.example.net/x/1", "http://ads-track.other.example.com/en/77", "http://therble.example.net/es/17", "https://m.theron.example.net/fr/672"]
-    out = urls.judge(spark.createDataFrame(list(enumerate(some)), "page_id long, url string"), weights).orderBy("page_id").collect()
-    assert [r["verdict"] for r in out] == ["block", "block", "allow", "allow"]
+    rows = urls.judge(urls.held_out(spark), weights, rules=(), keep=("url", "label")).collect()
+    hits = sum(r["verdict"] == "block" and r["label"] == 1 for r in rows)
+    assert hits / sum(r["label"] for r in rows) >= 0.95 and hits / sum(r["verdict"] == "block" for r in rows) >= 0.95
+    hosts = {"block": ["m.casino-win.example.com", "free-bets.example.com", "malware-host.net", "online-casino.info"], "allow": ["www.ththing.example.net", "adelaide.net", "spain.net", "github.net", "wikipedia.net", "radio-roads.net"]}
+    paths = ["", "/", "/en/77", "/fr/1993.html", "/wiki/Casino", "/user/tracker", "/farm"]
+    some = [(k, f"https://{h}{p}", v) for v, hs in hosts.items() for k, h in enumerate(hs) for p in paths]
+    out = urls.judge(spark.createDataFrame(some, "page_id long, url string, verdict string").withColumnRenamed("verdict", "want"), weights, rules=(), keep=("url", "want")).collect()
+    assert [r["url"] for r in out if r["verdict"] != r["want"]] == []
     assert urls.fit(urls.labelled(spark).limit(0)) == [0.0] * (urls.BUCKETS + 1)
 
 
+def test_urls_of_odd_rows_and_brute_force_scores(spark, tmp_path):
+    """Null, empty and repeated urls, clashing columns, an empty table; scores by plain arithmetic."""
+    rng = np.random.default_rng(1)
+    weights = rng.normal(size=urls.BUCKETS + 1).round(3).tolist()
+    some = [None, "", "no address", "http://", "http://h.net", "https://Ä.net/é?x", "http://h.net", "http://" + "a" * 50_000 + "/" + "b" * 50_000]
+    rows = spark.createDataFrame([(k, u, "x", 1.0) for k, u in enumerate(some)], "page_id long, url string, verdict string, f double")
+    out = urls.judge(rows, weights, rules=()).collect()
+    assert len(out) == len(some) and urls.judge(rows.limit(0), weights).count() == 0
+    grams = lambda t: {tuple(f"^^{t}$"[i : i + n]) for n in (3, 4, 5) for i in range(len(t) + 4 - n)}
+    pairs = [(r["page_id"], len(grams(r["host"])), len(grams(r["path"]))) for r in out if r["page_id"] < 7]
+    sizes = {r["page_id"]: (len(r["f"]["h"]), len(r["f"]["p"])) for r in rows.select("page_id", *(c.alias(n) for n, c in zip(("host", "path"), urls.host_and_path(F.col("url")), strict=True))).select("page_id", urls.features().alias("f")).collect()}
+    assert all(sizes[k][0] <= a and sizes[k][1] <= b for k, a, b in pairs)
+    made = rows.select("page_id", *(c.alias(n) for n, c in zip(("host", "path"), urls.host_and_path(F.col("url")), strict=True))).select("page_id", urls.features().alias("f")).collect()
+    for r in made:
+        margin = weights[0] + sum(sum(weights[b + 1] for b in r["f"][side]) / len(r["f"][side]) ** 0.5 for side in "hp")
+        assert abs(next(x["score"] for x in out if x["page_id"] == r["page_id"]) - 1 / (1 + np.exp(-margin))) < 1e-6
+    rows.select("page_id", "url").withColumn("html", F.lit("x")).write.parquet(f"{tmp_path}/pages.parquet")
+    found = urls.query(spark, str(tmp_path))
+    assert found.columns == ["page_id", "host", "path", "rule", "verdict"] and found.count() == len(some)
+
+
 PAGES = [(1, "http://a/1", "x" * 1000), (2, "http://a/é\r\nX: y", "x" * 1000), (3, None, "x" * 1000), (4, "u", "x" * 999), (5, "u", "x" * 999), (6, "u", None), (7, "u", ""), (8, "u", "é" * 500), (9, "u", "é" * 500), (None, "u", "x" * 1000), (11, "u", "y" * 2_000_000), (12, "u", "\r\n\r\nWARC/1.1\r\n")]
 
 
