@@ -152,7 +152,9 @@ def plan(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha1("payload"))
     groups = rows.where(f"payload_bytes >= {MIN_REVISIT}").groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    joined = rows.join(groups.select("payload_digest", "last"), "payload_digest", "left")
+    # Small payloads, the empty one among them, are alike to no other and dealt by their rows.
+    rows = rows.withColumn("key", F.expr(f"IF(payload_bytes >= {MIN_REVISIT}, payload_digest, concat('small ', pmod(xxhash64(page_id, url), 65536)))"))
+    joined = rows.join(groups.select(F.col("payload_digest").alias("key"), "last"), "key", "left")
     again = F.expr("last IS NOT NULL AND (page_id IS NULL OR page_id < last)")
     return joined.select(
         "page_id", "url", F.when(again, F.lit(b"")).otherwise(F.col("payload")).alias("payload"), "payload_bytes", "payload_digest",
