@@ -8,8 +8,10 @@ prefixes of that length are enough. These candidates are scored exactly, and the
 shards remain. To make the largest inner product the nearest, vectors get one more component
 that lifts them to equal length; queries have a zero there.
 
-Blocks of the query set meet every shard, so how many candidates a query sees grows with the
-table, by the share that recall needs, while memory is bounded by a shard and a block.
+A shard's vectors reach their task once, before the queries, and its forest is built once; the
+queries then pass through it in batches. Every query meets every shard, so how many candidates it
+sees grows with the table, by the share that recall needs, while memory is bounded by a shard and
+a batch.
 """
 
 from __future__ import annotations
@@ -19,15 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomstat.llm._common import table
+from loomstat.llm._common import small_batches, table
 
-TREES = 40
+TREES = 80
 BITS = 32
 SHARD = 20_000
-QUERY_BLOCK = 2_000
 #: Entries under the trees' prefixes, repeats included, that end the ascent: a share of the
 #: shard, but so many at least.
-ENOUGH = 0.7
+ENOUGH = 0.5
 LEAST = 4_096
 SEED = 20240917
 
@@ -82,47 +83,56 @@ def search(vectors: DataFrame, is_query, k: int = 20, shard: int = SHARD, trees:
     other rows found, by inner product in double precision, ties to the smaller id.
 
     Rows whose id is null, and vectors that are null, empty, zero or hold a null or non-finite
-    component, take no part. Rows that repeat id and vector count once; rows of a query's id
-    are never its neighbours. Vectors only meet those of their own length. Fewer candidates
+    component, take no part. Rows that repeat id and vector count once, also where many do; rows of a
+    query's id are never its neighbours. Vectors only meet those of their own length. Fewer candidates
     give fewer rows, none an empty result. Other columns are ignored.
     """
     sound = "size(v) > 0 AND forall(v, c -> c IS NOT NULL AND NOT isnan(c) AND abs(c) < double('Infinity')) AND exists(v, c -> c <> 0)"
+    small_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q")).where("id IS NOT NULL AND v IS NOT NULL").where(sound)
-    n, n_queries = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-n_queries // QUERY_BLOCK))
-    key = lambda parts, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(parts)).cast("int")
-    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    base = rows.select("id", "v", F.size("v").alias("dim"), key(shards, 1).alias("shard")).withColumn("block", every(blocks))
-    asks = rows.where("q").select("id", "v", F.size("v").alias("dim"), key(blocks, 2).alias("block")).withColumn("shard", every(shards))
-
-    def matrix(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids, dim = group.column("id").to_numpy(), group.column("dim")[0].as_py()
-        flat = group.column("v").combine_chunks().flatten() if group.num_rows else pa.array([], pa.float64())
-        x = flat.to_numpy(zero_copy_only=False).reshape(-1, dim)
-        order = np.lexsort((*x.T[::-1], ids))
-        ids, x = ids[order], x[order]
-        new = np.ones(len(ids), bool)
-        new[1:] = (ids[1:] != ids[:-1]) | (x[1:] != x[:-1]).any(1)
-        return ids[new], x[new]
-
-    def run(key_, left: pa.Table, right: pa.Table) -> pa.Table:
+    rows = rows.groupBy("id", "v").agg(F.coalesce(F.max("q"), F.lit(False)).alias("q")).withColumn("dim", F.size("v"))
+    shards = max(1, -(-vectors.count() // shard))
+    base = rows.select("dim", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "id", "v")
+    asks = rows.where("q").select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "id", "v")
+    dealt = base.union(asks).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "asks", "id")
+
+    def matrix(batch) -> tuple[np.ndarray, np.ndarray]:
+        flat = batch.column("v").flatten().to_numpy(zero_copy_only=False)
+        return batch.column("id").to_numpy(), flat.reshape(batch.num_rows, -1)
+
+    def nearest(forest: Forest, ids: np.ndarray, batch) -> pa.RecordBatch:
         out: list[tuple] = []
-        if left.num_rows and right.num_rows:
-            ids, x = matrix(left)
-            query_ids, queries = matrix(right)
-            forest = Forest(x, trees)
-            for query, vector, found in zip(query_ids, queries, forest.candidates(queries, max(LEAST, int(enough * len(x)))), strict=True):
-                found = found[ids[found] != query]
-                score = x[found] @ vector
-                if len(found) > k:
-                    bar = np.partition(score, len(score) - k)[len(score) - k]
-                    found, score = found[score >= bar], score[score >= bar]
-                best = np.lexsort((ids[found], -score))[:k]
-                out += [(query, i, s) for i, s in zip(ids[found[best]].tolist(), score[best].tolist(), strict=True)]
+        query_ids, queries = matrix(batch)
+        for query, vector, found in zip(query_ids, queries, forest.candidates(queries, max(LEAST, int(enough * len(ids)))), strict=True):
+            found = found[ids[found] != query]
+            score = forest.x[found] @ vector
+            if len(found) > k:
+                bar = np.partition(score, len(score) - k)[len(score) - k]
+                found, score = found[score >= bar], score[score >= bar]
+            best = np.lexsort((ids[found], -score))[:k]
+            out += [(query, i, s) for i, s in zip(ids[found[best]].tolist(), score[best].tolist(), strict=True)]
         kinds = (pa.int64(), pa.int64(), pa.float64())
-        return pa.table([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["query_id", "vec_id", "score"])
-
-    met = base.groupBy("dim", "shard", "block").cogroup(asks.groupBy("dim", "shard", "block")).applyInArrow(run, "query_id long, vec_id long, score double")
+        return pa.record_batch([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["query_id", "vec_id", "score"])
+
+    def run(batches):
+        now, held, forest, ids = None, [], None, None
+        for batch in batches:
+            dim, part, asking = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "shard", "asks"))
+            edges = [0, *(1 + np.flatnonzero((dim[1:] != dim[:-1]) | (part[1:] != part[:-1]) | (asking[1:] != asking[:-1]))).tolist(), batch.num_rows]
+            for start, stop in zip(edges, edges[1:], strict=False):
+                if start == stop:
+                    continue
+                if now != (dim[start], part[start]):
+                    now, held, forest = (dim[start], part[start]), [], None
+                if not asking[start]:
+                    held.append(matrix(batch.slice(start, stop - start)))
+                elif held or forest:
+                    if forest is None:
+                        ids, x = (np.concatenate(m) for m in zip(*held, strict=True))
+                        forest, held = Forest(x, trees), []
+                    yield nearest(forest, ids, batch.slice(start, stop - start))
+
+    met = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
