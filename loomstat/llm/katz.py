@@ -20,9 +20,14 @@ each chunk with a number and the count of its words. (3) Each chunk sends its di
 already counted, to the bucket of the history; buckets add up, and keep the bigram table: the
 counts, what alpha needs, and per document the sums that do not depend on the discounts.
 (4) When the counts of counts are known, buckets finish their sums, which are added per
-document. A history with more than 1/512 of all tokens is dealt over buckets by its follower;
-there are fewer than 512 of those, and only their partial sums go to the driver. Memory of a
-task is bounded by CHUNK_BYTES and BUCKET_TOKENS, whatever the input.
+document. A history with more than 1/512 of all tokens, or more than HOT_MOST, is dealt over buckets
+by its follower; only the partial sums of those go to the driver, a row for each HOT_MOST tokens of the
+input at most. A bucket of words gets a blob from every chunk that has one of them, so its memory
+grows with the chunks.
+
+``train`` gives the stored tables as rows, words and word pairs with their counts, and ``evaluate``
+scores any other texts by them, token by token: the pair's probability, else the back-off weight
+of the history, summed from its pairs, times the word's.
 
 Words are told apart by 64-bit hashes.
 """
@@ -30,6 +35,7 @@ Words are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import pickle
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +52,7 @@ K = 5
 CHUNK_BYTES = 10 << 20
 BUCKET_TOKENS = 2_000_000
 HOT_SHARE = 512
-HOT_LEAST = 10_000
+HOT_LEAST, HOT_MOST = 10_000, BUCKET_TOKENS // 4
 #: Keys of the end and of the start of a text; no word holds white space.
 END = xxhash.xxh64_intdigest(b"\n")
 START = xxhash.xxh64_intdigest(b"\t")
@@ -336,19 +342,13 @@ def _alpha(x: dict, d2: np.ndarray) -> np.ndarray:
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """Train on the rows of ``doc_id, text, train`` that are marked and score all rows.
-
-    Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every
-    row, repeated rows included. Null and empty texts are their end alone. Null ids are kept.
-    With no training rows every token is of the unknown class, of probability 1. An empty
-    table gives an empty result. Other columns are ignored.
-    """
+def _learn(docs: DataFrame) -> dict:
+    """The stored tables and the totals of a model of the marked rows of ``doc_id, text, train``."""
     parts = chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("train"), F.lit(False)).alias("train")))
     size = parts.agg(F.sum("tokens"), F.sum("train_tokens"), F.sum("train_docs")).first()
     tokens, train_tokens, train_docs = (x or 0 for x in size)
     n_buckets = max(12, -(-tokens // BUCKET_TOKENS))
-    hot_from = max(train_tokens // HOT_SHARE, HOT_LEAST)
+    hot_from = min(max(train_tokens // HOT_SHARE, HOT_LEAST), max(HOT_MOST, HOT_LEAST))
     words = _unigrams(parts, n_buckets)
     stats = words.where("stats IS NOT NULL").agg(*(F.sum(F.col("stats")[k]).alias(f"s{k}") for k in range(K + 3))).first()
     total, distinct, *seen = (x or 0 for x in stats)
@@ -374,6 +374,97 @@ def score(docs: DataFrame) -> DataFrame:
     model = stored(sent.groupBy("bucket").applyInArrow(lambda group: _merge_bigrams(group, total, d1, unknown, hot_from), _MODEL), "katz-bigrams", packed=True)
     stats = model.where("seen IS NOT NULL").agg(*(F.sum(F.col("seen")[k]).alias(f"s{k}") for k in range(K + 1))).first()
     d2 = discounts([x or 0 for x in stats])
+    return {"words": words, "model": model, "total": total, "train_docs": train_docs, "hot_from": hot_from, "d1": d1, "d2": d2, "unknown": unknown}
+
+
+@dataclass(frozen=True)
+class Model:
+    """A stored model: ``unigrams`` (``key, number, count``), ``bigrams`` (``h, w, count`` by number), Good-Turing
+    discounts of either order, the training tokens and texts, and the probability of the unknown class."""
+
+    unigrams: DataFrame
+    bigrams: DataFrame
+    d1: np.ndarray
+    d2: np.ndarray
+    total: int
+    train_docs: int
+    unknown: float
+
+
+def train(docs: DataFrame) -> Model:
+    """A model of the marked rows of ``doc_id, text, train``; its tables lie in the shared folder."""
+    found = _learn(docs)
+
+    def word_rows(batches):
+        for batch in batches:
+            for bucket, blob in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
+                x = unpack(blob)
+                keys, counts = x["keys"].astype(np.uint64).view(np.int64), x["counts"].astype(np.int64)
+                yield pa.record_batch([pa.array(keys), pa.array((bucket << 32) + np.arange(len(keys))), pa.array(counts)], names=["key", "number", "count"])
+
+    def pair_rows(batches):
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                x = unpack(blob)
+                run = x["run"].astype(np.int64)
+                h = np.repeat(_undo_deltas(x["h"], np.array([len(run)])), run)
+                yield pa.record_batch([pa.array(h), pa.array(_undo_deltas(x["w"], run)), pa.array(x["count"].astype(np.int64))], names=["h", "w", "count"])
+
+    unigrams = found["words"].where("chunk_id IS NULL").select("bucket", "part").mapInArrow(word_rows, "key long, number long, count long")
+    bigrams = found["model"].where("grams IS NOT NULL").select("grams").mapInArrow(pair_rows, "h long, w long, count long")
+    return Model(unigrams, bigrams, found["d1"], found["d2"], found["total"], found["train_docs"], found["unknown"])
+
+
+def evaluate(model: Model, docs: DataFrame) -> DataFrame:
+    """``doc_id, n_tokens, score`` of every row of ``doc_id, text`` by the stored tables alone.
+
+    A token's probability is that of its pair; where training has not seen the pair, the back-off
+    weight of its history times the probability of the word, or of the unknown class. Null and empty
+    texts are their end alone, repeated rows are scored each, an empty table gives an empty result.
+    """
+    small_batches(docs.sparkSession)
+    signed = [k - 2**64 if k >= 2**63 else k for k in (START, END)]
+
+    def tokens(batches):
+        for batch in batches:
+            numbers, lengths, words = tokenise(batch.column(1).to_pylist())
+            keys = np.array([xxhash.xxh64_intdigest(w) for w in words] + [START, END], np.uint64).view(np.int64)
+            ends = np.cumsum(lengths + 1) - 1
+            at = np.full(len(numbers) + len(lengths), len(words) + 1, np.int64)
+            word_at = np.ones(len(at), bool)
+            word_at[ends] = False
+            at[word_at] = numbers
+            before = np.roll(at, 1)
+            before[ends - lengths] = len(words)
+            row = batch.column(0).take(pa.array(np.repeat(np.arange(len(lengths)), lengths + 1)))
+            yield pa.record_batch([row, pa.array(keys[before]), pa.array(keys[at])], names=["row", "before", "key"])
+
+    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "katz-texts").withColumn("row", F.monotonically_increasing_id())
+    pairs = rows.select("row", "text").mapInArrow(tokens, "row long, before long, key long").groupBy("row", "before", "key").agg(F.count(F.lit(1)).alias("n"))
+    discount = lambda d, r: F.element_at(F.array(*(F.lit(float(x)) for x in (*d, 1.0))), F.least(F.col(r), F.lit(K + 1)).cast("int")) * F.col(r)
+    words = model.unigrams.withColumns({"p1": F.when(F.col("count") > 0, discount(model.d1, "count") / (model.total + 1.0)).otherwise(F.lit(float(model.unknown))), "begins": F.when(F.col("key") == signed[0], model.train_docs).otherwise(F.col("count"))})
+    sums = (
+        model.bigrams.join(words.select(F.col("number").alias("w"), "p1"), "w").groupBy("h").agg(F.sum(discount(model.d2, "count")).alias("taken"), F.sum("p1").alias("covered"))
+        .join(words.select(F.col("number").alias("h"), "begins"), "h").select("h", ((1 - F.col("taken") / (F.col("begins") + 1.0)) / (1 - F.col("covered"))).alias("alpha"))
+    )
+    histories = words.select(F.col("key").alias("before"), F.col("number").alias("h"), "begins").join(sums, "h", "left")
+    known = pairs.join(words.select("key", F.col("number").alias("w"), "p1"), "key", "left").join(histories, "before", "left").join(model.bigrams.withColumnRenamed("count", "r"), ["h", "w"], "left")
+    low = F.coalesce("alpha", F.lit(1.0)) * F.coalesce("p1", F.lit(float(model.unknown)))
+    p = F.when(F.col("r") > 0, discount(model.d2, "r") / (F.col("begins") + 1.0)).otherwise(low)
+    found = known.groupBy("row").agg(F.sum("n").alias("n_tokens"), F.sum(F.col("n") * F.log10(p)).alias("score"))
+    return rows.select("row", "doc_id").join(found, "row").select("doc_id", "n_tokens", "score")
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """Train on the rows of ``doc_id, text, train`` that are marked and score all rows.
+
+    Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every
+    row, repeated rows included. Null and empty texts are their end alone. Null ids are kept.
+    With no training rows every token is of the unknown class, of probability 1. An empty
+    table gives an empty result. Other columns are ignored.
+    """
+    found = _learn(docs)
+    model, total, hot_from, d2 = (found[x] for x in ("model", "total", "hot_from", "d2"))
     log_d2 = np.log10(d2)
 
     def hot_parts(batches):
@@ -386,7 +477,7 @@ def score(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch([*columns, *(pa.array(by_r[:, k], pa.int64()) for k in range(K))], names=["h", "count", "above", "covered", *(f"r{k}" for k in range(K))])
 
     of = model.where("histories IS NOT NULL").select("histories").mapInArrow(hot_parts, "h long, count long, above long, covered double, " + ", ".join(f"r{k} long" for k in range(K)))
-    hot_rows = of.groupBy("h").agg(F.max("count").alias("count"), *(F.sum(c).alias(c) for c in ("above", "covered", *(f"r{k}" for k in range(K))))).collect()  # under HOT_SHARE + 1 rows
+    hot_rows = of.groupBy("h").agg(F.max("count").alias("count"), *(F.sum(c).alias(c) for c in ("above", "covered", *(f"r{k}" for k in range(K))))).collect()  # a row for each hot_from tokens at most
     hot = {x["h"]: float(_alpha({"by_r": np.array([[x[f"r{k}"] for k in range(K)]]), "above": np.array([x["above"]]), "count": np.array([x["count"]]), "covered": np.array([x["covered"]])}, d2)[0]) for x in hot_rows}
 
     def finish(batches):

@@ -196,6 +196,21 @@ def test_katz_equals_brute_force(spark, monkeypatch, small):
         assert sum(p(h, w) for w in [*vocabulary, b"unseen"]) == pytest.approx(1, abs=1e-9)
 
 
+def test_stored_katz_tables_score_other_texts(spark):
+    rng = random.Random(11)
+    docs = [(k, " ".join(f"w{int(rng.paretovariate(0.8))}" for _ in range(rng.randint(0, 50))), True) for k in range(120)]
+    model = katz.train(spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, train boolean, count string"))
+    _, p, _ = brute_katz(docs)
+    other = [(1, "w1 w2 W3 w1"), (2, None), (3, ""), (4, "never seen w1 w1 w1"), (None, "w5 w9 w1"), (1, "w1 w2 W3 w1"), *((k, " ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(20))) for k in range(10, 40))]
+    want = Counter()
+    for k, t in other:
+        words = [w.encode().lower() for w in (t or "").split()] + [b"\n"]
+        want[k, len(words), round(sum(math.log10(p(h, w)) for h, w in zip([b"\t", *words], words, strict=False)), 6)] += 1
+    got = katz.evaluate(model, spark.createDataFrame([(*r, 1) for r in other], DOC + ", n int")).collect()
+    assert Counter((r["doc_id"], r["n_tokens"], round(r["score"], 6)) for r in got) == want
+    assert katz.evaluate(model, texts(spark, [])).count() == 0
+
+
 def test_katz_without_training_or_rows(spark):
     row = katz.score(spark.createDataFrame([(1, "a b", False)], "doc_id long, text string, train boolean")).first()
     assert (row["score"], row["n_tokens"], row["n_known"]) == (0.0, 3, 0)
