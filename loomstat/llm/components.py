@@ -21,23 +21,24 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 64, nodes: int | None = None) -> DataFrame:
     """Smallest reachable node of every node that has an edge.
 
     ``edges`` has two comparable columns ``a`` and ``b``. Alternates large-star and small-star
     rounds until the edge set, which never grows beyond the number of edges, is a forest of
     stars. Every round ends in a checkpoint, so lineage stays short and a lost executor costs
     one round. Returns ``node, component``; the smallest node of a component is listed too.
-    An empty edge list gives an empty table. Raises if ``max_rounds`` rounds do not converge.
+    An empty edge list gives an empty table. ``nodes``, a bound of the nodes if known, only sets in
+    how many files the edges are kept. Raises if ``max_rounds`` rounds do not converge.
     """
-    now = checkpointed(edges.select("a", "b").where("a <> b").distinct())
+    now = checkpointed(edges.select("a", "b").where("a <> b").distinct(), nodes)
     # Order-independent digest of the edge set; the decimal sum cannot overflow.
     mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     seen = mark(now)
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        now = checkpointed(_small_star(_large_star(now)))
+        now = checkpointed(_small_star(_large_star(now)), seen[0])
         then = mark(now)
         if then == seen:
             break

@@ -26,11 +26,9 @@ CAPACITY = 4096
 END_ID = 2
 #: Documents of one group, about.
 GROUP_DOCS = 20_000
-#: Words that a worker remembers, and the longest one in bytes.
+#: Words that a task remembers, and the longest one in bytes.
 CACHE_WORDS = 700_000
 CACHE_BYTES = 64
-#: Rows of one batch: the more, the fewer look-ups of repeated words.
-BATCH = 1536
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
 _TAILS = frozenset((b".", b",", b"!", b"?", b":", b";"))
 
@@ -45,6 +43,8 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        if not self._fits():
+            raise ValueError(f"{path} is not a byte-level tokenizer of words as described")
         self.seen: dict[bytes, bytes] = {}
         # The characters that a byte-level tokenizer writes bytes as.
         self.shown = {}
@@ -52,6 +52,13 @@ class WordEncoder:
             printed = 33 <= byte <= 126 or 161 <= byte <= 172 or byte >= 174
             self.shown[byte] = byte if printed else 256 + sum(1 for k in self.shown.values() if k >= 256)
 
+    def _fits(self) -> bool:
+        """Whether a few texts' ids are those of their words, in lower case, letters by themselves."""
+        ids = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        some = ["Ab cd", "ab  cd\n\tef", "don't stop.", "straße, naïve", " lead", "日本 x1y2!", "A B"]
+        whole = all(ids(t) == [k for w in t.split() for k in ids(w)] == ids(t.lower()) for t in some)
+        return whole and ids("word.") == ids("word") + ids(".") and ids("ab12") == ids("ab") + ids("12")
+
     def _each(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
@@ -94,15 +101,18 @@ def _encoder(path: str) -> WordEncoder:
 def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int | None = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, doc_tokens, crcs``: the tokens of each document and the crc32 of each of its
     pieces of ``capacity`` tokens, the last one shorter or as long. Null texts are empty."""
-    small_batches(docs.sparkSession, BATCH)
+    small_batches(docs.sparkSession)
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches):
         encode = _encoder(tokenizer)
-        for batch in batches:
-            ids = [x + end for x in encode(batch.column(1).to_pylist())]
-            sums = [[zlib.crc32(x[k : k + 4 * capacity]) for k in range(0, len(x), 4 * capacity)] for x in ids]
-            yield pa.record_batch([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(sums, pa.list_(pa.int64()))], names=["doc_id", "doc_tokens", "crcs"])
+        try:
+            for batch in batches:
+                ids = [x + end for x in encode(batch.column(1).to_pylist())]
+                sums = [[zlib.crc32(x[k : k + 4 * capacity]) for k in range(0, len(x), 4 * capacity)] for x in ids]
+                yield pa.record_batch([batch.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(sums, pa.list_(pa.int64()))], names=["doc_id", "doc_tokens", "crcs"])
+        finally:  # Spark keeps the worker for other stages
+            encode.seen.clear()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, doc_tokens long, crcs array<long>")
 

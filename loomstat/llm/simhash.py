@@ -85,6 +85,8 @@ def partial_keys(hashes: np.ndarray) -> list[int]:
 
 #: Fewest and most segments of the counts that stand for a set of shingles; a count ends at 255.
 SEGMENTS, SEGMENTS_MOST = 128, 8192
+#: Most segments of the shorter vector that a set takes into large groups.
+COARSE_MOST = 1024
 #: Members of one block of a shingle that many sets share.
 SET_BLOCK = 1024
 #: One text in this many, chosen by its hash, tells which shingles are frequent: those in FREQUENT
@@ -113,6 +115,13 @@ def segment_counts(distinct: np.ndarray) -> bytes:
     return np.minimum(np.bincount((distinct % np.uint64(n)).astype(np.int64), minlength=n), 255).astype(np.uint8).tobytes()
 
 
+def coarse_counts(counts: bytes) -> bytes:
+    """The counts folded to COARSE_MOST segments at most, which bounds as well, if less closely."""
+    if len(counts) <= COARSE_MOST:
+        return counts
+    return np.minimum(folded(np.frombuffer(counts, np.uint8), COARSE_MOST), 255).astype(np.uint8).tobytes()
+
+
 def folded(counts: np.ndarray, n: int) -> np.ndarray:
     """Counts of a finer division, along the last axis, as those of ``n`` segments."""
     return counts.reshape(*counts.shape[:-1], -1, n).sum(axis=-2, dtype=np.int32)
@@ -145,7 +154,7 @@ def prefix(distinct: np.ndarray, similarity: float, frequent: np.ndarray) -> np.
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, partial: bool = False) -> DataFrame:
     """``doc_id, fp`` of every row; fp is the fingerprint as a signed long. With ``partial`` also the
-    array ``keys`` of partial_keys, and ``digest, size, counts`` of the set of shingles.
+    array ``keys`` of partial_keys, and ``digest, size, counts, coarse`` of the set of shingles.
 
     A null or wordless text has fingerprint 0. Ids are passed through, null ids included;
     other columns of ``docs`` are ignored.
@@ -159,11 +168,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if partial:
                 columns.append(pa.array(map(partial_keys, hashes), pa.list_(pa.int64())))
                 sets = [np.unique(x) for x in hashes]
-                columns += [pa.array(map(digest, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(map(segment_counts, sets), pa.binary())]
-            yield pa.record_batch(columns, names=["doc_id", "fp", "keys", "digest", "size", "counts"][: len(columns)])
+                columns += [pa.array(map(digest, sets), pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(counts := list(map(segment_counts, sets)), pa.binary()), pa.array(map(coarse_counts, counts), pa.binary())]
+            yield pa.record_batch(columns, names=["doc_id", "fp", "keys", "digest", "size", "counts", "coarse"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long" + ", keys array<long>, digest long, size long, counts binary" * partial)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long" + ", keys array<long>, digest long, size long, counts binary, coarse binary" * partial)
 
 
 def _grid(fps: DataFrame) -> DataFrame:
@@ -203,9 +212,10 @@ def spanning_links(values: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[i
     return edges
 
 
-def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def links(fps: DataFrame, max_bits: int = MAX_BITS, nodes: int | None = None) -> DataFrame:
     """Edges ``a, b`` between distinct fingerprints (column ``fp``) with the same components as
-    the graph of all pairs at ``max_bits`` (at most 3) or fewer differing bits."""
+    the graph of all pairs at ``max_bits`` (at most 3) or fewer differing bits. ``nodes``, a bound of their
+    number if known, only sets the files of a stored table."""
     if max_bits > MAX_BITS:
         raise ValueError(f"at most {MAX_BITS} bits")
     grid = _grid(fps)
@@ -216,7 +226,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     exact = F.expr(f"bit_count(a ^ b) <= {max_bits}")
     asks = grid.select("cell", F.col("fp").alias("a"), "own")
     near = asks.join(cold, [asks["cell"] == cold["cell"], F.expr("IF(own, a < b, a <> b)"), bound, exact]).select("a", "b")
-    hot = stored(sizes.where(f"n > {COLD}").select("cell"), "simhash-hot")
+    hot = stored(sizes.where(f"n > {COLD}").select("cell"), "simhash-hot", rows=nodes)
     crowd = grid.join(hot, "cell").select("cell", "fp")
     blocks = crowd.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("parts"))
     dealt = (
@@ -233,7 +243,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return near.union(dealt.groupBy("cell", "i", "j").applyInArrow(forest, "a long, b long"))
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, id_col: str = "doc_id", text_col: str = "text", n_nodes: int | None = None) -> DataFrame:
     """Edges ``a, b`` between fingerprints of texts whose shingle sets have at least this Jaccard
     index, among ``nodes`` (``fp, first_id, keys``).
 
@@ -246,9 +256,9 @@ def similar_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: flo
     ends = keyed.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
     near = keyed.join(ends, "key").select("fp", F.explode(F.array("low", "high")).alias("to"))
     pairs = near.where(f"bit_count(fp ^ `to`) BETWEEN {MAX_BITS + 1} AND {WIDE_BITS}").select(F.least("fp", "to").alias("a"), F.greatest("fp", "to").alias("b")).distinct()
-    pairs = stored(pairs, "simhash-pairs")
+    pairs = stored(pairs, "simhash-pairs", rows=n_nodes)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "first_id"), "fp")
-    texts = stored(docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text")).join(ends, "first_id").groupBy("fp").agg(F.max("text").alias("text")), "simhash-texts")
+    texts = stored(docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text")).join(ends, "first_id").groupBy("fp").agg(F.max("text").alias("text")), "simhash-texts", rows=2 * pairs.count())
     side = lambda c: texts.select(F.col("fp").alias(c), F.col("text").alias(f"text_{c}"))
 
     def verify(batches):
@@ -286,14 +296,14 @@ def frequent_shingles(docs: DataFrame, words: int, text_col: str = "text") -> np
 
 
 def close_sets(group: pa.Table, similarity: float) -> pa.Table:
-    """Pairs ``a, b`` of digests in ``group`` (``digest, component, size, counts``), of different
-    components, whose sizes and counts allow the Jaccard index ``similarity``."""
+    """Pairs ``a, b`` of digests in ``group`` (``digest, component, size, coarse``), of different
+    components, whose sizes and coarse counts allow the Jaccard index ``similarity``."""
     ids, first = np.unique(group.column("digest").to_numpy(), return_index=True)
     sizes = group.column("size").to_numpy()[first]
     order = np.argsort(sizes, kind="stable")
     ids, sizes, first = ids[order], sizes[order], first[order]
     parts = group.column("component").to_numpy()[first]
-    counts = group.column("counts").to_pylist()
+    counts = group.column("coarse").to_pylist()
     lengths = np.array([len(counts[k]) for k in first])
     ends = np.searchsorted(sizes, sizes / similarity + 1e-9, "right")
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
@@ -311,14 +321,16 @@ def close_sets(group: pa.Table, similarity: float) -> pa.Table:
 
 
 def missed_links(docs: DataFrame, sets: DataFrame, words: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Edges ``a, b`` between components of ``sets`` (``digest, component, size, counts, first_id``, one
-    row for each digest) for all pairs of texts of different components that have at least this
+    """Edges ``a, b`` between components of ``sets`` (``digest, component, size, counts, coarse, first_id``,
+    one row for each digest) for all pairs of texts of different components that have at least this
     Jaccard index: none is missed.
 
     Two such sets have a shingle of their prefixes in common. Only shingles that components share
-    are looked at, and groups of copies are one component by now, so they do not come up. The
-    members of a large group are dealt into blocks. Sizes and segment counts bound the index from
-    above; what they let pass is verified on whole texts.
+    are looked at, and groups of copies are one component by now, so they do not come up; of
+    shingles with the same members, as those of a shared passage, one is. The members of a large
+    group are dealt into blocks, with coarse counts of a bounded size. Sizes and segment counts bound
+    the index from above, the counts joined once for each candidate pair; what they let pass is
+    verified on whole texts.
     """
     spark = docs.sparkSession
     frequent = frequent_shingles(docs, words, text_col)
@@ -331,33 +343,36 @@ def missed_links(docs: DataFrame, sets: DataFrame, words: int, similarity: float
             shingles = [prefix(x, similarity, frequent).view(np.int64) for x in found]
             yield pa.record_batch([pa.array(map(digest, found), pa.int64()), pa.array(shingles, pa.list_(pa.int64()))], names=["digest", "shingles"])
 
+    n_sets = sets.count()
     firsts = stored(text.select("text").mapInArrow(prefixes, "digest long, shingles array<long>"), "simhash-prefixes")
     names = sets.select("digest", "component")
-    keyed = firsts.join(names, "digest").select("digest", "component", F.explode("shingles").alias("key"))
-    groups = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    shared = stored(groups.where("low < high").select("key"), "simhash-shared")
+    keyed = firsts.join(names, "digest").select("digest", "component", F.explode("shingles").alias("key")).distinct()
+    of = [F.bit_xor(F.xxhash64("digest", F.lit(salt))).alias(f"of_{salt}") for salt in (1, 2)]
+    groups = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), *of).where("low < high")
+    shared = stored(groups.groupBy("n", "of_1", "of_2").agg(F.min("key").alias("key")).select("key", "n"), "simhash-shared", rows=n_sets)
     rows = firsts.select("digest", F.explode("shingles").alias("key")).join(shared, "key").distinct()
-    rows = stored(rows, "simhash-members")
-    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / F.lit(SET_BLOCK)).cast("int"))
-    members = rows.join(sizes, "key").join(sets.select("digest", "component", "size", "counts"), "digest")
-    cold = members.where(f"n <= {COLD}").select("key", "digest", "component", "size", "counts")
-    one, two = (cold.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("digest", "component", "size", "counts"))) for side in "ab")
-    pairs = one.join(two, "key").where(f"digest_a < digest_b AND component_a <> component_b AND least(size_a, size_b) >= {similarity} * greatest(size_a, size_b) - 1e-9")
+    rows = stored(rows, "simhash-members", rows=4 * n_sets)
+    members = rows.withColumn("parts", F.ceil(F.col("n") / F.lit(SET_BLOCK)).cast("int"))
+    cold = members.where(f"n <= {COLD}").join(sets.select("digest", "component", "size"), "digest").select("key", "digest", "component", "size")
+    one, two = (cold.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("digest", "component", "size"))) for side in "ab")
+    few = one.join(two, "key").where(f"digest_a < digest_b AND component_a <> component_b AND least(size_a, size_b) >= {similarity} * greatest(size_a, size_b) - 1e-9")
+    dealt = (
+        members.where(f"n > {COLD}").join(sets.select("digest", "component", "size", "coarse"), "digest")
+        .withColumn("k", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
+        .selectExpr("key", "digest", "component", "size", "coarse", "explode(transform(sequence(0, parts - 1), j -> struct(least(j, k) AS i, greatest(j, k) AS j))) AS at")
+        .selectExpr("key", "at.i", "at.j", "digest", "component", "size", "coarse")
+    )
+    many = dealt.groupBy("key", "i", "j").applyInArrow(lambda group: close_sets(group, similarity), "a long, b long")
+    pairs = few.select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).union(many.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
 
     def bounded(batches):
         for batch in batches:
             near = [apart(a, b) <= most_apart(n, similarity) for n, a, b in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    few = pairs.select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"), (F.col("size_a") + F.col("size_b")).alias("sizes"), "counts_a", "counts_b").mapInArrow(bounded, "a long, b long")
-    dealt = (
-        members.where(f"n > {COLD}")
-        .withColumn("k", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
-        .selectExpr("key", "digest", "component", "size", "counts", "explode(transform(sequence(0, parts - 1), j -> struct(least(j, k) AS i, greatest(j, k) AS j))) AS at")
-        .selectExpr("key", "at.i", "at.j", "digest", "component", "size", "counts")
-    )
-    many = dealt.groupBy("key", "i", "j").applyInArrow(lambda group: close_sets(group, similarity), "a long, b long")
-    pairs = stored(few.union(many).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-near")
+    side = lambda c: sets.select(F.col("digest").alias(c), F.col("size").alias(f"size_{c}"), F.col("counts").alias(f"counts_{c}"))
+    known = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.col("size_a") + F.col("size_b")).alias("sizes"), "counts_a", "counts_b")
+    pairs = stored(known.mapInArrow(bounded, "a long, b long"), "simhash-near", rows=n_sets)
 
     def digests(batches):
         for batch in batches:
@@ -366,10 +381,11 @@ def missed_links(docs: DataFrame, sets: DataFrame, words: int, similarity: float
             yield pa.record_batch([pa.array(found, pa.int64()), texts], names=["digest", "text"])
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(sets.select("digest", "first_id", "component"), "digest")
-    ends = stored(ends, "simhash-ends")
+    n_pairs = pairs.count()
+    ends = stored(ends, "simhash-ends", rows=2 * n_pairs)
     known = text.join(ends.select("first_id").where("first_id IS NOT NULL").distinct(), "first_id", "left_semi")
     some = known.union(text.where("first_id IS NULL")).select("text").mapInArrow(digests, "digest long, text string")
-    texts = stored(some.groupBy("digest").agg(F.max("text").alias("text")).join(ends.select("digest", "component"), "digest"), "simhash-texts")
+    texts = stored(some.groupBy("digest").agg(F.max("text").alias("text")).join(ends.select("digest", "component"), "digest"), "simhash-texts", rows=2 * n_pairs)
 
     def verify(batches):
         for batch in batches:
@@ -397,21 +413,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     partial = similarity is not None
     rows = stored(fingerprints(docs, id_col, text_col, words, partial), "simhash")
+    n = rows.count()
     keys = [F.min_by("keys", "doc_id").alias("keys")] if partial else []
-    nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *keys))
-    edges = links(nodes.select("fp"), max_bits)
+    nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *keys), n)
+    edges = links(nodes.select("fp"), max_bits, n)
     if partial:
-        sets = rows.groupBy("digest").agg(F.min("fp").alias("fp"), F.max("fp").alias("last_fp"), F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("counts").alias("counts"))
-        sets = stored(sets, "simhash-sets")
+        narrow = F.min("fp").alias("fp"), F.max("fp").alias("last_fp"), F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("counts").alias("counts"), F.first("coarse").alias("coarse")
+        sets = stored(rows.groupBy("digest").agg(*narrow), "simhash-sets", rows=n)
         # Equal sets whose repeats differ have fingerprints of their own: all of them link to the first.
         same = rows.join(sets.where("fp <> last_fp").select("digest", F.col("fp").alias("a")), "digest").select("a", F.col("fp").alias("b")).where("a <> b")
-        edges = edges.union(similar_links(docs, nodes, words, similarity, id_col, text_col)).union(same)
-    parts = components(edges).withColumnRenamed("node", "fp")
+        edges = edges.union(similar_links(docs, nodes, words, similarity, id_col, text_col, n)).union(same)
+    parts = components(edges, nodes=n).withColumnRenamed("node", "fp")
     named = nodes.join(parts, "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     if partial:
-        named = stored(named, "simhash-named")
-        sets = stored(sets.join(named.select("fp", "component"), "fp").select("digest", "component", "size", "counts", "first_id"), "simhash-sets")
-        more = components(missed_links(docs, sets, words, similarity, id_col, text_col)).select(F.col("node").alias("component"), F.col("component").alias("lower"))
+        named = stored(named, "simhash-named", rows=n)
+        sets = stored(sets.join(named.select("fp", "component"), "fp").select("digest", "component", "size", "counts", "coarse", "first_id"), "simhash-sets", rows=n)
+        more = components(missed_links(docs, sets, words, similarity, id_col, text_col), nodes=n).select(F.col("node").alias("component"), F.col("component").alias("lower"))
         named = named.join(more, "component", "left").select("fp", "first_id", F.coalesce("lower", "component").alias("component"))
     lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     return rows.join(named.join(lowest, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
