@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from loomstat.functions.student import critical_udf, two_sided_p
 
 
+#: Strata up to which their sizes are broadcast.
+MOST_STRATA = 10_000
+
+
 def long_outcomes(units: DataFrame, outcomes: Iterable[str], keys: Iterable[str] = ("arm",)) -> DataFrame:
     """``keys, outcome, y``: one row per unit and outcome."""
     pairs = ", ".join(f"'{o}', CAST({o} AS DOUBLE)" for o in outcomes)
@@ -75,7 +79,8 @@ def bootstrap_means(rows: DataFrame, replicates: int, seed: int, strata: str = "
     placed = kept.withColumn("rn", F.row_number().over(Window.partitionBy(strata).orderBy(key)) - 1).select(strata, "rn", "y")
     sizes = kept.groupBy(strata).agg(F.count(F.lit(1)).alias("n"))
     # Draw numbers follow from the rows themselves: every row is drawn for once a replicate.
-    asks = placed.join(F.broadcast(sizes), strata).select(strata, F.col("rn").alias("k"), "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    few = sizes.limit(MOST_STRATA + 1).count() <= MOST_STRATA
+    asks = placed.join(F.broadcast(sizes) if few else sizes, strata).select(strata, F.col("rn").alias("k"), "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
     picks = asks.select(strata, "rep", draw(F.lit(seed), F.col("rep"), F.col(strata), F.col("k"), modulo=F.col("n")).alias("rn"))
     return picks.join(placed, [strata, "rn"]).groupBy("rep", strata).agg(F.avg("y").alias("mean"))
 

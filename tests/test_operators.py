@@ -289,3 +289,13 @@ def test_svd_embedding_equals_numpy(spark):
     assert got[900] is None and np.abs(np.array([got[k] for k in range(200)])) == pytest.approx(np.abs(u[:, :3] * s[:3]), abs=1e-6)
     two = spark.createDataFrame([(0, [0.0, 0.0]), (0, [2.0, 0.0]), (1, [1.0, 5.0])], "segment int, embedding array<double>")
     assert {(r["segment"], r["n"], r["spread"]) for r in segments.diagnostics(two).collect()} == {(0, 2, 1.0), (1, 1, 0.0)}
+
+
+def test_product_outputs(spark, tmp_path):
+    from loomstat.plans import run_products
+
+    done = run_products.main(["--data", SF, "--out", str(tmp_path)], spark)
+    assert len(done) == 10 and spark.read.parquet(f"{tmp_path}/reviews_analysis.parquet").count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert spark.read.option("header", True).csv(f"{tmp_path}/product_master").count() == spark.read.parquet(f"{SF}/part.parquet").count()
+    texts = spark.read.parquet(f"{tmp_path}/texts_analysis.parquet")
+    assert texts.count() == texts.select(F.lower(F.trim("text"))).distinct().count() > 0
