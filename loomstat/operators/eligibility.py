@@ -19,6 +19,14 @@ def rule_label(text: Column, rules: list[tuple[str, str]], default: str) -> Colu
     return out
 
 
+def in_category(products: DataFrame, path: str, wanted: list[str], unwanted: list[str] = (), separator: str = " > ") -> DataFrame:
+    """Products whose category path, a text column, has a level among ``wanted`` and none among ``unwanted``;
+    a null path has no level."""
+    levels = F.split(F.coalesce(F.col(path), F.lit("")), separator)
+    has = lambda names: F.arrays_overlap(levels, F.array(*map(F.lit, names))) if names else F.lit(False)
+    return products.where(has(list(wanted)) & ~has(list(unwanted)))
+
+
 def _features(text_col: str, buckets: int) -> list:
     return [RegexTokenizer(inputCol=text_col, outputCol="_words", pattern=r"\W+"), HashingTF(inputCol="_words", outputCol="_tf", numFeatures=buckets, binary=True)]
 

@@ -545,6 +545,12 @@ def category_levels(spark, sf_dir):
     return rows.groupBy(level(1).alias("top")).agg(F.count_distinct(level(2)).alias("n_middle"), F.count_distinct(level(-1)).alias("n_leaves"), F.count(F.lit(1)).alias("n_products"))
 
 
+@_query("SELECT p_partkey AS product_id, p_type AS form, p_brand AS store FROM part WHERE p_type IN ('PROMO', 'LARGE') AND p_brand <> 'Brand#2'")
+def category_filter(spark, sf_dir):
+    rows = products(spark, sf_dir).withColumn("path", F.concat_ws(" > ", "form", "store", "name"))
+    return eligibility.in_category(rows, "path", ["PROMO", "LARGE"], ["Brand#2"]).select("product_id", "form", "store")
+
+
 @_query(f"""WITH {_REV}, n AS (SELECT product_id, count(*) AS n_reviews, avg(stars) AS mean_stars, min(year) AS first_year, max(year) AS last_year, avg(CAST(verified AS INTEGER)) AS verified_share FROM r GROUP BY 1)
 SELECT product_id, p_name AS name, store, form, price, CAST((price >= 925) AS INTEGER) + CAST((price >= 950) AS INTEGER) + CAST((price >= 975) AS INTEGER) AS band, coalesce(n_reviews, 0) AS n_reviews, round(mean_stars, 6) AS mean_stars, CAST(first_year AS INTEGER) AS first_year, CAST(last_year AS INTEGER) AS last_year, round(verified_share, 6) AS verified_share
 FROM pr JOIN part ON p_partkey = product_id LEFT JOIN n USING (product_id) WHERE length(trim(p_name)) > 0 AND price > 0""")
