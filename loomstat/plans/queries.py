@@ -258,11 +258,13 @@ def hte_cells_all(spark, sf_dir):
     return _rounded(found.select("feature", "value", "outcome", "a", "b", "n_a", "n_b", "difference", "standard_error"), 4)
 
 
-@_query()
+@_query(_HTE + """, ax AS (SELECT unit_id, unnest([{'feature': 'recency', 'x': recency::DOUBLE}, {'feature': 'history', 'x': history::DOUBLE}], recursive := true) FROM units),
+sa AS (SELECT feature, outcome, arm, regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept, regr_r2(y, x) AS r2 FROM ax JOIN long USING (unit_id) GROUP BY ALL)
+SELECT feature, outcome, arm, CASE WHEN abs(slope) < 5e-7 THEN 0 ELSE round(slope, 6) END AS slope, round(intercept, 3) AS intercept, round(r2, 6) AS r2 FROM sa""")
 def hte_slopes_all(spark, sf_dir):
     rows = inference.long_outcomes(units(spark, sf_dir), OUTCOMES, ("arm", "recency", "history"))
     rows = rows.select("arm", "outcome", "y", F.expr("stack(2, 'recency', CAST(recency AS DOUBLE), 'history', CAST(history AS DOUBLE)) AS (feature, x)"))
-    return _rounded(rows.groupBy("feature", "outcome", "arm").agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2")))
+    return _rounded(rows.groupBy("feature", "outcome", "arm").agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2")), 6, intercept=3)
 
 
 _P_SLOPE = f"({_sql_integral('atan(abs(statistic) / sqrt(df))', 'df')}) / ({_sql_integral('0.0::DOUBLE', 'df')})"
