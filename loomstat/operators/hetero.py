@@ -30,11 +30,12 @@ def cells(units: DataFrame, features: Iterable[str], outcomes: Iterable[str], pa
 
 def cell_tests(found: DataFrame) -> DataFrame:
     """Per feature, outcome and contrast: ``k`` cells with a standard error, Q as ``statistic``, k - 1 as ``df``, and p."""
+    by = ["feature", "outcome", "contrast", "a", "b"]
     w = found.where("standard_error > 0").withColumn("w", F.expr("1 / (standard_error * standard_error)"))
-    # Differences about the unweighted mean of all cells keep the digits of their squares.
-    s = w.groupBy("feature", "outcome", "contrast", "a", "b").agg(F.count(F.lit(1)).alias("k"), F.sum("w").alias("s0"), F.collect_list(F.struct("w", "difference")).alias("cells"), F.sum(F.expr("w * difference")).alias("s1"))
-    q = "aggregate(cells, 0.0D, (z, c) -> z + c.w * (c.difference - s1 / s0) * (c.difference - s1 / s0))"
-    made = s.selectExpr("feature", "outcome", "contrast", "a", "b", "'cells' AS kind", "s1 / s0 AS estimate", f"{q} AS statistic", "CAST(k - 1 AS DOUBLE) AS df")
+    pooled = w.groupBy(*by).agg((F.sum(F.expr("w * difference")) / F.sum("w")).alias("estimate"))
+    # Squares about the pooled difference keep their digits.
+    squares = w.join(pooled, by).groupBy(*by, "estimate").agg(F.sum(F.expr("w * (difference - estimate) * (difference - estimate)")).alias("statistic"), (F.count(F.lit(1)) - 1).cast("double").alias("df"))
+    made = squares.select(*by, F.lit("cells").alias("kind"), "estimate", "statistic", "df")
     return made.withColumn("p_value", chi_square_tail("statistic", "CAST(df AS INT)"))
 
 
