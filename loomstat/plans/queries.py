@@ -378,7 +378,7 @@ def policy_interval_full(spark, sf_dir):
     return _rounded(uplift.policy_intervals(uplift.t_learner(units(spark, sf_dir)), POLICY_REPLICATIONS, SEED), 3)
 
 
-@_query(_OOF + _BINS + f""", {_DRAWN}, m AS (SELECT bin, rep, sum(({_WEIGHT}) * y) FILTER (arm = 1) / sum({_WEIGHT}) FILTER (arm = 1) - sum(({_WEIGHT}) * y) FILTER (arm = 0) / sum({_WEIGHT}) FILTER (arm = 0) AS uplift FROM bn JOIN u USING (unit_id) GROUP BY ALL)
+@_query(_OOF + _BINS + f""", {_DRAWN}, m AS (SELECT bin, rep, sum(({_WEIGHT}) * y) FILTER (arm = 1) / nullif(sum({_WEIGHT}) FILTER (arm = 1), 0) - sum(({_WEIGHT}) * y) FILTER (arm = 0) / nullif(sum({_WEIGHT}) FILTER (arm = 0), 0) AS uplift FROM bn JOIN u USING (unit_id) GROUP BY ALL)
 SELECT bin, round(quantile_cont(uplift, 0.025), 2) AS ci_low, round(quantile_cont(uplift, 0.975), 2) AS ci_high FROM m GROUP BY bin""")
 def uplift_bin_interval(spark, sf_dir):
     return _rounded(uplift.uplift_bin_intervals(uplift.t_learner(units(spark, sf_dir)), 200, SEED), 2)
