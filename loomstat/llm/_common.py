@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 1536
 BATCH_BYTES = 4 << 20
 #: Rows of one file of a narrow intermediate table, about.
-FILE_ROWS = 25_000
+FILE_ROWS = 8_192
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,8 +29,8 @@ def small_batches(spark: SparkSession) -> None:
     """
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
-        now = spark.conf.get(key)
-        if not str(now).isdigit() or not 0 < int(now) <= most:
+        now = re.fullmatch(r"(\d+)([kmgt]?)b?", str(spark.conf.get(key)).lower())
+        if not now or not 0 < int(now[1]) << 10 * " kmgt".index(now[2] or " ") <= most:
             spark.conf.set(key, str(most))
 
 

@@ -344,13 +344,14 @@ def missed_links(docs: DataFrame, sets: DataFrame, words: int, similarity: float
             yield pa.record_batch([pa.array(map(digest, found), pa.int64()), pa.array(shingles, pa.list_(pa.int64()))], names=["digest", "shingles"])
 
     n_sets = sets.count()
-    firsts = stored(text.select("text").mapInArrow(prefixes, "digest long, shingles array<long>"), "simhash-prefixes")
+    firsts = text.select("text").mapInArrow(prefixes, "digest long, shingles array<long>").dropDuplicates(["digest"])
+    firsts = stored(firsts, "simhash-prefixes", rows=n_sets)
     names = sets.select("digest", "component")
-    keyed = firsts.join(names, "digest").select("digest", "component", F.explode("shingles").alias("key")).distinct()
+    keyed = firsts.join(names, "digest").select("digest", "component", F.explode("shingles").alias("key"))
     of = [F.bit_xor(F.xxhash64("digest", F.lit(salt))).alias(f"of_{salt}") for salt in (1, 2)]
     groups = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), *of).where("low < high")
     shared = stored(groups.groupBy("n", "of_1", "of_2").agg(F.min("key").alias("key")).select("key", "n"), "simhash-shared", rows=n_sets)
-    rows = firsts.select("digest", F.explode("shingles").alias("key")).join(shared, "key").distinct()
+    rows = firsts.select("digest", F.explode("shingles").alias("key")).join(shared, "key")
     rows = stored(rows, "simhash-members", rows=4 * n_sets)
     members = rows.withColumn("parts", F.ceil(F.col("n") / F.lit(SET_BLOCK)).cast("int"))
     cold = members.where(f"n <= {COLD}").join(sets.select("digest", "component", "size"), "digest").select("key", "digest", "component", "size")
