@@ -3,6 +3,7 @@
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 import public_tokenizers
-from loomstat.llm import queries, secrets
+from loomstat.llm import _common, queries, secrets
 from tests.llm.test_text_operators import base_spans, brute_katz
 from tests.oracle import differences
 
@@ -151,3 +152,23 @@ def test_pipeline_on_odd_documents(spark, tmp_path):
     kept = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert set(kept) == {1, 3, 4, None, 5} and kept[5] == "[secret]\""
     assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()} == set(kept)
+
+
+def test_batch_bounds_keep_a_session_s_smaller_ones(spark):
+    names = [f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for given, want in ((("10000", "64m"), (str(_common.BATCH_ROWS), str(_common.BATCH_BYTES))), (("7", "1m"), ("7", "1m")), (("0", "123b"), (str(_common.BATCH_ROWS), "123b"))):
+            for n, x in zip(names, given, strict=True):
+                spark.conf.set(n, x)
+            _common.small_batches(spark)
+            assert tuple(spark.conf.get(n) for n in names) == want
+    finally:
+        for n, x in zip(names, before, strict=True):
+            spark.conf.set(n, x)
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default=None: default), sparkContext=SimpleNamespace(master="spark://head:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        _common.shared_dir(session)
