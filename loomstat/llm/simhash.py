@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstat.llm._common import checkpointed, small_batches, stored, table
+from loomstat.llm._common import checkpointed, small_batches, sorted_join, stored, table
 from loomstat.llm.components import components
 
 SEED = 42
@@ -221,11 +221,11 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, nodes: int | None = None) ->
     grid = _grid(fps)
     own = grid.where("own").select("cell", "fp")
     sizes = own.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    cold = own.join(sizes.where(f"n <= {COLD}").select("cell"), "cell").select("cell", F.col("fp").alias("b"))
+    cold = sorted_join(own, sizes.where(f"n <= {COLD}").select("cell"), "cell").select("cell", F.col("fp").alias("b"))
     bound = F.expr(f"({_manhattan('a', 'b')}) <= {max_bits}")
     exact = F.expr(f"bit_count(a ^ b) <= {max_bits}")
     asks = grid.select("cell", F.col("fp").alias("a"), "own")
-    near = asks.join(cold, [asks["cell"] == cold["cell"], F.expr("IF(own, a < b, a <> b)"), bound, exact]).select("a", "b")
+    near = sorted_join(asks, cold, [asks["cell"] == cold["cell"], F.expr("IF(own, a < b, a <> b)"), bound, exact]).select("a", "b")
     hot = stored(sizes.where(f"n > {COLD}").select("cell"), "simhash-hot", rows=nodes)
     crowd = grid.join(hot, "cell").select("cell", "fp")
     blocks = crowd.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("parts"))

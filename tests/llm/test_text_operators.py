@@ -456,3 +456,9 @@ def test_markov_ratio_on_strings_held_out(spark):
     found = rows.select("random", (F.expr(secrets._ratio("text", secrets.fit(secrets.labelled(spark)))) > secrets.THRESHOLD).alias("taken")).groupBy("random", "taken").count().collect()
     n = defaultdict(int, {(r["random"], r["taken"]): r["count"] for r in found})
     assert n[1, True] / (n[1, True] + n[1, False]) >= 0.98 and n[1, True] / (n[1, True] + n[0, True]) >= 0.95
+
+
+def test_exploded_rows_are_not_broadcast_by_their_estimate(spark, monkeypatch):
+    fps = spark.range(100).select(F.xxhash64("id").alias("fp"))
+    pairs_of_cells = simhash.links(fps)._jdf.queryExecution().sparkPlan().toString().split("FlatMapGroupsInArrow")[0]
+    assert "Generate" in pairs_of_cells and "BroadcastHashJoin" not in pairs_of_cells
