@@ -136,14 +136,37 @@ def boosted_learner(units: DataFrame, iterations: int = 150, y: str = "spend", f
     return reduce(DataFrame.union, parts)
 
 
+def _edges(rows: DataFrame, bins: int) -> list[float]:
+    """Values of ``score`` at the ranks ceil(k * n / bins), exact whatever the number of rows.
+
+    Approximate quantiles only part the rows: those of a part are counted, and within the parts that
+    hold a wanted rank, narrow ones around it, distinct values are ranked. ``rows`` must be fixed.
+    """
+    around = sorted({min(1.0, max(0.0, k / bins + d)) for k in range(1, bins) for d in (-0.001, 0.001)})
+    cuts = sorted(set(rows.agg(F.percentile_approx("score", around, 10_000)).first()[0] or []))
+    part = sum((F.when(F.col("score") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    known = rows.where("score IS NOT NULL").select(part.alias("part"), "score")
+    sizes = {r["part"]: r["n"] for r in known.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per part
+    n, before, wanted = sum(sizes.values()), 0, []
+    for p in sorted(sizes):
+        wanted += [(k, p, rank - before) for k in range(1, bins) if before < (rank := -(-k * n // bins)) <= before + sizes[p]]
+        before += sizes[p]
+    if not wanted:
+        return []
+    run = Window.partitionBy("part").orderBy("score")
+    values = known.where(F.col("part").isin(sorted({p for _, p, _ in wanted}))).groupBy("part", "score").agg(F.count(F.lit(1)).alias("n")).withColumn("stop", F.sum("n").over(run))
+    at = lambda p, rank: F.min(F.when((F.col("part") == p) & (F.col("stop") >= rank), F.col("score")))
+    return list(values.agg(*(at(p, rank).alias(f"e_{k}") for k, p, rank in wanted)).first())
+
+
 def _binned(predictions: DataFrame, treated: int, control: int, bins: int) -> DataFrame:
     """``unit_id, arm, y, bin`` by falling predicted uplift.
 
-    Bin edges are approximate quantiles, exact up to 10,000 rows, so that no task sorts all units.
+    Bin edges are the scores of exact ranks, found without a sort of all units in one task. Scores are kept
+    while that is done: computed anew they could differ in their last digits, and ties part at an edge.
     """
-    rows = predictions.where(F.col("arm").isin(treated, control)).select("unit_id", "arm", "y", (F.col(f"mu_{treated}") - F.col(f"mu_{control}")).alias("score"))
-    edges = rows.agg(F.percentile_approx("score", [k / bins for k in range(1, bins)], 10_000)).first()[0] or []
-    at = sum((F.when(F.col("score") <= e, 1).otherwise(0) for e in edges), F.lit(0))
+    rows = predictions.where(F.col("arm").isin(treated, control)).select("unit_id", "arm", "y", (F.col(f"mu_{treated}") - F.col(f"mu_{control}")).alias("score")).localCheckpoint()
+    at = sum((F.when(F.col("score") <= e, 1).otherwise(0) for e in _edges(rows, bins)), F.lit(0))
     return rows.select("unit_id", "arm", "y", at.alias("bin"))
 
 

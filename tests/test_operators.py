@@ -299,3 +299,14 @@ def test_product_outputs(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{tmp_path}/product_master").count() == spark.read.parquet(f"{SF}/part.parquet").count()
     texts = spark.read.parquet(f"{tmp_path}/texts_analysis.parquet")
     assert texts.count() == texts.select(F.lower(F.trim("text"))).distinct().count() > 0
+
+
+def test_bin_edges_are_exact_beyond_ten_thousand_rows(spark):
+    from loomstat.operators import uplift
+
+    rows = spark.range(60_000).selectExpr("id AS unit_id", "CAST(id % 2 AS INT) AS arm", "1.0D AS y", "0.0D AS mu_0", "CASE WHEN id % 5 = 0 THEN 7.0D ELSE CAST(pmod(xxhash64(id), 1000003) AS DOUBLE) END AS mu_1")
+    scores = sorted(r["mu_1"] for r in rows.collect())
+    edges = [scores[-(-k * 60_000 // 10) - 1] for k in range(1, 10)]
+    want = {b: sum(sum(s <= e for e in edges) == b for s in scores) for b in range(10)}
+    got = {r["bin"]: r["n_t"] + r["n_c"] for r in uplift.uplift_bins(rows.repartition(3)).collect()}
+    assert got == {b: n for b, n in want.items() if n}
