@@ -254,7 +254,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: flo
     small_batches(docs.sparkSession)
     keyed = nodes.where("first_id IS NOT NULL").select("fp", F.explode("keys").alias("key"))
     ends = keyed.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
-    near = keyed.join(ends, "key").select("fp", F.explode(F.array("low", "high")).alias("to"))
+    near = sorted_join(keyed, ends, "key").select("fp", F.explode(F.array("low", "high")).alias("to"))
     pairs = near.where(f"bit_count(fp ^ `to`) BETWEEN {MAX_BITS + 1} AND {WIDE_BITS}").select(F.least("fp", "to").alias("a"), F.greatest("fp", "to").alias("b")).distinct()
     pairs = stored(pairs, "simhash-pairs", rows=n_nodes)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(nodes.select("fp", "first_id"), "fp")
@@ -269,7 +269,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame, words: int, similarity: flo
                 keep.append(both >= similarity * either - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+    return sorted_join(sorted_join(pairs, side("a"), "a"), side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
 
 def _jaccard(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
@@ -347,18 +347,18 @@ def missed_links(docs: DataFrame, sets: DataFrame, words: int, similarity: float
     firsts = text.select("text").mapInArrow(prefixes, "digest long, shingles array<long>").dropDuplicates(["digest"])
     firsts = stored(firsts, "simhash-prefixes", rows=n_sets)
     names = sets.select("digest", "component")
-    keyed = firsts.join(names, "digest").select("digest", "component", F.explode("shingles").alias("key"))
+    keyed = sorted_join(firsts, names, "digest").select("digest", "component", F.explode("shingles").alias("key"))
     of = [F.bit_xor(F.xxhash64("digest", F.lit(salt))).alias(f"of_{salt}") for salt in (1, 2)]
     groups = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), *of).where("low < high")
     shared = stored(groups.groupBy("n", "of_1", "of_2").agg(F.min("key").alias("key")).select("key", "n"), "simhash-shared", rows=n_sets)
-    rows = firsts.select("digest", F.explode("shingles").alias("key")).join(shared, "key")
+    rows = sorted_join(firsts.select("digest", F.explode("shingles").alias("key")), shared, "key")
     rows = stored(rows, "simhash-members", rows=4 * n_sets)
     members = rows.withColumn("parts", F.ceil(F.col("n") / F.lit(SET_BLOCK)).cast("int"))
     cold = members.where(f"n <= {COLD}").join(sets.select("digest", "component", "size"), "digest").select("key", "digest", "component", "size")
     one, two = (cold.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("digest", "component", "size"))) for side in "ab")
     few = one.join(two, "key").where(f"digest_a < digest_b AND component_a <> component_b AND least(size_a, size_b) >= {similarity} * greatest(size_a, size_b) - 1e-9")
     dealt = (
-        members.where(f"n > {COLD}").join(sets.select("digest", "component", "size", "coarse"), "digest")
+        sorted_join(members.where(f"n > {COLD}"), sets.select("digest", "component", "size", "coarse"), "digest")
         .withColumn("k", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
         .selectExpr("key", "digest", "component", "size", "coarse", "explode(transform(sequence(0, parts - 1), j -> struct(least(j, k) AS i, greatest(j, k) AS j))) AS at")
         .selectExpr("key", "at.i", "at.j", "digest", "component", "size", "coarse")
@@ -372,7 +372,7 @@ def missed_links(docs: DataFrame, sets: DataFrame, words: int, similarity: float
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     side = lambda c: sets.select(F.col("digest").alias(c), F.col("size").alias(f"size_{c}"), F.col("counts").alias(f"counts_{c}"))
-    known = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.col("size_a") + F.col("size_b")).alias("sizes"), "counts_a", "counts_b")
+    known = sorted_join(sorted_join(pairs, side("a"), "a"), side("b"), "b").select("a", "b", (F.col("size_a") + F.col("size_b")).alias("sizes"), "counts_a", "counts_b")
     pairs = stored(known.mapInArrow(bounded, "a long, b long"), "simhash-near", rows=n_sets)
 
     def digests(batches):
@@ -397,7 +397,7 @@ def missed_links(docs: DataFrame, sets: DataFrame, words: int, similarity: float
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda c: texts.select(F.col("digest").alias(c), F.col("component").alias(f"component_{c}"), F.col("text").alias(f"text_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = sorted_join(sorted_join(pairs, side("a"), "a"), side("b"), "b")
     return both.select(F.col("component_a").alias("a"), F.col("component_b").alias("b"), "text_a", "text_b").mapInArrow(verify, "a long, b long")
 
 
@@ -428,7 +428,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = nodes.join(parts, "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
     if partial:
         named = stored(named, "simhash-named", rows=n)
-        sets = stored(sets.join(named.select("fp", "component"), "fp").select("digest", "component", "size", "counts", "coarse", "first_id"), "simhash-sets", rows=n)
+        sets = stored(sorted_join(sets, named.select("fp", "component"), "fp").select("digest", "component", "size", "counts", "coarse", "first_id"), "simhash-sets", rows=n)
         more = components(missed_links(docs, sets, words, similarity, id_col, text_col), nodes=n).select(F.col("node").alias("component"), F.col("component").alias("lower"))
         named = named.join(more, "component", "left").select("fp", "first_id", F.coalesce("lower", "component").alias("component"))
     lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))

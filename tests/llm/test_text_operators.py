@@ -462,3 +462,11 @@ def test_exploded_rows_are_not_broadcast_by_their_estimate(spark, monkeypatch):
     fps = spark.range(100).select(F.xxhash64("id").alias("fp"))
     pairs_of_cells = simhash.links(fps)._jdf.queryExecution().sparkPlan().toString().split("FlatMapGroupsInArrow")[0]
     assert "Generate" in pairs_of_cells and "BroadcastHashJoin" not in pairs_of_cells
+
+
+def test_shingles_and_partial_keys_are_not_broadcast(spark, monkeypatch):
+    plans, stored = {}, simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, name, *a, **k: (plans.setdefault(name, df._jdf.queryExecution().sparkPlan().toString()), stored(df, name, *a, **k))[1])
+    docs = texts(spark, [(k, " ".join(f"w{(k * 7 + j) % 90}" for j in range(60))) for k in range(40)])
+    simhash.near_duplicates(docs, words=5, similarity=0.8)
+    assert all("SortMergeJoin" in plans[name] and "BroadcastHashJoin" not in plans[name] for name in ("simhash-pairs", "simhash-members"))
