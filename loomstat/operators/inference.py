@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstat.functions.student import critical_udf, two_sided_p
+from loomstat.operators import resampling
 
 
 #: Strata up to which their sizes are broadcast.
@@ -78,6 +79,8 @@ def bootstrap_means(rows: DataFrame, replicates: int, seed: int, strata: str = "
     kept = rows.where(F.col(strata).isNotNull() & F.col("y").isNotNull())
     placed = kept.withColumn("rn", F.row_number().over(Window.partitionBy(strata).orderBy(key)) - 1).select(strata, "rn", "y")
     sizes = kept.groupBy(strata).agg(F.count(F.lit(1)).alias("n"))
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= resampling.MOST_HELD:
+        return resampling.drawn_means(placed, replicates, seed, strata)
     # Draw numbers follow from the rows themselves: every row is drawn for once a replicate.
     few = sizes.limit(MOST_STRATA + 1).count() <= MOST_STRATA
     asks = placed.join(F.broadcast(sizes) if few else sizes, strata).select(strata, F.col("rn").alias("k"), "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
