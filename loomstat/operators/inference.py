@@ -29,13 +29,15 @@ def moments(rows: DataFrame, by: Iterable[str]) -> DataFrame:
 def contrasts(stats: DataFrame, pairs, by: Iterable[str] = ("outcome",)) -> DataFrame:
     """Both arms' statistics side by side for each planned pair (a, b).
 
-    Pairs travel with the arms' rows, so this is one equi-join of a few rows per group.
+    One pass over ``stats``, a row per group and arm, whose plan is not run once for either side.
     """
-    by = list(by)
-    plan = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(k).alias("contrast")) for k, (a, b) in enumerate(pairs)))
-    one = stats.withColumn("p", F.explode(plan)).select("*", "p.a", "p.b", "p.contrast").drop("p")
-    side = lambda s: one.where(F.col("arm") == F.col(s)).select(*by, "contrast", "a", "b", *(F.col(c).alias(f"{c}_{s}") for c in ("n", "mean", "var")))
-    return side("a").join(side("b").drop("a", "b"), [*by, "contrast"])
+    by, names = list(by), ("n", "mean", "var")
+    of = lambda arm, c: F.max(F.when(F.col("arm") == arm, F.col(c)))
+    arms = sorted({arm for pair in pairs for arm in pair})
+    wide = stats.where(" AND ".join(f"`{c}` IS NOT NULL" for c in by)).groupBy(*by).agg(*(of(arm, c).alias(f"{c}_{k}") for k, arm in enumerate(arms) for c in names))
+    side = lambda arm, s: [F.col(f"{c}_{arms.index(arm)}").alias(f"{c}_{s}") for c in names]
+    plan = F.array(*(F.struct(F.lit(k).alias("contrast"), F.lit(a).alias("a"), F.lit(b).alias("b"), *side(a, "a"), *side(b, "b")) for k, (a, b) in enumerate(pairs)))
+    return wide.select(*by, F.inline(plan)).where("n_a IS NOT NULL AND n_b IS NOT NULL")
 
 
 def welch(pairs: DataFrame, alpha: float | None = None) -> DataFrame:

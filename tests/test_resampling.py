@@ -35,3 +35,10 @@ def test_bootstrap_makes_its_draws_without_a_join(spark, monkeypatch):
     joined = {(r["rep"], r["arm"]): r["mean"] for r in inference.bootstrap_means(rows, 130, 5).collect()}
     assert len(got) == 260 and got == pytest.approx(joined) and small == pytest.approx(joined)
     assert inference.bootstrap_means(rows.limit(0), 5, 5).count() == 0
+
+
+def test_contrasts_run_their_input_once(spark):
+    stats = inference.moments(units(spark).withColumn("rep", F.col("unit_id") % 2), ["rep", "arm"])
+    assert plan(inference.contrasts(stats, [(1, 0), (0, 2)], by=["rep"])).count("Range (") == 1
+    some = spark.createDataFrame([(1, 0, 3, 1.0, None), (1, 1, 2, 2.0, 0.5), (2, 0, 1, 1.0, 1.0), (None, 0, 1, 1.0, 1.0), (None, 1, 1, 1.0, 1.0)], "rep int, arm int, n long, mean double, var double")
+    assert [tuple(r) for r in inference.contrasts(some, [(1, 0), (2, 0)], by=["rep"]).collect()] == [(1, 0, 1, 0, 2, 2.0, 0.5, 3, 1.0, None)]
