@@ -65,3 +65,48 @@ def drawn_means(placed: DataFrame, replicates: int, seed: int, strata: str) -> D
             yield pa.record_batch([pa.array(reps, pa.int32()), value.take(pa.array([0] * len(reps))), pa.array(sums / n)], names=["rep", strata, "mean"])
 
     return dealt.mapInArrow(run, f"rep int, `{strata}` {kind}, mean double")
+
+
+def weighted_sums(rows: DataFrame, values: list[str], replicates: int, seed: int, key: str) -> DataFrame:
+    """``rep, w`` and the sum of each of ``values`` under the Poisson weights of ``inference.poisson_weight``.
+
+    A task takes its units through all replicates; what is shuffled is a row per replicate and task.
+    """
+    from loomstat.operators.inference import poisson_steps
+
+    steps, names = np.array(poisson_steps(), np.uint32), [b"%d|%d" % (seed, rep) for rep in range(replicates)]
+    ending = F.coalesce(F.concat(F.lit("|"), F.col(key).cast("string")), F.lit("")).cast("binary")  # as concat_ws leaves out nulls
+    dealt = rows.select(ending.alias("_end"), *(F.col(v).cast("double").alias(v) for v in values)).repartition(parts_of(rows), "_end")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, any_rows = np.zeros((replicates, len(values) + 1)), False
+
+        def add(held: list[pa.RecordBatch]) -> None:
+            table = pa.Table.from_batches(held).combine_chunks()
+            texts = table["_end"].combine_chunks()
+            for start in range(0, len(texts), TURN):
+                ends = Endings(texts.slice(start, TURN))
+                x = np.column_stack([np.ones(ends.n), *(table[v].slice(start, TURN).to_numpy() for v in values)])
+                finite = np.isfinite(x).all()  # an infinite value counts only where it is drawn
+                for turn in turns(names, ends.n):
+                    u = ends.after([names[k] for k in turn])
+                    w = np.zeros(u.shape, np.uint8)
+                    for step in steps:
+                        w += u >= step
+                    sums[turn] += w.astype(float) @ x if finite else np.array([w[k, w[k] > 0] @ x[w[k] > 0] for k in range(len(turn))])
+
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n, any_rows = n + batch.num_rows, True
+            if n >= TURN:
+                add(held)
+                held, n = [], 0
+        if held:
+            add(held)
+        if any_rows:
+            yield pa.record_batch([pa.array(np.arange(replicates), pa.int32()), *map(pa.array, sums.T)], names=["rep", "w", *values])
+
+    parts = dealt.mapInArrow(run, "rep int, w double, " + ", ".join(f"`{v}` double" for v in values))
+    return parts.groupBy("rep").agg(*(F.sum(c).alias(c) for c in ("w", *values))).where("w > 0")

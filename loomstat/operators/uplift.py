@@ -14,6 +14,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstat.operators import resampling
 from loomstat.operators.inference import draw, poisson_weight
 
 
@@ -239,12 +240,12 @@ def policy_intervals(predictions: DataFrame, replicates: int = 2000, seed: int =
     and of what the best-arm policy is worth beyond it, paired within replicates.
 
     Predictions are held fixed; percentiles over Poisson bootstrap replicates. A unit whose value
-    is null under any policy takes no part. All policies are summed in one pass over units and
-    replicates, and what is shuffled is a row per replicate and task.
+    is null under any policy takes no part. All policies are summed in one pass over units, dealt
+    over all cores, and what is shuffled is a row per replicate and task.
     """
     picks = {f"all_{a}": F.lit(a) for a in arms} | {"best": _best(arms)}
     valued = predictions.select("unit_id", *(_value(pick, arms, share)[1].alias(name) for name, pick in picks.items())).na.drop(subset=list(picks))
-    means = _replicated(valued, replicates, seed).groupBy("rep").agg(*((F.sum(F.col("w") * F.col(name)) / F.sum("w")).alias(name) for name in picks))
+    means = resampling.weighted_sums(valued, list(picks), replicates, seed, "unit_id").select("rep", *((F.col(name) / F.col("w")).alias(name) for name in picks))
     each = means.select(F.inline(F.array(*(F.struct(F.lit(name).alias("policy"), F.col(name).alias("value"), (F.col("best") - F.col(name)).alias("lead")) for name in picks))))
     return each.groupBy("policy").agg(*_limits("value", "ci_low", "ci_high", alpha), *_limits("lead", "lead_low", "lead_high", alpha))
 

@@ -42,3 +42,19 @@ def test_contrasts_run_their_input_once(spark):
     assert plan(inference.contrasts(stats, [(1, 0), (0, 2)], by=["rep"])).count("Range (") == 1
     some = spark.createDataFrame([(1, 0, 3, 1.0, None), (1, 1, 2, 2.0, 0.5), (2, 0, 1, 1.0, 1.0), (None, 0, 1, 1.0, 1.0), (None, 1, 1, 1.0, 1.0)], "rep int, arm int, n long, mean double, var double")
     assert [tuple(r) for r in inference.contrasts(some, [(1, 0), (2, 0)], by=["rep"]).collect()] == [(1, 0, 1, 0, 2, 2.0, 0.5, 3, 1.0, None)]
+
+
+def test_policy_replicates_are_dealt_and_equal_the_expressions(spark):
+    from loomstat.operators import uplift
+
+    rows = units(spark).selectExpr("unit_id", "arm", "y", "3.0D + unit_id % 5 AS mu_0", "500.0D AS mu_1", "400.0D + unit_id % 300 AS mu_2").coalesce(1)
+    sums = resampling.weighted_sums(rows.na.drop(), ["y", "mu_2"], 115, 5, "unit_id")
+    got = {r["rep"]: (r["w"], r["y"], r["mu_2"]) for r in sums.collect()}
+    drawn = uplift._replicated(rows.na.drop(), 115, 5).groupBy("rep").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("y"), F.sum(F.col("w") * F.col("mu_2")).alias("m"))
+    want = {r["rep"]: (r["w"], r["y"], r["m"]) for r in drawn.collect()}
+    assert len(got) == 115 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+    intervals = plan(uplift.policy_intervals(rows, 115, 5))
+    assert "MapInArrow" in intervals and "md5" not in intervals  # a unit's replicates were exploded in the units' partitions, one of small tables
+    endless = rows.na.drop().withColumn("y", F.when(F.col("unit_id") == 20, float("inf")).otherwise(F.col("y")))
+    hit = {r["rep"]: r["y"] == float("inf") for r in resampling.weighted_sums(endless, ["y"], 20, 5, "unit_id").collect()}
+    assert hit == {r["rep"]: r["hit"] for r in uplift._replicated(endless, 20, 5).groupBy("rep").agg(F.max(F.col("unit_id") == 20).alias("hit")).collect()}
