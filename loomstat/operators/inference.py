@@ -139,13 +139,22 @@ def _dealt(rows: DataFrame, replicates: int, parts: int = 64) -> DataFrame:
 def permuted_moments(rows: DataFrame, replicates: int, seed: int, key: str = "unit_id") -> DataFrame:
     """``rep, arm, n, mean, var``: what ``moments`` gives on ``permuted``, rep 0 as observed.
 
-    Replicates are summed by the leading six bits of the hash that orders them. Only rows of those
+    Each task ranks all units for its own replicates, and the sums, a row per replicate and arm, are
+    collected, so that tests may read them more than once. Units beyond what a worker may hold go another
+    way: replicates are summed by the leading six bits of the hash that orders them. Only rows of those
     buckets that two arms share are ranked, so that many replicates need no sort of all units.
     """
     arms = sorted((r["arm"], r["n"], r["s"], r["k"]) for r in rows.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.count("y").alias("k")).collect())  # a row per arm
     centre = sum(x[2] or 0.0 for x in arms) / max(1, sum(x[3] for x in arms))
     bounds = [sum(x[1] for x in arms[: i + 1]) for i in range(len(arms))]
     arm_at = lambda rn: F.coalesce(*(F.when(rn <= b, x[0]) for b, x in zip(bounds, arms, strict=True)), F.lit(None)).cast(rows.schema["arm"].dataType)
+    by_arm = lambda parts: parts.select("rep", "arm", "n", (F.lit(centre) + F.expr("try_divide(s, n)")).alias("mean"), F.expr("try_divide(greatest(q - s * s / n, 0.0D), n - 1)").alias("var"))
+    observed = moments(rows.withColumn("rep", F.lit(0)), ["rep", "arm"]).drop("n_null")
+    if bounds and bounds[-1] <= resampling.MOST_HELD:
+        sums = resampling.shuffled_sums(rows, replicates, seed, key, bounds, centre)
+        # A row per replicate and arm.
+        known = rows.sparkSession.createDataFrame(sums.toArrow()).select("rep", F.element_at(F.array(*(F.lit(x[0]).cast(rows.schema["arm"].dataType) for x in arms)), F.col("at") + 1).alias("arm"), "n", "s", "q")
+        return observed.union(by_arm(known))
     # Sums of values about the common mean, so that their squares keep their digits.
     each = _dealt(rows.select(key, (F.col("y") - F.lit(centre)).alias("y")), replicates)
     each = each.withColumn("_h", F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col("rep").cast("string"), F.col(key).cast("string"))))
@@ -159,9 +168,7 @@ def permuted_moments(rows: DataFrame, replicates: int, seed: int, key: str = "un
     cut = each.join(F.broadcast(buckets.where(shared).select("rep", "_b", "start")), ["rep", "_b"])
     ranked = cut.withColumn("rn", F.col("start") + F.row_number().over(Window.partitionBy("rep", "_b").orderBy("_h", key)))
     parts = whole.union(ranked.groupBy("rep", arm_at(F.col("rn")).alias("arm")).agg(*summed)).groupBy("rep", "arm").agg(*(F.sum(c).alias(c) for c in "nsq"))
-    var = F.expr("try_divide(greatest(q - s * s / n, 0.0D), n - 1)")
-    drawn = parts.select("rep", "arm", "n", (F.lit(centre) + F.expr("try_divide(s, n)")).alias("mean"), var.alias("var"))
-    return moments(rows.withColumn("rep", F.lit(0)), ["rep", "arm"]).drop("n_null").union(drawn)
+    return observed.union(by_arm(parts))
 
 
 def permutation_tests(rows: DataFrame, pairs, replicates: int, seed: int, key: str = "unit_id") -> DataFrame:

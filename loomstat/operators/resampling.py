@@ -5,6 +5,7 @@ Every function deals its replicates, or its units, over all cores, and sends sum
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,6 +68,57 @@ def drawn_means(placed: DataFrame, replicates: int, seed: int, strata: str) -> D
     return dealt.mapInArrow(run, f"rep int, `{strata}` {kind}, mean double")
 
 
+def placed_by_digest(heads: list[bytes], ends: list[Endings], texts: pa.Array, cuts: list[int]) -> np.ndarray:
+    """For each beginning and ending (``texts``, in parts ``ends``) how many ranks of ``cuts`` are below its own, by order of digests."""
+    firsts = np.concatenate([e.after(heads) for e in ends], axis=1)
+    at = np.zeros(firsts.shape, np.int64)
+    if not cuts:
+        return at
+    edges = np.partition(firsts, cuts, axis=1)[:, cuts]
+    for j in range(len(cuts)):
+        at += firsts > edges[:, j : j + 1]
+    # Units whose first bits are an edge's are ordered by their whole digests.
+    for r, j in zip(*np.nonzero((firsts[:, None, :] == edges[:, :, None]).sum(axis=2) > 1), strict=True):
+        same = np.flatnonzero(firsts[r] == edges[r, j]).tolist()
+        same.sort(key=lambda i, head=heads[r]: hashlib.md5(head + texts[i].as_py(), usedforsecurity=False).digest())
+        before = int((firsts[r] < edges[r, j]).sum())
+        at[r, same] = np.searchsorted(cuts, np.arange(before, before + len(same)))
+    return at
+
+
+def shuffled_sums(rows: DataFrame, replicates: int, seed: int, key: str, bounds: list[int], centre: float) -> DataFrame:
+    """``rep, at, n, s, q`` from rep 1: count, sum and squares of ``y - centre`` over the units that the order of
+    their digests puts at the ranks up to ``bounds[at]``. A task holds all units for its replicates."""
+    parts = min(parts_of(rows), replicates)
+    ending = F.coalesce(F.concat(F.lit("|"), F.col(key).cast("string")), F.lit("")).cast("binary")  # as concat_ws leaves out nulls
+    each = rows.select(ending.alias("_end"), (F.col("y").cast("double") - F.lit(centre)).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    cuts, kinds = [b - 1 for b in bounds[:-1]], len(bounds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [batch for batch in batches if batch.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        reps = np.arange(table["_part"][0].as_py() + 1, replicates + 1, parts)
+        y = table["y"].to_numpy()
+        known = table["y"].is_valid().to_numpy()
+        y = np.where(known, y, 0.0)
+        squares = y * y
+        texts = table["_end"].combine_chunks()
+        ends, n = [Endings(texts.slice(k, TURN)) for k in range(0, len(y), TURN)], len(y)
+        del table, held
+        names = [b"%d|%d" % (seed, rep) for rep in reps]
+        for turn in turns(names, n):
+            heads = [names[k] for k in turn]
+            at = placed_by_digest(heads, ends, texts, cuts)
+            for r in range(len(turn)):
+                count = np.bincount(at[r] if known.all() else at[r][known], minlength=kinds)
+                s, q = (np.bincount(at[r], v, kinds) for v in (y, squares))
+                yield pa.record_batch([pa.array(np.full(kinds, reps[turn[r]]), pa.int32()), pa.array(np.arange(kinds), pa.int32()), pa.array(count, pa.int64()), pa.array(s), pa.array(q)], names=["rep", "at", "n", "s", "q"])
+
+    return each.repartitionById(parts, "_part").select("_part", "_end", "y").mapInArrow(run, "rep int, at int, n long, s double, q double")
+
+
 def weighted_sums(rows: DataFrame, values: list[str], replicates: int, seed: int, key: str) -> DataFrame:
     """``rep, w`` and the sum of each of ``values`` under the Poisson weights of ``inference.poisson_weight``.
 

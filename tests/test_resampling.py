@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -58,3 +59,32 @@ def test_policy_replicates_are_dealt_and_equal_the_expressions(spark):
     endless = rows.na.drop().withColumn("y", F.when(F.col("unit_id") == 20, float("inf")).otherwise(F.col("y")))
     hit = {r["rep"]: r["y"] == float("inf") for r in resampling.weighted_sums(endless, ["y"], 20, 5, "unit_id").collect()}
     assert hit == {r["rep"]: r["hit"] for r in uplift._replicated(endless, 20, 5).groupBy("rep").agg(F.max(F.col("unit_id") == 20).alias("hit")).collect()}
+
+
+def test_permuted_sums_rank_without_a_window(spark, monkeypatch):
+    rows = units(spark, 300).union(spark.range(40).selectExpr("9L AS unit_id", "CAST(id % 2 AS INT) AS arm", "5.0D AS y")).union(spark.range(3).selectExpr("CAST(NULL AS BIGINT)", "1", "5.0D"))
+    assert "Window" not in plan(resampling.shuffled_sums(rows, 115, 5, "unit_id", [100, 200, 343], 0.0))  # rows of shared buckets were sorted before
+    read = lambda: {(r["rep"], r["arm"]): (r["n"], r["mean"], r["var"]) for r in inference.permuted_moments(rows.repartition(3), 115, 5).collect()}
+    fast = read()
+    want = {(r["rep"], r["arm"]): (r["n"], r["mean"], r["var"]) for r in inference.moments(inference.permuted(rows, 115, 5), ["rep", "arm"]).collect()}
+    monkeypatch.setattr(resampling, "MOST_HELD", 0)
+    ranked = read()
+    assert len(fast) == 116 * 3 and all(fast[k] == pytest.approx(want[k]) and ranked[k] == pytest.approx(want[k]) for k in want)
+    one = units(spark, 9).withColumn("arm", F.lit(1))
+    monkeypatch.undo()
+    assert {r["n"] for r in inference.permuted_moments(one, 3, 5).collect()} == {8} and inference.permuted_moments(one.limit(0), 3, 5).where("rep > 0").count() == 0
+
+
+def test_first_bits_in_common_at_an_edge_are_ordered_by_the_whole_digest(spark, monkeypatch):
+    rows = units(spark, 60)
+    want = {(r["rep"], r["arm"]): (r["n"], r["mean"]) for r in inference.permuted_moments(rows, 6, 5).collect()}
+    after = digests.Endings.after
+    blunt = lambda self, heads: after(self, heads) >> np.uint32(28)
+    whole = lambda sums: {(r["rep"], r["at"]): r["n"] for r in sums.collect()}
+    exact = whole(resampling.shuffled_sums(rows, 6, 5, "unit_id", [20, 40, 60], 0.0))
+    table = list(zip(*[(f"|{r['unit_id']}".encode(), r["y"]) for r in rows.collect()], strict=True))
+    at = resampling.placed_by_digest([b"5|%d" % k for k in range(1, 7)], [digests.Endings(pa.array(table[0]))], pa.array(table[0]), [19, 39])
+    monkeypatch.setattr(digests.Endings, "after", blunt)
+    tied = resampling.placed_by_digest([b"5|%d" % k for k in range(1, 7)], [digests.Endings(pa.array(table[0]))], pa.array(table[0]), [19, 39])
+    assert (at == tied).all() and len(want) == 21
+    assert {(k + 1, a): sum(y is not None for y, x in zip(table[1], at[k], strict=True) if x == a) for k in range(6) for a in range(3)} == exact
