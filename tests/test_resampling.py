@@ -88,3 +88,9 @@ def test_first_bits_in_common_at_an_edge_are_ordered_by_the_whole_digest(spark,
     tied = resampling.placed_by_digest([b"5|%d" % k for k in range(1, 7)], [digests.Endings(pa.array(table[0]))], pa.array(table[0]), [19, 39])
     assert (at == tied).all() and len(want) == 21
     assert {(k + 1, a): sum(y is not None for y, x in zip(table[1], at[k], strict=True) if x == a) for k in range(6) for a in range(3)} == exact
+
+
+def test_tests_of_permutations_make_the_replicates_once(spark):
+    found = inference.permutation_tests(units(spark), ((1, 0), (2, 0), (1, 2)), 30, 5)
+    assert "md5" not in plan(found) and "MapInArrow" not in plan(found)  # p-values of all kinds read sums that are there
+    assert all(1 / 31 - 1e-9 <= r["p_perm"] <= r["p_maxt"] <= 1 for r in found.collect())
