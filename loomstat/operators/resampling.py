@@ -13,10 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstat.functions import native
 from loomstat.functions.digests import TURN, Endings, turns
 
 #: Rows of a stratum, or of all arms, that a worker holds at most; beyond, the plans by join and by rank do the same.
 MOST_HELD = 20_000_000
+#: Units that a task holds in the JVM's heap at most, 40 bytes or so each; beyond, a worker does the same.
+MOST_IN_JVM = 5_000_000
 #: Values of a stratum that are sent in one row.
 BLOCK = 4096
 
@@ -88,25 +91,41 @@ def placed_by_digest(heads: list[bytes], ends: list[Endings], texts: pa.Array, c
 
 def shuffled_sums(rows: DataFrame, replicates: int, seed: int, key: str, bounds: list[int], centre: float) -> DataFrame:
     """``rep, at, n, s, q`` from rep 1: count, sum and squares of ``y - centre`` over the units that the order of
-    their digests puts at the ranks up to ``bounds[at]``. A task holds all units for its replicates."""
+    their digests puts at the ranks up to ``bounds[at]``. A task holds all units for its replicates, in the JVM where
+    they are few enough and it takes compiled sources, else in a worker."""
     parts = min(parts_of(rows), replicates)
     ending = F.coalesce(F.concat(F.lit("|"), F.col(key).cast("string")), F.lit("")).cast("binary")  # as concat_ws leaves out nulls
-    each = rows.select(ending.alias("_end"), (F.col("y").cast("double") - F.lit(centre)).alias("y"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))
+    units = rows.select(ending.alias("_end"), (F.col("y").cast("double") - F.lit(centre)).alias("y"))
     cuts, kinds = [b - 1 for b in bounds[:-1]], len(bounds)
+    packed = units.mapInArrow(_packed, "_ends binary, _lengths binary, _values binary, _known binary")
+    each = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part")).repartitionById(parts, "_part")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A part's rows as one."""
         held = [batch for batch in batches if batch.num_rows]
+        if held:
+            table = pa.Table.from_batches(held)
+            one = lambda c: pa.array([b"".join(table[c].to_pylist())], pa.binary())
+            yield pa.record_batch([table["_part"].chunk(0).slice(0, 1), *map(one, _PACKED)], names=["_part", *_PACKED])
+
+    if bounds[-1] <= MOST_IN_JVM and native.registered(rows.sparkSession, "ShuffledSums", "array<array<double>>"):
+        joined = each.mapInArrow(whole, "_part int, _ends binary, _lengths binary, _values binary, _known binary")
+        sums = F.call_function(native.name_of("ShuffledSums"), "_part", F.lit(parts), F.lit(replicates), F.lit(str(seed)), *_PACKED, F.lit(np.array(cuts, "<i4").tobytes()))
+        found = joined.select("_part", F.posexplode(sums).alias("_k", "_sum"))
+        rep, value = F.col("_part") + 1 + F.expr(f"_k div {kinds}") * parts, lambda k: F.col("_sum")[k]
+        return found.select(rep.cast("int").alias("rep"), (F.col("_k") % kinds).alias("at"), value(0).cast("long").alias("n"), value(1).alias("s"), value(2).alias("q"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(whole(batches))
         if not held:
             return
-        table = pa.Table.from_batches(held)
-        reps = np.arange(table["_part"][0].as_py() + 1, replicates + 1, parts)
-        y = table["y"].to_numpy()
-        known = table["y"].is_valid().to_numpy()
-        y = np.where(known, y, 0.0)
-        squares = y * y
-        texts = table["_end"].combine_chunks()
-        ends, n = [Endings(texts.slice(k, TURN)) for k in range(0, len(y), TURN)], len(y)
-        del table, held
+        blob = lambda c: held[0][c][0].as_buffer()
+        reps = np.arange(held[0]["_part"][0].as_py() + 1, replicates + 1, parts)
+        y, known, lengths = np.frombuffer(blob("_values"), "<f8"), np.frombuffer(blob("_known"), bool), np.frombuffer(blob("_lengths"), "<i4")
+        squares, n = y * y, len(y)
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        texts = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), blob("_ends")])
+        ends = [Endings(texts.slice(k, TURN)) for k in range(0, n, TURN)]
         names = [b"%d|%d" % (seed, rep) for rep in reps]
         for turn in turns(names, n):
             heads = [names[k] for k in turn]
@@ -116,7 +135,23 @@ def shuffled_sums(rows: DataFrame, replicates: int, seed: int, key: str, bounds:
                 s, q = (np.bincount(at[r], v, kinds) for v in (y, squares))
                 yield pa.record_batch([pa.array(np.full(kinds, reps[turn[r]]), pa.int32()), pa.array(np.arange(kinds), pa.int32()), pa.array(count, pa.int64()), pa.array(s), pa.array(q)], names=["rep", "at", "n", "s", "q"])
 
-    return each.repartitionById(parts, "_part").select("_part", "_end", "y").mapInArrow(run, "rep int, at int, n long, s double, q double")
+    return each.mapInArrow(run, "rep int, at int, n long, s double, q double")
+
+
+_PACKED = ("_ends", "_lengths", "_values", "_known")
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per batch: endings end to end, their lengths, values with 0 for none, and whether they are there."""
+    for batch in batches:
+        if batch.num_rows:
+            texts = batch["_end"].cast(pa.binary())
+            offsets = np.frombuffer(texts.buffers()[1], "<i4")[texts.offset :][: batch.num_rows + 1]
+            known = batch["y"].is_valid().to_numpy(zero_copy_only=False)
+            values = np.where(known, batch["y"].to_numpy(zero_copy_only=False), 0.0)
+            ends = texts.buffers()[2][offsets[0] : offsets[-1]].to_pybytes() if offsets[-1] > offsets[0] else b""
+            blobs = (ends, np.diff(offsets).astype("<i4").tobytes(), values.astype("<f8").tobytes(), known.tobytes())
+            yield pa.record_batch([pa.array([x], pa.binary()) for x in blobs], names=list(_PACKED))
 
 
 def weighted_sums(rows: DataFrame, values: list[str], replicates: int, seed: int, key: str) -> DataFrame:

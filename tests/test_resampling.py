@@ -94,3 +94,30 @@ def test_tests_of_permutations_make_the_replicates_once(spark):
     found = inference.permutation_tests(units(spark), ((1, 0), (2, 0), (1, 2)), 30, 5)
     assert "md5" not in plan(found) and "MapInArrow" not in plan(found)  # p-values of all kinds read sums that are there
     assert all(1 / 31 - 1e-9 <= r["p_perm"] <= r["p_maxt"] <= 1 for r in found.collect())
+
+
+def test_permuted_sums_in_the_jvm_equal_those_of_workers(spark, monkeypatch):
+    read = lambda rows, bounds: {(r["rep"], r["at"]): (r["n"], r["s"], r["q"]) for r in resampling.shuffled_sums(rows, 115, 5, "unit_id", bounds, 3.0).collect()}
+    some = units(spark, 900).where("unit_id > 40 OR arm = 1")
+    tables = (some, some.limit(1), some.withColumn("unit_id", F.lit(None)), some.selectExpr("repeat('é', int(unit_id % 30)) || unit_id AS unit_id", "y"), some.selectExpr("CAST(NULL AS STRING) AS unit_id", "CAST(NULL AS DOUBLE) AS y"))
+    for rows in tables:
+        size = rows.count()
+        bounds = sorted({max(1, size // 3), max(1, size // 2), size})
+        # Where units go by digest is worked out by the JVM, in loops over primitive arrays; a worker's arrays took about eight times as long.
+        assert "loomstat_shuffledsums" in plan(resampling.shuffled_sums(rows, 115, 5, "unit_id", bounds, 3.0)).lower()
+        near = read(rows.repartition(3, "y"), bounds)
+        with monkeypatch.context() as m:
+            m.setattr(resampling, "MOST_IN_JVM", 0)
+            far = read(rows.repartition(3, "y"), bounds)
+        assert len(near) == 115 * len(bounds) and near.keys() == far.keys() and all(near[k] == pytest.approx(far[k]) for k in near)
+    assert read(some.limit(0), [4]) == {}
+
+
+def test_whole_digests_order_units_in_the_jvm_where_first_bits_agree(spark):
+    digest = {k: hashlib.md5(b"5|1|%d" % k).digest() for k in range(300_000)}
+    order = sorted(digest, key=digest.get)
+    shared = [i for i in range(len(order) - 1) if digest[order[i]][:4] == digest[order[i + 1]][:4]]
+    assert shared  # pairs of units whose first bits are one
+    rows = spark.range(300_000).selectExpr("id AS unit_id", f"IF(id = {order[shared[0]]}, 2D, IF(id = {order[shared[0] + 1]}, 7D, 0D)) AS y")
+    got = {r["at"]: (r["n"], r["s"]) for r in resampling.shuffled_sums(rows, 1, 5, "unit_id", [shared[0] + 1, 300_000], 0.0).collect()}
+    assert got == {0: (shared[0] + 1, 2.0), 1: (300_000 - shared[0] - 1, 7.0)}
