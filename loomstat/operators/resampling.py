@@ -18,8 +18,8 @@ from loomstat.functions.digests import TURN, Endings, turns
 
 #: Rows of a stratum, or of all arms, that a worker holds at most; beyond, the plans by join and by rank do the same.
 MOST_HELD = 20_000_000
-#: Units that a task holds in the JVM's heap at most, 40 bytes or so each; beyond, a worker does the same.
-MOST_IN_JVM = 5_000_000
+#: Units that a task holds in the JVM's heap at most, by estimate 90 bytes each; beyond, a worker does the same.
+MOST_IN_JVM = 2_000_000
 #: Values of a stratum that are sent in one row.
 BLOCK = 4096
 
